@@ -1,8 +1,8 @@
-"""Report result: a one-row header frame plus a details frame."""
+"""Report result: a one-row header frame plus named detail frames."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Optional
 
 from pyspark.sql import DataFrame
@@ -13,10 +13,19 @@ class Report:
     """A lazily evaluated report.
 
     ``header`` holds the report's scalar fields as one row; ``details`` holds
-    its list of records (None for reports without one). Nothing runs until an
-    action is called on one of the frames.
+    its main list of records (None for reports without one) and ``sections``
+    any further named lists (P&L has two). Nothing runs until an action is
+    called on one of the frames.
     """
 
     kind: str
     header: DataFrame
     details: Optional[DataFrame] = None
+    sections: dict = field(default_factory=dict)
+
+    def frames(self) -> dict:
+        out = {"header": self.header}
+        if self.details is not None:
+            out["details"] = self.details
+        out.update(self.sections)
+        return out

@@ -1,7 +1,8 @@
 """Named queries: one per operator of the inventory, each (spark, sf_dir) → DataFrame.
 
 Every query reads the driver's tables (through the fixtures) over their
-whole extent; parameters are the report parameters a user would pass.
+whole extent; parameters are the report parameters a user would pass
+(``tally.plans.params``).
 """
 
 from __future__ import annotations
@@ -9,20 +10,79 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tally.functions.periods import GROUPINGS
+from tally.operators.account import account_summary
 from tally.operators.cash_flow import cash_flow
+from tally.operators.category import category_analysis
+from tally.operators.compare import period_comparison
+from tally.operators.custom import custom_report
+from tally.operators.merchant import merchant_analysis, merchant_category, primary_category
+from tally.operators.pnl import profit_and_loss
+from tally.operators.summary import describe_amounts, summary_statistics, top_categories
+from tally.operators.trend import trend
+from tally.plans import params as P
 from tally.sources.fixtures import ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+ROW_COLS = ["l_orderkey", "l_linenumber", "date", "amount", "description",
+            "merchant", "category", "account", "notes"]
 
-def _cash_flow(grouping: str) -> Query:
-    return lambda spark, sf: cash_flow(ledger(spark, sf), grouping=grouping).details
+
+def rows_out(df: DataFrame) -> DataFrame:
+    """Row-level output: amount as DOUBLE at the edge."""
+    return df.select(*[F.col(c).cast("double").alias(c) if c == "amount" else F.col(c)
+                       for c in ROW_COLS])
+
+
+def _on_ledger(fn) -> Query:
+    return lambda spark, sf: fn(ledger(spark, sf))
 
 
 def build() -> dict[str, Query]:
     q: dict[str, Query] = {}
     for g in GROUPINGS:
-        q[f"cash_flow_{g}"] = _cash_flow(g)
+        q[f"cash_flow_{g}"] = _on_ledger(lambda d, g=g: cash_flow(d, grouping=g).details)
+        q[f"trend_{g}"] = _on_ledger(lambda d, g=g: trend(d, grouping=g).details)
+    q["cash_flow_totals"] = _on_ledger(lambda d: cash_flow(d, grouping="monthly").header)
+    q["trend_top_category"] = _on_ledger(
+        lambda d: trend(d, P.TREND_TOP_FILTER, "quarterly").details
+        .select("period", "top_expense_category"))
+    q["pnl_totals"] = _on_ledger(lambda d: profit_and_loss(d, P.PNL_FILTER).header)
+    q["pnl_income_by_category"] = _on_ledger(
+        lambda d: profit_and_loss(d, P.PNL_FILTER).sections["income_by_category"])
+    q["pnl_expenses_by_category"] = _on_ledger(
+        lambda d: profit_and_loss(d, P.PNL_FILTER).sections["expenses_by_category"])
+    q["category_analysis"] = _on_ledger(lambda d: category_analysis(d).details)
+    q["category_analysis_top_n"] = _on_ledger(
+        lambda d: category_analysis(d, P.EXPENSES_ONLY, P.TOP_N).details)
+    q["category_analysis_totals"] = _on_ledger(
+        lambda d: category_analysis(d, P.EXPENSES_ONLY, P.TOP_N).header)
+    q["merchant_analysis"] = _on_ledger(
+        lambda d: merchant_analysis(d, top_n=P.MERCHANT_TOP_N).details)
+    q["merchant_primary_category"] = _on_ledger(lambda d: primary_category(merchant_category(d)))
+    q["account_summary"] = _on_ledger(lambda d: account_summary(d).details)
+    q["account_summary_total"] = _on_ledger(lambda d: account_summary(d).header)
+    for key in ("category", "merchant", "account"):
+        q[f"custom_group_by_{key}"] = _on_ledger(
+            lambda d, key=key: custom_report(d, P.CUSTOM_FILTER, group_by=key).details)
+    q["custom_rows_sorted"] = _on_ledger(
+        lambda d: rows_out(custom_report(d, P.CUSTOM_FILTER, sort=P.CUSTOM_SORT).details))
+    q["custom_totals"] = _on_ledger(lambda d: custom_report(d, P.CUSTOM_FILTER).header)
+    q["period_comparison"] = _on_ledger(lambda d: period_comparison(d, P.PERIODS))
+    q["summary_stats"] = _on_ledger(lambda d: summary_statistics(d).header)
+    q["summary_by_category"] = _on_ledger(lambda d: summary_statistics(d).details)
+    q["summary_top_categories"] = _on_ledger(lambda d: top_categories(d, 5))
+    q["amount_describe"] = _on_ledger(describe_amounts)
+    q["merchant_subtotal"] = _on_ledger(
+        lambda d: P.MERCHANT_SUBTOTAL.apply(d).agg(
+            F.lit(P.MERCHANT_SUBTOTAL.merchant).alias("merchant_filter"),
+            F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("total"),
+            F.count(F.lit(1)).alias("transaction_count")))
+    for name, f in P.FILTERS.items():
+        q[name] = _on_ledger(lambda d, f=f: rows_out(f.apply(d)))
+    for name, f in P.TXN_FILTERS.items():
+        q[name] = _on_ledger(lambda d, f=f: rows_out(f.apply(d)))
     return q
