@@ -325,6 +325,108 @@ SELECT {q(f.merchant)} AS merchant_filter,
 FROM ledger WHERE {txn_where(f)}""")
 
 
+NUM = r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*"
+ORDERED_ROWS = ("l_orderkey, l_linenumber, amount, description, merchant, category, account, notes")
+
+
+def cur(x: str) -> str:
+    return f"('$' || format('{{:,.2f}}', {x}))"
+
+
+def over(sql: str) -> str:
+    """A full query (with its own WITH) as a derived table."""
+    return f"({sql}) t"
+
+
+def more_sql() -> dict[str, str]:
+    sql: dict[str, str] = {}
+    rows = rows_sql(None)
+    sql["ingest_normalize"] = rows
+    sql["csv_roundtrip"] = rows
+    sql["json_roundtrip"] = rows
+    sql["ingest_coerce_dates"] = with_ledger("""
+SELECT l_orderkey, l_linenumber, date AS date_text,
+       CAST(try_strptime(date, '%Y-%m-%d') AS TIMESTAMP) AS date FROM raw""")
+    sql["ingest_coerce_amounts"] = with_ledger(f"""
+SELECT l_orderkey, l_linenumber, amount AS amount_text,
+       CAST(CASE WHEN regexp_full_match(amount, '{NUM}')
+                 THEN TRY_CAST(trim(amount) AS DECIMAL(18,2)) END AS DOUBLE) AS amount FROM raw""")
+    sql["parse_currency_text"] = with_ledger(f"""
+SELECT l_orderkey, l_linenumber, amount_text,
+       CAST(COALESCE(CASE WHEN regexp_full_match(c, '{NUM}') THEN TRY_CAST(c AS DECIMAL(18,2)) END, 0)
+            AS DOUBLE) AS amount
+FROM (SELECT l_orderkey, l_linenumber, amount AS amount_text,
+             trim(replace(replace(amount, '$', ''), ',', '')) AS c FROM raw) r""")
+    sql["html_extract_transactions"] = with_ledger("""
+SELECT l_orderkey AS page_id, date, CAST(amount AS DOUBLE) AS amount, description,
+       description AS merchant, category, '' AS account, '' AS notes FROM txn""")
+    sql["html_extract_accounts"] = """
+SELECT CAST(floor(c_custkey / 50) AS BIGINT) AS page_id, c_name AS name,
+       CAST(c_custkey AS VARCHAR) AS id, CAST(0 AS DOUBLE) AS balance FROM customer"""
+    sql["list_accounts"] = with_ledger("""
+SELECT account, COUNT(*) AS transaction_count, CAST(COALESCE(SUM(amount), 0) AS DOUBLE) AS total_amount
+FROM ledger WHERE account IS NOT NULL GROUP BY account""")
+    sql["list_categories"] = with_ledger(
+        "SELECT DISTINCT category FROM ledger WHERE category IS NOT NULL")
+    sql["acquire_last_n_days"] = with_ledger(f"""
+SELECT {ROW_COLS} FROM ledger
+WHERE date >= DATE '{P.AS_OF}' - INTERVAL {P.LAST_DAYS} DAY AND date < DATE '{P.AS_OF}' + INTERVAL 1 DAY""")
+    sql["acquire_default_ytd"] = with_ledger(f"""
+SELECT {ROW_COLS} FROM ledger
+WHERE date >= make_date(year(DATE '{P.AS_OF}'), 1, 1) AND date < DATE '{P.AS_OF}' + INTERVAL 1 DAY""")
+    sql["acquire_by_account"] = with_ledger(
+        f"SELECT {ROW_COLS} FROM ledger WHERE account = {q(P.ACCOUNT_ID)}")
+    asc = ", ".join(f"{c} ASC NULLS LAST" for c in ORDERED_ROWS.split(", "))
+    sql["preview_head"] = with_ledger(
+        f"SELECT {ROW_COLS} FROM ledger ORDER BY date ASC NULLS LAST, {asc} LIMIT 5")
+    rest = ", ".join(f"{c} ASC NULLS LAST" for c in ORDERED_ROWS.split(", ") if c != "amount")
+    sql["limit_rows"] = with_ledger(
+        f"SELECT {ROW_COLS} FROM ledger ORDER BY date DESC NULLS LAST, amount DESC NULLS LAST, {rest} "
+        f"LIMIT {P.LIMIT_ROWS}")
+    labels = ", ".join(f"{e} AS {g}" for g, e in PERIOD_SQL.items())
+    sql["period_labels"] = with_ledger(
+        f"SELECT date, {labels} FROM (SELECT DISTINCT date FROM ledger WHERE date IS NOT NULL) d")
+    sql["format_currency"] = f"""
+SELECT category, format('{{:<25}} {{:>15}} {{:>8}} {{:>15}} {{:>15}} {{:>15}} {{:>7.1f}}%', category,
+       {cur('total')}, count, {cur('average')}, {cur('min')}, {cur('max')}, percentage_of_total) AS line
+FROM {over(category_sql(None, None))}"""
+    sql["render_cash_flow_lines"] = f"""
+SELECT period, format('{{:<15}} {{:>15}} {{:>15}} {{:>15}} {{:>20}}', period, {cur('inflow')},
+       {cur('outflow')}, {cur('net_flow')}, {cur('running_balance')}) AS line
+FROM {over(cash_flow_sql('monthly'))}"""
+    sql["render_pnl_lines"] = f"""
+SELECT 'income' AS section, category,
+       '    ' || format('{{:30}} {{:>15}} ({{:.1f}}%)', category, {cur('total')}, percentage_of_income) AS line
+FROM {over(pnl_side_sql(P.PNL_FILTER, 'income'))}
+UNION ALL
+SELECT 'expenses' AS section, category,
+       '    ' || format('{{:30}} {{:>15}} ({{:.1f}}%)', category, {cur('total')}, percentage_of_expenses) AS line
+FROM ({pnl_side_sql(P.PNL_FILTER, 'expense')}) t2"""
+    sql["render_merchant_lines"] = f"""
+SELECT merchant, format('{{:<30}} {{:>15}} {{:>8}} {{:>15}} {{:<20}} {{:>7.1f}}%', left(merchant, 30),
+       {cur('total')}, count, {cur('average')}, left(primary_category, 20), percentage_of_total) AS line
+FROM {over(merchant_sql(None, P.MERCHANT_TOP_N))}"""
+    sql["render_trend_lines"] = f"""
+SELECT period, format('{{:<15}} {{:>15}} {{:>15}} {{:>15}} {{:>8}} {{:<25}}', period, {cur('income')},
+       {cur('expenses')}, {cur('net')}, transaction_count,
+       left(COALESCE(top_expense_category, 'N/A'), 25)) AS line
+FROM {over(trend_sql('monthly', P.TREND_TOP_FILTER))}"""
+    sql["render_account_lines"] = f"""
+SELECT account, format('{{:<30}} {{:>15}} {{:>15}} {{:>15}} {{:>8}}', left(account, 30), {cur('income')},
+       {cur('expenses')}, {cur('balance_change')}, transaction_count) AS line
+FROM {over(account_sql(None))}"""
+    sql["row_quality_split"] = with_ledger("""
+SELECT CASE WHEN reason IS NULL THEN 'valid' ELSE 'quarantine' END AS quality, reason, COUNT(*) AS rows
+FROM (SELECT CASE WHEN date IS NULL THEN 'date_missing'
+                  WHEN amount IS NULL THEN 'amount_missing'
+                  WHEN abs(amount) > 1000000000 THEN 'amount_range'
+                  WHEN length(description) > 500 OR length(category) > 500 OR length(account) > 500
+                       OR length(merchant) > 500 OR length(notes) > 500 THEN 'text_too_long'
+             END AS reason FROM ledger) r
+GROUP BY 1, 2""")
+    return sql
+
+
 def build() -> dict[str, str]:
     sql: dict[str, str] = {}
     for g in PERIOD_SQL:
@@ -357,4 +459,5 @@ def build() -> dict[str, str]:
         sql[name] = rows_sql(f)
     for name, f in P.TXN_FILTERS.items():
         sql[name] = txn_rows_sql(f)
+    sql.update(more_sql())
     return sql

@@ -60,3 +60,4 @@ PERIODS = [
 ACCOUNT_ID = "Customer#000000042"
 AS_OF = "1998-12-31"
 LAST_DAYS = 90
+LIMIT_ROWS = 100

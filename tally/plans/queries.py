@@ -22,8 +22,17 @@ from tally.operators.merchant import merchant_analysis, merchant_category, prima
 from tally.operators.pnl import profit_and_loss
 from tally.operators.summary import describe_amounts, summary_statistics, top_categories
 from tally.operators.trend import trend
+from tally.operators import render as R
+from tally.operators.export import (READ_BACK_FORMATS, cash_flow_document, export_csv, export_json,
+                                    preview, read_exported_csv, text_schema)
+from tally.operators.quality import quality_counts
 from tally.plans import params as P
-from tally.sources.fixtures import ledger
+from tally.session import scratch_dir
+from tally.sources.acquire import acquire, by_account, list_accounts, list_categories
+from tally.sources.fixtures import ledger, transactions, transactions_raw
+from tally.sources.html import account_pages, extract_accounts, extract_transactions, transaction_pages
+from tally.sources.ingest import coerce_amounts, coerce_dates, normalize, parse_currency_text
+from tally.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,4 +94,81 @@ def build() -> dict[str, Query]:
         q[name] = _on_ledger(lambda d, f=f: rows_out(f.apply(d)))
     for name, f in P.TXN_FILTERS.items():
         q[name] = _on_ledger(lambda d, f=f: rows_out(f.apply(d)))
+    _more(q)
     return q
+
+
+def _periods(d: DataFrame) -> DataFrame:
+    from tally.functions.periods import period_label
+    dates = d.select("date").where(F.col("date").isNotNull()).distinct()
+    return dates.select("date", *[period_label(F.col("date"), g).alias(g) for g in GROUPINGS])
+
+
+def _csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = export_csv(rows_out(ledger(spark, sf)).withColumn("amount", F.col("amount").cast("decimal(18,2)")),
+                      scratch_dir(spark, "csv"))
+    back = read_exported_csv(spark, path)
+    return rows_out(normalize(back.withColumns({"l_orderkey": F.col("l_orderkey").cast("bigint"),
+                                                "l_linenumber": F.col("l_linenumber").cast("int")}),
+                              date_formats=READ_BACK_FORMATS))
+
+
+def _json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    d = rows_out(ledger(spark, sf)).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    path = export_json(d, scratch_dir(spark, "json"))
+    back = spark.read.schema(text_schema(["l_orderkey", "l_linenumber"])).json(path)
+    return rows_out(normalize(back.withColumns({"l_orderkey": F.col("l_orderkey").cast("bigint"),
+                                                "l_linenumber": F.col("l_linenumber").cast("int")}),
+                              date_formats=READ_BACK_FORMATS))
+
+
+def _html_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    recs = normalize(extract_transactions(transaction_pages(transactions(spark, sf))))
+    return recs.select("page_id", "date", F.col("amount").cast("double").alias("amount"),
+                       "description", "merchant", "category", "account", "notes")
+
+
+def _more(q: dict) -> None:
+    q["ingest_normalize"] = lambda spark, sf: rows_out(ledger(spark, sf))
+    q["ingest_coerce_dates"] = lambda spark, sf: coerce_dates(
+        transactions_raw(spark, sf).select("l_orderkey", "l_linenumber",
+                                           F.col("date").alias("date_text"), "date"))
+    q["ingest_coerce_amounts"] = lambda spark, sf: coerce_amounts(
+        transactions_raw(spark, sf).select("l_orderkey", "l_linenumber",
+                                           F.col("amount").alias("amount_text"), "amount")
+    ).withColumn("amount", F.col("amount").cast("double"))
+    q["parse_currency_text"] = lambda spark, sf: transactions_raw(spark, sf).select(
+        "l_orderkey", "l_linenumber", F.col("amount").alias("amount_text"),
+        parse_currency_text(F.col("amount")).cast("double").alias("amount"))
+    q["html_extract_transactions"] = _html_transactions
+    q["html_extract_accounts"] = lambda spark, sf: extract_accounts(
+        account_pages(read_table(spark, sf, "customer", "c_custkey", "c_name"))).drop("row_no")
+    q["list_accounts"] = _on_ledger(list_accounts)
+    q["list_categories"] = _on_ledger(list_categories)
+    q["acquire_last_n_days"] = _on_ledger(
+        lambda d: rows_out(acquire(d, days=P.LAST_DAYS, as_of=P.AS_OF)))
+    q["acquire_default_ytd"] = _on_ledger(lambda d: rows_out(acquire(d, as_of=P.AS_OF)))
+    q["acquire_by_account"] = _on_ledger(lambda d: rows_out(by_account(d, P.ACCOUNT_ID)))
+    q["preview_head"] = _on_ledger(lambda d: preview(rows_out(d), 5))
+    q["limit_rows"] = _on_ledger(lambda d: rows_out(d).orderBy(
+        F.col("date").desc_nulls_last(), F.col("amount").desc_nulls_last(),
+        *[F.col(c).asc_nulls_last() for c in ROW_COLS if c not in ("date", "amount")]).limit(P.LIMIT_ROWS))
+    q["period_labels"] = _on_ledger(_periods)
+    q["format_currency"] = _on_ledger(lambda d: R.category_lines(category_analysis(d).details))
+    q["render_cash_flow_lines"] = _on_ledger(lambda d: R.cash_flow_lines(cash_flow(d).details))
+    q["render_pnl_lines"] = _on_ledger(lambda d: _pnl_lines(profit_and_loss(d, P.PNL_FILTER)))
+    q["render_merchant_lines"] = _on_ledger(
+        lambda d: R.merchant_lines(merchant_analysis(d, top_n=P.MERCHANT_TOP_N).details))
+    q["render_trend_lines"] = _on_ledger(lambda d: R.trend_lines(trend(d, P.TREND_TOP_FILTER).details))
+    q["render_account_lines"] = _on_ledger(lambda d: R.account_lines(account_summary(d).details))
+    q["row_quality_split"] = _on_ledger(quality_counts)
+    q["csv_roundtrip"] = _csv_roundtrip
+    q["json_roundtrip"] = _json_roundtrip
+    q["report_json_document"] = _on_ledger(lambda d: cash_flow_document(d, grouping="quarterly"))
+
+
+def _pnl_lines(rep) -> DataFrame:
+    inc = R.pnl_category_lines(rep.sections["income_by_category"], "percentage_of_income")
+    exp = R.pnl_category_lines(rep.sections["expenses_by_category"], "percentage_of_expenses")
+    return (inc.select(F.lit("income").alias("section"), "category", "line")
+               .unionByName(exp.select(F.lit("expenses").alias("section"), "category", "line")))

@@ -97,11 +97,13 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet",
                       scale: int = 2, date_formats=DEFAULT_DATE_FORMATS) -> DataFrame:
     """Read a transaction file set and normalize it.
 
-    CSV and JSON are read with an explicit all-text schema (no inference
-    pass over the data); coercion then applies the rules above.
+    CSV is read by header names as text and JSON with an explicit all-text
+    schema, so neither needs an inference pass over the data; coercion then
+    applies the rules above.
     """
     if fmt == "csv":
-        raw = spark.read.option("header", True).schema(RAW_TXN_SCHEMA).csv(path)
+        from tally.operators.export import read_exported_csv
+        raw = read_exported_csv(spark, path)
     elif fmt == "json":
         raw = spark.read.schema(RAW_TXN_SCHEMA).json(path)
     elif fmt == "parquet":
