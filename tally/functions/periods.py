@@ -37,6 +37,28 @@ def period_label(date: Column, grouping: str) -> Column:
     raise ValueError(f"grouping must be one of {GROUPINGS}, got {grouping!r}")
 
 
+def period_key(date: Column, grouping: str) -> Column:
+    """The first day of the date's period, as a DATE.
+
+    Grouping on this key is cheap integer arithmetic per row; the string
+    label is computed from it after aggregation, on one row per period.
+    Keys sort in the same order as their labels.
+    """
+    if grouping == "daily":
+        return F.to_date(date)
+    if grouping == "weekly":
+        return week_start(date)
+    if grouping in ("monthly", "quarterly", "yearly"):
+        return F.trunc(F.to_date(date), {"monthly": "month", "quarterly": "quarter",
+                                         "yearly": "year"}[grouping])
+    raise ValueError(f"grouping must be one of {GROUPINGS}, got {grouping!r}")
+
+
+def key_label(key: Column, grouping: str) -> Column:
+    """Label of a ``period_key`` value (same text as ``period_label``)."""
+    return period_label(key, grouping)
+
+
 def period_description(start_date: str | None, end_date: str | None) -> str:
     """Human-readable filter window of a P&L report."""
     if start_date and end_date:

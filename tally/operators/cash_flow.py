@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.functions.money import dsum, is_expense, is_income, to_double
-from tally.functions.periods import period_label
+from tally.functions.periods import key_label, period_key
 from tally.operators.base import Report
 from tally.operators.filters import ReportFilter, apply_filters
 
 
 def period_frame(df: DataFrame, grouping: str, *cols: str) -> DataFrame:
-    """Rows with a ``period`` label; rows without a date have no period and drop."""
-    return (df.select(period_label(F.col("date"), grouping).alias("period"), *cols)
-              .where(F.col("period").isNotNull()))
+    """Rows with a ``pkey`` (first day of their period); rows without a date
+    have no period and drop. Labels are attached after aggregation."""
+    return (df.select(period_key(F.col("date"), grouping).alias("pkey"), *cols)
+              .where(F.col("pkey").isNotNull()))
 
 
 def cash_flow_periods(df: DataFrame, grouping: str = "monthly") -> DataFrame:
@@ -25,10 +26,11 @@ def cash_flow_periods(df: DataFrame, grouping: str = "monthly") -> DataFrame:
     """
     amt = F.col("amount")
     return (period_frame(df, grouping, "amount")
-            .groupBy("period")
+            .groupBy("pkey")
             .agg(dsum(F.when(is_income(), amt)).alias("inflow"),
                  F.abs(dsum(F.when(is_expense(), amt))).alias("outflow"),
-                 F.count(F.lit(1)).alias("transaction_count")))
+                 F.count(F.lit(1)).alias("transaction_count"))
+            .withColumn("period", key_label(F.col("pkey"), grouping)))
 
 
 def cash_flow(df: DataFrame, flt: ReportFilter | None = None,
@@ -37,7 +39,7 @@ def cash_flow(df: DataFrame, flt: ReportFilter | None = None,
     # The running balance is a window over the aggregated periods only:
     # at most one row per period label (3,650 for ten years of days), so the
     # single ordered partition it needs stays small at any data size.
-    run = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.orderBy("pkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     net = F.col("inflow") - F.col("outflow")
     details = per.select(
         "period",

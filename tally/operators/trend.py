@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tally.functions.money import dsum, is_expense, is_income, to_double
 from tally.operators.base import Report
+from tally.functions.periods import key_label
 from tally.operators.cash_flow import period_frame
 from tally.operators.filters import ReportFilter, apply_filters
 
@@ -22,20 +23,20 @@ def trend(df: DataFrame, flt: ReportFilter | None = None, grouping: str = "month
     """
     amt = F.col("amount")
     pc = (period_frame(apply_filters(df, flt), grouping, "category", "amount")
-          .groupBy("period", "category")
+          .groupBy("pkey", "category")
           .agg(dsum(F.when(is_income(), amt)).alias("inc"),
                F.sum(F.when(is_expense(), amt)).alias("exp"),
                F.count(F.lit(1)).alias("n")))
     cand = F.when(F.col("category").isNotNull() & F.col("exp").isNotNull(),
                   F.struct(F.col("exp").alias("s"), F.col("category").alias("c")))
-    per = pc.groupBy("period").agg(
+    per = pc.groupBy("pkey").agg(
         dsum(F.col("inc")).alias("income"),
         F.abs(dsum(F.col("exp"))).alias("expenses"),
         F.sum("n").alias("transaction_count"),
         F.min(cand).getField("c").alias("top_expense_category"),
     )
     details = per.select(
-        "period",
+        key_label(F.col("pkey"), grouping).alias("period"),
         to_double(F.col("income")).alias("income"),
         to_double(F.col("expenses")).alias("expenses"),
         to_double(F.col("income") - F.col("expenses")).alias("net"),

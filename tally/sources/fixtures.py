@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tally.operators.joins import sized_broadcast
 from tally.schema import AMOUNT_TYPE, LINEAGE
 from tally.sources.tables import read_table
 
@@ -28,9 +29,9 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Join order: orders ⋈ customer first, so the wide fact table is joined
     on l_orderkey once; part and supplier are joined on their own keys.
-    Dimension sides are broadcast by the planner only when their measured
-    size is under ``spark.sql.autoBroadcastJoinThreshold``; AQE re-checks
-    that at runtime, otherwise these are sort-merge joins.
+    Each dimension side is broadcast only after ``sized_broadcast`` measured
+    it under the byte bound; otherwise the planner keeps shuffle joins (the
+    case at large scale factors) and AQE may still switch at runtime.
     """
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey",
                     "l_suppkey", "l_linenumber", "l_extendedprice",
@@ -40,7 +41,11 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer", "c_custkey", "c_name")
     p = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
     s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
+    tag = sf_dir.rstrip("/")
     oc = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "o_orderpriority", "c_name")
+    oc = sized_broadcast(oc, f"{tag}|orders*customer", [o, c])
+    p = sized_broadcast(p, f"{tag}|part")
+    s = sized_broadcast(s, f"{tag}|supplier")
     j = (li.join(oc, li.l_orderkey == oc.o_orderkey)
            .join(p, li.l_partkey == p.p_partkey)
            .join(s, li.l_suppkey == s.s_suppkey))
