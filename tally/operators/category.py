@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.functions.money import ratio_pct, to_double
@@ -26,10 +26,12 @@ def category_analysis(df: DataFrame, flt: ReportFilter | None = None,
     if top_n is not None and top_n < 0:
         raise ValueError("top_n must be >= 0")
     cm = category_moments(apply_filters(df, flt))
-    # Grand total: a scalar subquery over the aggregated rows (one row per
-    # category), not a second scan of the transactions.
-    grand = cm.select(F.sum("s").alias("g")).scalar()
-    rows = cm.where(F.col("category").isNotNull()).orderBy(F.col("s").desc(), F.col("category").asc())
+    # Grand total from the aggregated rows (one per category, null category
+    # included), not from a second scan: a window over categories + 1 rows.
+    grand = F.col("g")
+    rows = (cm.withColumn("g", F.sum("s").over(Window.partitionBy()))
+              .where(F.col("category").isNotNull())
+              .orderBy(F.col("s").desc(), F.col("category").asc()))
     if top_n:
         rows = rows.limit(top_n)
     s, n = F.col("s"), F.col("n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.functions.money import dsum, ratio_pct, to_double
@@ -50,23 +50,34 @@ def merchant_analysis(df: DataFrame, flt: ReportFilter | None = None,
                       top_n: int | None = DEFAULT_TOP_N) -> Report:
     """Sorted by |total| descending (ties: merchant ascending), first
     ``top_n`` (None = all). Shares divide by |grand total| of all filtered
-    rows, merchants without a name included."""
+    rows, merchants without a name included.
+
+    Plan: (merchant, category) partial aggregate → ``rollup(merchant)`` over
+    those pre-aggregated rows, which adds the grand-total row in the same
+    aggregation (no second scan) → one top-(N+1) with the total row ordered
+    first → the share is a window over those N+1 rows. With ``top_n=None``
+    that window spans all merchant rows (one partition of aggregated rows).
+    """
     if top_n is not None and top_n < 1:
         raise ValueError("top_n must be >= 1")
     mc = merchant_category(apply_filters(df, flt))
-    grand = mc.select(F.sum("s").alias("g")).scalar()
-    m = merchant_totals(mc)
-    s, n = F.col("s"), F.col("n")
-    ranked = m.orderBy(F.abs(s).desc(), F.col("merchant").asc())
+    m = (mc.rollup("merchant")
+           .agg(dsum(F.col("s")).alias("s"), F.sum("n").alias("n"),
+                mode_category().alias("primary_category"), F.grouping_id().alias("gid")))
+    is_total = F.col("gid") == 1
+    ranked = (m.where(is_total | F.col("merchant").isNotNull())
+               .orderBy(is_total.desc(), F.abs(F.col("s")).desc(), F.col("merchant").asc()))
     if top_n:
-        ranked = ranked.limit(top_n)
-    details = ranked.select(
+        ranked = ranked.limit(top_n + 1)
+    with_total = ranked.withColumn("g", F.max(F.when(is_total, F.col("s"))).over(Window.partitionBy()))
+    s, n = F.col("s"), F.coalesce(F.col("n"), F.lit(0))
+    details = with_total.where(~is_total).select(
         "merchant",
         to_double(s).alias("total"),
         n.alias("count"),
         F.when(n > 0, to_double(s) / n).alias("average"),
         "primary_category",
-        ratio_pct(s, grand).alias("percentage_of_total"),
+        ratio_pct(s, F.col("g")).alias("percentage_of_total"),
     ).orderBy(F.abs(F.col("total")).desc(), F.col("merchant").asc())
     header = mc.agg(
         to_double(F.coalesce(F.sum("s"), F.lit(0))).alias("total_amount"),

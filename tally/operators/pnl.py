@@ -28,20 +28,32 @@ def sign_category(df: DataFrame) -> DataFrame:
                    F.count(F.lit(1)).alias("rows")))
 
 
-def _by_category(sc: DataFrame, sign: str, share_name: str) -> DataFrame:
-    side = sc.where(F.col(SIGN) == sign)
-    # Denominator over the aggregated rows of this side (null category
-    # included): a window over at most categories + 1 rows.
+def category_sides(sc: DataFrame) -> DataFrame:
+    """Both P&L category lists in one frame (``section`` income/expenses).
+
+    Shares divide by the side's total over the aggregated rows of that side,
+    null category included: a window partitioned by sign over at most
+    categories + 1 rows per side.
+    """
     tot = F.abs(F.sum("s").over(Window.partitionBy(SIGN)))
     total = F.abs(F.col("s"))
-    return (side.select("category", "s", "n", tot.alias("tot"))
-                .where(F.col("category").isNotNull())
-                .select("category",
-                        to_double(total).alias("total"),
-                        F.col("n").alias("count"),
-                        F.abs(to_double(F.col("s")) / F.col("n")).alias("average"),
-                        ratio_pct(total, F.col("tot"), F.col("tot") > 0).alias(share_name))
-                .orderBy(F.col("total").desc(), F.col("category").asc()))
+    return (sc.where(F.col(SIGN).isNotNull())
+              .select(SIGN, "category", "s", "n", tot.alias("tot"))
+              .where(F.col("category").isNotNull())
+              .select(F.when(F.col(SIGN) == "income", F.lit("income")).otherwise(F.lit("expenses"))
+                       .alias("section"),
+                      "category",
+                      to_double(total).alias("total"),
+                      F.col("n").alias("count"),
+                      F.abs(to_double(F.col("s")) / F.col("n")).alias("average"),
+                      ratio_pct(total, F.col("tot"), F.col("tot") > 0).alias("percentage")))
+
+
+def _by_category(sides: DataFrame, section: str, share_name: str) -> DataFrame:
+    return (sides.where(F.col("section") == section)
+                 .select("category", "total", "count", "average",
+                         F.col("percentage").alias(share_name))
+                 .orderBy(F.col("total").desc(), F.col("category").asc()))
 
 
 def profit_and_loss(df: DataFrame, flt: ReportFilter | None = None) -> Report:
@@ -60,7 +72,9 @@ def profit_and_loss(df: DataFrame, flt: ReportFilter | None = None) -> Report:
         F.coalesce(F.sum(F.when(F.col(SIGN) == "expense", F.col("rows"))), F.lit(0))
          .alias("expense_transaction_count"),
     )
+    sides = category_sides(sc)
     return Report("profit_and_loss", header, None, {
-        "income_by_category": _by_category(sc, "income", "percentage_of_income"),
-        "expenses_by_category": _by_category(sc, "expense", "percentage_of_expenses"),
+        "income_by_category": _by_category(sides, "income", "percentage_of_income"),
+        "expenses_by_category": _by_category(sides, "expenses", "percentage_of_expenses"),
+        "by_category": sides,
     })

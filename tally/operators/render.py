@@ -33,11 +33,11 @@ def _join(*parts: Column) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def pnl_category_lines(details: DataFrame, share: str) -> DataFrame:
+def pnl_category_lines(details: DataFrame, share: str, keep=()) -> DataFrame:
     line = F.concat(F.lit("    "), pad_right(F.col("category"), 30), F.lit(" "),
                     pad_left(cur(F.col("total")), 15),
                     F.lit(" ("), format_fixed(F.col(share), 1), F.lit("%)"))
-    return details.select("category", line.alias("line"))
+    return details.select(*keep, "category", line.alias("line"))
 
 
 def cash_flow_lines(details: DataFrame) -> DataFrame:

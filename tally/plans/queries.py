@@ -168,7 +168,4 @@ def _more(q: dict) -> None:
 
 
 def _pnl_lines(rep) -> DataFrame:
-    inc = R.pnl_category_lines(rep.sections["income_by_category"], "percentage_of_income")
-    exp = R.pnl_category_lines(rep.sections["expenses_by_category"], "percentage_of_expenses")
-    return (inc.select(F.lit("income").alias("section"), "category", "line")
-               .unionByName(exp.select(F.lit("expenses").alias("section"), "category", "line")))
+    return R.pnl_category_lines(rep.sections["by_category"], "percentage", keep=("section",))
