@@ -43,7 +43,7 @@ HEADLINE = {
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    reps = int(os.environ.get("BENCH_REPS", "2"))
+    reps = int(os.environ.get("BENCH_REPS", "3"))
     spark = get_session(f"local[{cpus}]", app_name="tally-bench", shuffle_partitions=int(cpus))
     times, rows = {}, {}
     for name, fn in HEADLINE.items():

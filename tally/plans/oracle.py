@@ -341,6 +341,7 @@ def over(sql: str) -> str:
 def more_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     rows = rows_sql(None)
+    sql["stream_cash_flow_daily"] = cash_flow_sql("daily")
     sql["ingest_normalize"] = rows
     sql["csv_roundtrip"] = rows
     sql["json_roundtrip"] = rows

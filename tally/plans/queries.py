@@ -122,6 +122,22 @@ def _json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
                               date_formats=READ_BACK_FORMATS))
 
 
+def _stream_cash_flow(spark: SparkSession, sf: str) -> DataFrame:
+    """Ledger rows exported as monthly parquet files, then consumed by the
+    streaming cash flow two files per micro-batch; result read from the sink."""
+    from tally.schema import TXN_SCHEMA
+    from tally.streaming.cash_flow_stream import read_cash_flow, start_cash_flow_stream
+    base = scratch_dir(spark, "stream")
+    src = f"{base}/source"
+    led = ledger(spark, sf).select(*TXN_SCHEMA.fieldNames())
+    (led.withColumn("m", F.date_format("date", "yyyy-MM"))
+        .repartition("m").drop("m").write.parquet(src))
+    q = start_cash_flow_stream(spark, src, f"{base}/sink", f"{base}/checkpoint", TXN_SCHEMA,
+                               watermark=P.STREAM_WATERMARK, max_files_per_trigger=2)
+    q.awaitTermination()
+    return read_cash_flow(spark, f"{base}/sink", "daily")
+
+
 def _html_transactions(spark: SparkSession, sf: str) -> DataFrame:
     recs = normalize(extract_transactions(transaction_pages(transactions(spark, sf))))
     return recs.select("page_id", "date", F.col("amount").cast("double").alias("amount"),
@@ -164,6 +180,7 @@ def _more(q: dict) -> None:
     q["row_quality_split"] = _on_ledger(quality_counts)
     q["csv_roundtrip"] = _csv_roundtrip
     q["json_roundtrip"] = _json_roundtrip
+    q["stream_cash_flow_daily"] = _stream_cash_flow
     q["report_json_document"] = _on_ledger(lambda d: cash_flow_document(d, grouping="quarterly"))
 
 
