@@ -121,12 +121,35 @@ def _wrap(tag: str, attrs: str, body):
     return F.concat(F.lit(f"<{tag}{attrs}>"), body, F.lit(f"</{tag}>"))
 
 
+ROWS_PER_PAGE = 50
+
+
+def _chunk() -> "F.Column":
+    """Page part of a row: runs of ROWS_PER_PAGE consecutive rows of a partition.
+
+    Grouping on (key, part) bounds every page to ROWS_PER_PAGE rows, so a
+    key holding a large share of all rows becomes many small pages instead
+    of one unbounded group.
+    """
+    return F.floor(F.monotonically_increasing_id() / ROWS_PER_PAGE).cast("long")
+
+
+def _by_key(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Hash-partition on ``key`` into ``spark.sql.shuffle.partitions`` parts
+    and sort within them, so a key's rows are consecutive. The explicit
+    partition count keeps AQE from coalescing the (small, CPU-heavy) page
+    frame below the core count; the later group-by on (key, part) reuses
+    this partitioning (no second shuffle)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key, *order)
+
+
 def transaction_pages(txn: DataFrame) -> DataFrame:
-    """One page per order (page_id = l_orderkey) holding its transactions.
+    """Pages of an order's transactions (page_id = l_orderkey, page_part).
 
     The markup varies with page_id % 4 over the four row selectors and the
     class / data-attribute / positional cell forms. Rows of a page are
-    ordered by line number; a page holds one order's lines (bounded).
+    ordered by line number; a page holds at most ROWS_PER_PAGE rows.
     """
     d = _esc(F.date_format("date", "yyyy-MM-dd"))
     desc, cat = _esc(F.col("description")), _esc(F.col("category"))
@@ -147,8 +170,10 @@ def transaction_pages(txn: DataFrame) -> DataFrame:
                 _wrap("div", ' class="description"', desc),
                 _wrap("div", ' data-amount="x"', amt),
                 _wrap("div", ' class="category"', cat)))))
-    rows = (txn.select(F.col("l_orderkey").alias("page_id"), "l_linenumber", row.alias("row"))
-               .groupBy("page_id")
+    keyed = _by_key(txn.select(F.col("l_orderkey").alias("page_id"), "l_linenumber",
+                               row.alias("row")), "page_id", "l_linenumber")
+    rows = (keyed.withColumn("page_part", _chunk())
+               .groupBy("page_id", "page_part")
                .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "row"))).alias("rows")))
     body = F.array_join(F.transform("rows", lambda r: r.getField("row")), "")
     shell = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("<table>"), body, F.lit("</table>"))) \
@@ -156,14 +181,15 @@ def transaction_pages(txn: DataFrame) -> DataFrame:
              .otherwise(F.concat(F.lit("<div>"), body, F.lit("</div>")))
     html = F.concat(F.lit("<!DOCTYPE html><html><head><title>Transactions</title></head><body>"
                           "<nav><a href=\"/\">Home</a></nav>"), shell, F.lit("</body></html>"))
-    return rows.select("page_id", html.alias("html"))
+    return rows.select("page_id", "page_part", html.alias("html"))
 
 
 ACCOUNTS_PER_PAGE = 50
 
 
 def account_pages(customer: DataFrame) -> DataFrame:
-    """Pages of at most ACCOUNTS_PER_PAGE account elements built from customers.
+    """Pages of account elements built from customers (page_id = custkey / 50,
+    at most ROWS_PER_PAGE elements per page_part).
 
     Elements vary with the page number % 3 over the three account selectors.
     """
@@ -177,10 +203,12 @@ def account_pages(customer: DataFrame) -> DataFrame:
                                   F.lit('">'), name, F.lit("</li>")))
            .otherwise(F.concat(F.lit('<section data-account="a" data-id="'), ident,
                                F.lit('"><h3> '), name, F.lit(" </h3></section>"))))
-    return (customer.select(page.alias("page_id"), "c_custkey", el.alias("el"))
-                    .groupBy("page_id")
+    keyed = _by_key(customer.select(page.alias("page_id"), "c_custkey", el.alias("el")),
+                    "page_id", "c_custkey")
+    return (keyed.withColumn("page_part", _chunk())
+                    .groupBy("page_id", "page_part")
                     .agg(F.sort_array(F.collect_list(F.struct("c_custkey", "el"))).alias("els"))
-                    .select("page_id", F.concat(
+                    .select("page_id", "page_part", F.concat(
                         F.lit("<html><body><h1>Accounts</h1>"),
                         F.array_join(F.transform("els", lambda r: r.getField("el")), ""),
                         F.lit("</body></html>")).alias("html")))
