@@ -342,6 +342,14 @@ def more_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     rows = rows_sql(None)
     sql["stream_cash_flow_daily"] = cash_flow_sql("daily")
+    sql["store_pnl_totals"] = pnl_totals_sql(P.PNL_FILTER)
+    sql["render_pnl_totals"] = f"""
+SELECT 'Period: ' || period AS period_line,
+       '  Total Income:    ' || {cur('total_income')} AS income_line,
+       '  Total Expenses:  ' || {cur('total_expenses')} AS expense_line,
+       CASE WHEN net_income >= 0 THEN 'NET INCOME' ELSE 'NET LOSS' END || ':       '
+         || {cur('abs(net_income)')} AS net_line
+FROM {over(pnl_totals_sql(P.PNL_FILTER))}"""
     sql["ingest_normalize"] = rows
     sql["csv_roundtrip"] = rows
     sql["json_roundtrip"] = rows

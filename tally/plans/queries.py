@@ -138,6 +138,22 @@ def _stream_cash_flow(spark: SparkSession, sf: str) -> DataFrame:
     return read_cash_flow(spark, f"{base}/sink", "daily")
 
 
+def _store_pnl(spark: SparkSession, sf: str) -> DataFrame:
+    """P&L totals over the month-partitioned store of the ledger; the date
+    filter prunes partitions (see tally.sources.store)."""
+    from tally.sources.store import read_store, write_store
+    path = write_store(ledger(spark, sf), scratch_dir(spark, "store"))
+    return profit_and_loss(read_store(spark, path), P.PNL_FILTER).header
+
+
+def _pnl_totals_text(d: DataFrame) -> DataFrame:
+    h = profit_and_loss(d, P.PNL_FILTER).header
+    return h.select(F.concat(F.lit("Period: "), F.col("period")).alias("period_line"),
+                    F.concat(F.lit("  Total Income:    "), R.cur(F.col("total_income"))).alias("income_line"),
+                    F.concat(F.lit("  Total Expenses:  "), R.cur(F.col("total_expenses"))).alias("expense_line"),
+                    R.net_label(F.col("net_income")).alias("net_line"))
+
+
 def _html_transactions(spark: SparkSession, sf: str) -> DataFrame:
     recs = normalize(extract_transactions(transaction_pages(transactions(spark, sf))))
     return recs.select("page_id", "date", F.col("amount").cast("double").alias("amount"),
@@ -181,6 +197,8 @@ def _more(q: dict) -> None:
     q["csv_roundtrip"] = _csv_roundtrip
     q["json_roundtrip"] = _json_roundtrip
     q["stream_cash_flow_daily"] = _stream_cash_flow
+    q["store_pnl_totals"] = _store_pnl
+    q["render_pnl_totals"] = _on_ledger(_pnl_totals_text)
     q["report_json_document"] = _on_ledger(lambda d: cash_flow_document(d, grouping="quarterly"))
 
 
