@@ -7,37 +7,60 @@ from pyspark.sql import functions as F
 
 from tally.functions.money import dsum, to_double
 from tally.operators.base import Report
+from tally.operators.quantiles import bucketed, histogram, select_quantiles, with_quantiles
 from tally.operators.stats import mean, stddev_samp
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def exact_percentiles(c: Column, ps) -> Column:
-    """Exact percentiles with linear interpolation (array of doubles).
+def _moment_hist(vals: DataFrame) -> DataFrame:
+    v = F.col("v")
+    return histogram(vals, F.count(F.lit(1)).alias("rows"), dsum(v).alias("s"),
+                     F.min(v).alias("mn"), F.max(v).alias("mx"), F.sum(v * v).alias("sq"))
 
-    Spark keeps a value→count map per partial aggregate, so memory follows
-    the number of *distinct* amounts (bounded by the cents in the value
-    range), not the number of rows. ``approx=True`` callers use
-    ``percentile_approx`` instead.
-    """
-    return F.percentile(to_double(c), F.array(*[F.lit(float(p)) for p in ps]))
+
+MEDIAN_METHODS = ("select", "percentile", "approx")
 
 
-def summary_statistics(df: DataFrame, approx: bool = False) -> Report:
+def summary_statistics(df: DataFrame, median: str = "select") -> Report:
     """total_transactions counts rows; the other fields ignore null amounts;
-    total_amount is 0 over no amounts, the rest are null then."""
-    amt = F.col("amount")
-    med = (F.percentile_approx(to_double(amt), 0.5, 10000) if approx
-           else exact_percentiles(amt, [0.5])[0])
-    s, n = dsum(amt), F.count(amt)
-    header = df.agg(
-        F.count(F.lit(1)).alias("total_transactions"),
-        to_double(s).alias("total_amount"),
-        mean(s, n).alias("average_amount"),
-        to_double(F.min(amt)).alias("min_amount"),
-        to_double(F.max(amt)).alias("max_amount"),
-        med.alias("median_amount"),
-    )
+    total_amount is 0 over no amounts, the rest are null then.
+
+    ``median``:
+      select      exact; the bucket histogram of ``tally.operators.quantiles``
+                  also carries count/sum/min/max, so the header reads the
+                  input twice (histogram, selection) and never builds a
+                  single-task value map (default; scales with any data).
+      percentile  exact in one read with Spark's ``percentile``: its final
+                  merge holds every distinct amount in one task; fastest when
+                  the input is expensive to re-read and amounts are few.
+      approx      ``percentile_approx`` (rank error ≤ n/10000), one read.
+    """
+    if median not in MEDIAN_METHODS:
+        raise ValueError(f"median must be one of {MEDIAN_METHODS}")
+    if median != "select":
+        amt = F.col("amount")
+        s, n = dsum(amt), F.count(amt)
+        med = (F.percentile(to_double(amt), F.lit(0.5)) if median == "percentile"
+               else F.percentile_approx(to_double(amt), 0.5, 10000))
+        header = df.agg(F.count(F.lit(1)).alias("total_transactions"),
+                        to_double(s).alias("total_amount"), mean(s, n).alias("average_amount"),
+                        to_double(F.min(amt)).alias("min_amount"),
+                        to_double(F.max(amt)).alias("max_amount"),
+                        med.alias("median_amount"))
+        return Report("summary", header, summary_by_category(df))
+    vals = bucketed(df, "amount")
+    hist = _moment_hist(vals)
+    s, n = dsum(F.col("s")), F.sum("n")
+    stats = hist.agg(F.sum("rows").alias("total_transactions"),
+                     to_double(s).alias("total_amount"),
+                     mean(s, n).alias("average_amount"),
+                     to_double(F.min("mn")).alias("min_amount"),
+                     to_double(F.max("mx")).alias("max_amount"))
+    med = select_quantiles(vals, hist, [0.5], ["median_amount"])
+    header = with_quantiles(stats, med).select(
+        F.coalesce(F.col("total_transactions"), F.lit(0)).alias("total_transactions"),
+        "total_amount", "average_amount", "min_amount", "max_amount", "median_amount")
     return Report("summary", header, summary_by_category(df))
 
 
@@ -54,15 +77,14 @@ def top_categories(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def describe_amounts(df: DataFrame) -> DataFrame:
-    """count, mean, std, min, quartiles, max of amount (exact quartiles)."""
-    amt = F.col("amount")
-    s, n = dsum(amt), F.count(amt)
-    q = exact_percentiles(amt, QUARTILES)
-    return df.agg(
-        n.alias("count"),
-        mean(s, n).alias("mean"),
-        stddev_samp(s, n, F.sum(amt * amt)).alias("std"),
-        to_double(F.min(amt)).alias("min"),
-        q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"),
-        to_double(F.max(amt)).alias("max"),
-    )
+    """count, mean, std, min, quartiles, max of amount (exact quartiles,
+    same two-read plan as the summary median)."""
+    vals = bucketed(df, "amount")
+    hist = _moment_hist(vals)
+    s, n, sq = dsum(F.col("s")), F.coalesce(F.sum("n"), F.lit(0)), F.sum("sq")
+    stats = hist.agg(n.alias("count"), mean(s, n).alias("mean"),
+                     stddev_samp(s, n, sq).alias("std"),
+                     to_double(F.min("mn")).alias("min"), to_double(F.max("mx")).alias("max"))
+    qs = select_quantiles(vals, hist, QUARTILES, ["p25", "p50", "p75"])
+    return with_quantiles(stats, qs).select("count", "mean", "std", "min", "p25", "p50",
+                                                  "p75", "max")

@@ -220,3 +220,24 @@ def test_spec_runs_each_report(spark):
         assert rep.header.count() == 1
     r = ReportSpec(report_type="cash_flow", last_days=5, as_of="2024-01-10").run(df)
     assert [x.period for x in r.details.collect()] == ["2024-01"]
+
+
+def test_summary_empty_and_all_null(spark):
+    from tally.operators.summary import describe_amounts, summary_statistics
+    empty = txns(spark, [])
+    h = summary_statistics(empty).header.first().asDict()
+    assert h == {"total_transactions": 0, "total_amount": 0.0, "average_amount": None,
+                 "min_amount": None, "max_amount": None, "median_amount": None}
+    nulls = txns(spark, [(dt("2024-01-01"), None, "a", "m")] * 3)
+    h = summary_statistics(nulls).header.first().asDict()
+    assert (h["total_transactions"], h["total_amount"], h["median_amount"]) == (3, 0.0, None)
+    d = describe_amounts(txns(spark, [(dt("2024-01-01"), v, "a", "m") for v in (1, 2, 3, 4)])).first()
+    assert (d["count"], d.p25, d.p50, d.p75, d.min, d.max) == (4, 1.75, 2.5, 3.25, 1.0, 4.0)
+
+
+def test_median_methods_agree(spark):
+    from tally.operators.summary import summary_statistics
+    df = txns(spark, [(dt("2024-01-01"), v, "a", "m") for v in (5, -3.5, 7.25, 0, 1024, -2048.01)])
+    exact = {m: summary_statistics(df, median=m).header.first().median_amount
+             for m in ("select", "percentile")}
+    assert exact == {"select": 2.5, "percentile": 2.5}
