@@ -77,6 +77,13 @@ def cash_flow_document(df: DataFrame, flt=None, grouping: str = "monthly") -> Da
     return report_document(d, header, "periods", "period")
 
 
+def report_path(base_dir: str, kind: str, now=None, ext: str = "") -> str:
+    """Timestamped output location ``<base>/reports/<kind>_<YYYYmmdd_HHMMSS><ext>``."""
+    from datetime import datetime
+    stamp = (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
+    return f"{base_dir.rstrip('/')}/reports/{kind}_{stamp}{ext}"
+
+
 def preview(df: DataFrame, n: int = 5, order=None) -> DataFrame:
     """First ``n`` rows in a total order (default: by date, nulls last, then all columns)."""
     order = order or ([F.col("date").asc_nulls_last()] if "date" in df.columns else []) + \

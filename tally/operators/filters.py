@@ -29,6 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Partition column of the stored table (tally.sources.store).
+MONTH = "txn_month"
+
+
 def _ts(d: str) -> Column:
     return F.lit(f"{d} 00:00:00").cast("timestamp_ntz")
 
@@ -83,10 +87,10 @@ class ReportFilter:
         has = cols.__contains__
         if self.start_date and has("date"):
             preds.append(F.col("date") >= _ts(self.start_date))
-            if has("month"):  # stored table partitioned by 'yyyy-MM': prune folders
-                preds.append(F.col("month") >= self.start_date[:7])
-        if self.end_date and has("date") and has("month"):
-            preds.append(F.col("month") <= self.end_date[:7])
+            if has(MONTH):  # stored table partitioned by 'yyyy-MM': prune folders
+                preds.append(F.col(MONTH) >= self.start_date[:7])
+        if self.end_date and has("date") and has(MONTH):
+            preds.append(F.col(MONTH) <= self.end_date[:7])
         if self.end_date and has("date"):
             if self.end_inclusive_day:
                 preds.append(F.col("date") < F.date_add(_ts(self.end_date), 1).cast("timestamp_ntz"))

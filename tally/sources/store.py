@@ -2,8 +2,8 @@
 
 Reports over a raw source redo coercion (and, for the fixtures, the joins)
 on every run. ``write_store`` materializes the normalized table once as
-parquet partitioned by ``month`` ('yyyy-MM'); ``ReportFilter`` adds a
-``month`` bound next to its date bounds when the column exists, so date
+parquet partitioned by ``txn_month`` ('yyyy-MM'); ``ReportFilter`` adds a
+``txn_month`` bound next to its date bounds when the column exists, so date
 filters prune whole partitions, and the date comparison itself is pushed
 into the parquet scan of the remaining ones.
 """
@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PARTITION_COLUMN = "month"
+PARTITION_COLUMN = "txn_month"
 
 
 def write_store(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Write partitioned by month; rows without a date go to the null partition.
 
-    The shuffle on ``month`` makes each task write few partition folders
+    The shuffle on ``txn_month`` makes each task write few partition folders
     (no small-file explosion); AQE splits a month that holds a large share
     of the rows into several tasks and files.
     """

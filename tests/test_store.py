@@ -14,8 +14,8 @@ def test_store_reports_equal_and_prune(spark, sf_dir):
     st = read_store(spark, write_store(led, scratch_dir(spark, "t-store")))
     f = ReportFilter(start_date="1996-02-10", end_date="1997-11-03")
     assert rows_of(profit_and_loss(st, f).header) == rows_of(profit_and_loss(led, f).header)
-    assert rows_of(cash_flow(st.drop("month"), grouping="weekly").details) == \
+    assert rows_of(cash_flow(st.drop("txn_month"), grouping="weekly").details) == \
         rows_of(cash_flow(led, grouping="weekly").details)
     plan = profit_and_loss(st, f).header._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(month" in plan and "(month#" in plan
+    assert "PartitionFilters: [isnotnull(txn_month" in plan and "(txn_month#" in plan
     assert "GreaterThanOrEqual(date,1996-02-10T00:00)" in plan
