@@ -131,7 +131,7 @@ def _stream_cash_flow(spark: SparkSession, sf: str) -> DataFrame:
     src = f"{base}/source"
     led = ledger(spark, sf).select(*TXN_SCHEMA.fieldNames())
     (led.withColumn("m", F.date_format("date", "yyyy-MM"))
-        .repartition("m").drop("m").write.parquet(src))
+        .hint("rebalance", "m").drop("m").write.parquet(src))
     q = start_cash_flow_stream(spark, src, f"{base}/sink", f"{base}/checkpoint", TXN_SCHEMA,
                                watermark=P.STREAM_WATERMARK, max_files_per_trigger=2)
     q.awaitTermination()

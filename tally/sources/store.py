@@ -19,12 +19,13 @@ PARTITION_COLUMN = "txn_month"
 def write_store(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Write partitioned by month; rows without a date go to the null partition.
 
-    The shuffle on ``txn_month`` makes each task write few partition folders
-    (no small-file explosion); AQE splits a month that holds a large share
-    of the rows into several tasks and files.
+    The REBALANCE shuffle on ``txn_month`` makes each task write few
+    partition folders (no small-file explosion), and AQE splits a month that
+    holds a large share of the rows into several tasks and files
+    (``spark.sql.adaptive.optimizeSkewsInRebalancePartitions``).
     """
     m = F.date_format("date", "yyyy-MM")
-    (df.withColumn(PARTITION_COLUMN, m).repartition(PARTITION_COLUMN)
+    (df.withColumn(PARTITION_COLUMN, m).hint("rebalance", PARTITION_COLUMN)
        .write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path))
     return path
 
