@@ -4,8 +4,10 @@ The same operator as ``tally.operators.cash_flow`` (inflow, outflow and
 count per period), run as a Structured Streaming query:
 
   readStream (parquet/JSON/CSV files, explicit schema)
-    → drop rows without a date, cast the NTZ date to TIMESTAMP (watermarks
-      need an instant type; the session zone is UTC, so wall-clock stays)
+    → drop rows without a date, turn the NTZ date into the TIMESTAMP whose
+      UTC wall clock it is (watermarks need an instant type; day windows are
+      aligned to UTC days, so this keeps them on the record's calendar day
+      whatever the session time zone)
     → withWatermark(date, delay) → groupBy(window(date, "1 day"))
     → exact DECIMAL sums and row count per window, kept in the state store
     → update mode, foreachBatch: each micro-batch appends the windows it
@@ -33,16 +35,32 @@ from tally.functions.periods import period_label
 DEFAULT_WATERMARK = "30 days"
 
 
+def _zone(df: DataFrame) -> str:
+    return df.sparkSession.conf.get("spark.sql.session.timeZone", "UTC")
+
+
+def wall_to_instant(ntz, zone: str):
+    """NTZ wall clock → TIMESTAMP at that wall clock in UTC."""
+    return F.from_utc_timestamp(ntz.cast(T.TimestampType()), zone)
+
+
+def instant_to_wall(ts, zone: str):
+    """Inverse of ``wall_to_instant``."""
+    return F.to_utc_timestamp(ts, zone).cast(T.TimestampNTZType())
+
+
 def daily_flows(events: DataFrame, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
     amt = F.col("amount")
+    zone = _zone(events)
     return (events.where(F.col("date").isNotNull())
-                  .withColumn("ts", F.col("date").cast(T.TimestampType()))
+                  .withColumn("ts", wall_to_instant(F.col("date"), zone))
                   .withWatermark("ts", watermark)
                   .groupBy(F.window("ts", "1 day").alias("w"))
                   .agg(dsum(F.when(is_income(), amt)).alias("inflow"),
                        F.abs(dsum(F.when(is_expense(), amt))).alias("outflow"),
                        F.count(F.lit(1)).alias("transaction_count"))
-                  .select(F.col("w.start").alias("day"), "inflow", "outflow", "transaction_count"))
+                  .select(instant_to_wall(F.col("w.start"), zone).alias("day"),
+                          "inflow", "outflow", "transaction_count"))
 
 
 def start_cash_flow_stream(spark: SparkSession, source_dir: str, sink_dir: str,
@@ -69,7 +87,7 @@ def read_cash_flow(spark: SparkSession, sink_dir: str, grouping: str = "daily")
     running balance (same columns as ``cash_flow(...).details``)."""
     latest = (spark.read.parquet(sink_dir).groupBy("day")
                    .agg(F.max_by(F.struct("inflow", "outflow", "transaction_count"), "batch_id").alias("v"))
-                   .select(F.col("day").cast(T.TimestampNTZType()).alias("day"), "v.*"))
+                   .select("day", "v.*"))
     per = (latest.groupBy(period_label(F.col("day"), grouping).alias("period"))
                  .agg(F.sum("inflow").alias("inflow"), F.sum("outflow").alias("outflow"),
                       F.sum("transaction_count").alias("transaction_count")))
