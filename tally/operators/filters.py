@@ -118,7 +118,8 @@ class ReportFilter:
         return preds
 
     def apply(self, df: DataFrame) -> DataFrame:
-        preds = self.predicates(df.columns)
+        from tally.sources.ingest import source_columns
+        preds = self.predicates(source_columns(df))
         return df.where(reduce(lambda a, b: a & b, preds)) if preds else df
 
 

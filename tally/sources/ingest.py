@@ -19,6 +19,10 @@ from pyspark.sql import types as T
 
 from tally.schema import DATE_FIELDS, RAW_TXN_SCHEMA, TEXT_FIELDS, TXN_SCHEMA
 
+# Column metadata key marking a field that normalize() added because the
+# source lacked it; filters on such a field are skipped, as for a missing column.
+SYNTHESIZED = "tally.synthesized"
+
 # Fixed value: the plain-number shape accepted for amount text.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 DEFAULT_DATE_FORMATS = ("yyyy-MM-dd",)
@@ -88,11 +92,16 @@ def normalize(df: DataFrame, scale: int = 2, date_formats=DEFAULT_DATE_FORMATS)
             c = F.col(name)
             cols.append((c if name in ("date", "amount") else c.cast(dt)).alias(name))
         else:
-            cols.append(F.lit(None).cast(dt).alias(name))
+            cols.append(F.lit(None).cast(dt).alias(name, metadata={SYNTHESIZED: True}))
     extra = [c for c in df.columns if c not in target]
     return df.select(*extra, *cols)
 
 
+def source_columns(df: DataFrame) -> list[str]:
+    """Columns the source really has (normalize's synthesized nulls excluded)."""
+    return [f.name for f in df.schema.fields if not (f.metadata or {}).get(SYNTHESIZED)]
+
+
 def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet",
                       scale: int = 2, date_formats=DEFAULT_DATE_FORMATS) -> DataFrame:
     """Read a transaction file set and normalize it.

@@ -241,3 +241,13 @@ def test_median_methods_agree(spark):
     exact = {m: summary_statistics(df, median=m).header.first().median_amount
              for m in ("select", "percentile")}
     assert exact == {"select": 2.5, "percentile": 2.5}
+
+
+def test_filter_on_missing_source_column_is_skipped(spark):
+    raw = spark.createDataFrame([("2024-01-05", "5.00", "Shop"), ("2024-01-06", "-2.00", "Cafe")],
+                                "date string, amount string, merchant string")
+    df = normalize(raw)
+    f = ReportFilter(categories=["food"], notes_contains="x", merchants=["shop"])
+    assert f.apply(df).count() == 1          # category/notes skipped, merchant applied
+    assert merchant_analysis(df).details.count() == 2
+    assert category_analysis(df).details.count() == 0   # no category column: empty list
