@@ -55,8 +55,12 @@ def merchant_analysis(df: DataFrame, flt: ReportFilter | None = None,
     Plan: (merchant, category) partial aggregate → ``rollup(merchant)`` over
     those pre-aggregated rows, which adds the grand-total row in the same
     aggregation (no second scan) → one top-(N+1) with the total row ordered
-    first → the share is a window over those N+1 rows. With ``top_n=None``
-    that window spans all merchant rows (one partition of aggregated rows).
+    first → the share is a window over those N+1 rows.
+
+    With ``top_n=None`` (all merchants) the merchant aggregate is
+    checkpointed to the shared checkpoint folder (one row per merchant) and
+    the grand total is a scalar subquery on that checkpoint: no window
+    partition holds all merchants and the input is still read once.
     """
     if top_n is not None and top_n < 1:
         raise ValueError("top_n must be >= 1")
@@ -65,11 +69,17 @@ def merchant_analysis(df: DataFrame, flt: ReportFilter | None = None,
            .agg(dsum(F.col("s")).alias("s"), F.sum("n").alias("n"),
                 mode_category().alias("primary_category"), F.grouping_id().alias("gid")))
     is_total = F.col("gid") == 1
-    ranked = (m.where(is_total | F.col("merchant").isNotNull())
-               .orderBy(is_total.desc(), F.abs(F.col("s")).desc(), F.col("merchant").asc()))
     if top_n:
-        ranked = ranked.limit(top_n + 1)
-    with_total = ranked.withColumn("g", F.max(F.when(is_total, F.col("s"))).over(Window.partitionBy()))
+        ranked = (m.where(is_total | F.col("merchant").isNotNull())
+                   .orderBy(is_total.desc(), F.abs(F.col("s")).desc(), F.col("merchant").asc())
+                   .limit(top_n + 1))
+        with_total = ranked.withColumn("g", F.max(F.when(is_total, F.col("s"))).over(Window.partitionBy()))
+    else:
+        from tally.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(m.sparkSession)
+        mk = m.checkpoint(eager=True)
+        grand = mk.where(is_total).select(F.col("s").alias("g")).scalar()
+        with_total = mk.where(is_total | F.col("merchant").isNotNull()).withColumn("g", grand)
     s, n = F.col("s"), F.coalesce(F.col("n"), F.lit(0))
     details = with_total.where(~is_total).select(
         "merchant",

@@ -71,6 +71,7 @@ def build() -> dict[str, Query]:
         lambda d: category_analysis(d, P.EXPENSES_ONLY, P.TOP_N).header)
     q["merchant_analysis"] = _on_ledger(
         lambda d: merchant_analysis(d, top_n=P.MERCHANT_TOP_N).details)
+    q["merchant_analysis_all"] = _on_ledger(lambda d: merchant_analysis(d, top_n=None).details)
     q["merchant_primary_category"] = _on_ledger(lambda d: primary_category(merchant_category(d)))
     q["account_summary"] = _on_ledger(lambda d: account_summary(d).details)
     q["account_summary_total"] = _on_ledger(lambda d: account_summary(d).header)
