@@ -64,3 +64,5 @@ LIMIT_ROWS = 100
 # Streaming: files arrive in no particular date order in the fixture export,
 # so the watermark delay spans the fixture's date range.
 STREAM_WATERMARK = "3650 days"
+STREAM_FILE_ROWS = 10000
+STREAM_TIMEOUT_S = 1800

@@ -132,10 +132,13 @@ def _stream_cash_flow(spark: SparkSession, sf: str) -> DataFrame:
     src = f"{base}/source"
     led = ledger(spark, sf).select(*TXN_SCHEMA.fieldNames())
     (led.withColumn("m", F.date_format("date", "yyyy-MM"))
-        .hint("rebalance", "m").drop("m").write.parquet(src))
+        .hint("rebalance", "m").drop("m")
+        .write.option("maxRecordsPerFile", P.STREAM_FILE_ROWS).parquet(src))
     q = start_cash_flow_stream(spark, src, f"{base}/sink", f"{base}/checkpoint", TXN_SCHEMA,
                                watermark=P.STREAM_WATERMARK, max_files_per_trigger=2)
-    q.awaitTermination()
+    if not q.awaitTermination(P.STREAM_TIMEOUT_S):
+        q.stop()
+        raise TimeoutError("streaming cash flow did not finish")
     return read_cash_flow(spark, f"{base}/sink", "daily")
 
 
