@@ -84,6 +84,58 @@ def report_path(base_dir: str, kind: str, now=None, ext: str = "") -> str:
     return f"{base_dir.rstrip('/')}/reports/{kind}_{stamp}{ext}"
 
 
+# Report kinds whose lists are bounded by construction (categories, periods,
+# top-N); account lists and custom row lists are not, so they are exported
+# as JSON lines instead of one document.
+BOUNDED_SECTIONS = {
+    "profit_and_loss": ("income_by_category", "expenses_by_category"),
+    "cash_flow": ("details",),
+    "category_analysis": ("details",),
+    "merchant_analysis": ("details",),
+    "trend_analysis": ("details",),
+}
+SECTION_NAMES = {("cash_flow", "details"): "periods", ("trend_analysis", "details"): "periods",
+                 ("category_analysis", "details"): "categories",
+                 ("merchant_analysis", "details"): "merchants"}
+REPORT_TITLES = {"profit_and_loss": "Profit & Loss", "cash_flow": "Cash Flow",
+                 "category_analysis": "Category Analysis", "merchant_analysis": "Merchant Analysis",
+                 "trend_analysis": "Trend Analysis"}
+
+
+def report_json(report) -> DataFrame:
+    """Any report with bounded lists as one JSON document row.
+
+    The header row and one row per list (``collect_list`` of its rows, in
+    report order) are stacked by a union padded with nulls and folded by a
+    single global ``max`` per column — no join. Lists keep report order via
+    a position key taken from a window over the (bounded) list rows.
+    """
+    from pyspark.sql import Window
+    if report.kind not in BOUNDED_SECTIONS:
+        raise ValueError(f"{report.kind}: unbounded lists, export them with export_json")
+    frames = report.frames()
+    parts = {"header": report.header.withColumn("report_type", F.lit(REPORT_TITLES[report.kind]))}
+    for sec in BOUNDED_SECTIONS[report.kind]:
+        d = frames[sec]
+        name = SECTION_NAMES.get((report.kind, sec), sec)
+        pos = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
+        rows = d.select(pos.alias("_p"), F.struct(*d.columns).alias("_r"))
+        parts[name] = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_r"))),
+                                           lambda x: x.getField("_r")).alias(name))
+    types = {}
+    for df in parts.values():
+        types.update(dict(df.dtypes))
+    cols = list(types)
+    union = None
+    for df in parts.values():
+        padded = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c)
+                             for c in cols])
+        union = padded if union is None else union.unionByName(padded)
+    doc = union.agg(*[F.max(c).alias(c) for c in cols])
+    return doc.select(F.to_json(F.struct("report_type", *[c for c in cols if c != "report_type"]))
+                      .alias("document"))
+
+
 def preview(df: DataFrame, n: int = 5, order=None) -> DataFrame:
     """First ``n`` rows in a total order (default: by date, nulls last, then all columns)."""
     order = order or ([F.col("date").asc_nulls_last()] if "date" in df.columns else []) + \

@@ -52,3 +52,21 @@ def test_pnl_text_layout(spark, sf_dir):
     assert any(x.startswith("NET INCOME:") or x.startswith("NET LOSS:") for x in lines)
     cat = [x for x in lines if x.startswith("    ") and "%)" in x]
     assert cat and all(len(x.split(" (")[0]) >= 4 + 30 + 1 + 15 for x in cat)
+
+
+def test_report_json_documents(spark, sf_dir):
+    from tally.operators.category import category_analysis
+    from tally.operators.export import report_json
+    from tally.operators.merchant import merchant_analysis
+    from tally.operators.trend import trend
+    led = ledger(spark, sf_dir)
+    pnl = profit_and_loss(led)
+    doc = json.loads(report_json(pnl).first().document)
+    h = pnl.header.first()
+    assert doc["report_type"] == "Profit & Loss" and doc["total_income"] == h.total_income
+    assert [c["category"] for c in doc["expenses_by_category"]] == \
+        [r.category for r in pnl.sections["expenses_by_category"].collect()]
+    for rep, key in ((category_analysis(led), "categories"), (merchant_analysis(led), "merchants"),
+                     (trend(led, grouping="quarterly"), "periods")):
+        d = json.loads(report_json(rep).first().document)
+        assert [list(x.values()) for x in d[key]] == [list(r.asDict().values()) for r in rep.details.collect()]
