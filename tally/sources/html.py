@@ -64,8 +64,9 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i, row in enumerate(e for e in root.elements() if ROW_MATCH(e)):
                 out["page_id"].append(pid)
                 out["row_no"].append(i)
-                for k, m in CELLS.items():
-                    el = row.first(m)
+                found = row.first_of_each(CELLS)
+                for k in CELLS:
+                    el = found.get(k)
                     out[f"{k}_text"].append(el.get_text() if el is not None else None)
         yield pd.DataFrame(out)
 

@@ -15,7 +15,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "parent", "classes")
+    __slots__ = ("tag", "attrs", "children", "parent", "classes", "position", "n_elements")
 
     def __init__(self, tag: str, attrs: dict, parent: "Element | None"):
         self.tag = tag
@@ -23,6 +23,12 @@ class Element:
         self.children: list = []
         self.parent = parent
         self.classes = set((attrs.get("class") or "").split())
+        self.n_elements = 0
+        if parent is None:
+            self.position = 1
+        else:
+            parent.n_elements += 1
+            self.position = parent.n_elements  # 1-based among element siblings
 
     def elements(self):
         """Descendant elements in document order (self excluded)."""
@@ -47,15 +53,7 @@ class Element:
 
     def nth_child(self) -> int:
         """1-based position among the parent's element children."""
-        if self.parent is None:
-            return 1
-        i = 0
-        for c in self.parent.children:
-            if isinstance(c, Element):
-                i += 1
-                if c is self:
-                    return i
-        return i
+        return self.position
 
     def first(self, match) -> "Element | None":
         for e in self.elements():
@@ -63,6 +61,19 @@ class Element:
                 return e
         return None
 
+    def first_of_each(self, matches: dict) -> dict:
+        """{name: first descendant matching matches[name]} in one traversal."""
+        found = {}
+        todo = dict(matches)
+        for e in self.elements():
+            for name, m in list(todo.items()):
+                if m(e):
+                    found[name] = e
+                    del todo[name]
+            if not todo:
+                break
+        return found
+
 
 class _Builder(HTMLParser):
     def __init__(self):
@@ -107,8 +118,13 @@ def has_attr(name):
 
 
 def tag_nth(tag, n):
-    return lambda e: e.tag == tag and e.nth_child() == n
+    return lambda e: e.tag == tag and e.position == n
 
 
 def any_of(*preds):
-    return lambda e: any(p(e) for p in preds)
+    def match(e):
+        for p in preds:
+            if p(e):
+                return True
+        return False
+    return match
