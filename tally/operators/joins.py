@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tally.session import app_key
+
 MAX_BROADCAST_ROWS = 2_000_000
 DEFAULT_MAX_BYTES = 64 * 1024 * 1024
 CONF_MAX_BYTES = "tally.broadcast.maxBytes"
@@ -44,8 +46,7 @@ def measured_bytes(df: DataFrame) -> int:
 def sized_broadcast(side: DataFrame, key: str, inputs: list[DataFrame] | None = None,
                     max_bytes: int | None = None) -> DataFrame:
     """``broadcast(side)`` if its measured size is under the bound, else ``side``."""
-    app = side.sparkSession.sparkContext.applicationId
-    k = (app, key)
+    k = (app_key(side.sparkSession), key)
     if k not in _DECISIONS:
         limit = max_bytes or _max_bytes(side)
         ok = all(i.count() <= MAX_BROADCAST_ROWS for i in (inputs or [side]))

@@ -50,6 +50,14 @@ def get_session(master: str | None = None, app_name: str = "tally",
     return spark
 
 
+def app_key(spark: SparkSession) -> str:
+    """Key of the running application, for per-application memo tables."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a SparkContext handle
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

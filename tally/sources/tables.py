@@ -12,12 +12,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tally.session import app_key
+
 _HANDLES: dict = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), spark.sparkContext.applicationId, path)
+    key = (id(spark), app_key(spark), path)
     df = _HANDLES.get(key)
     if df is None:
         df = _HANDLES[key] = spark.read.parquet(path)
