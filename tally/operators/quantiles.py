@@ -56,35 +56,60 @@ def bucketed(df: DataFrame, col: str) -> DataFrame:
                      F.when(c.isNotNull(), k).alias("k"), F.when(c.isNotNull(), q).alias("q"))
 
 
-def histogram(vals: DataFrame, *extra: Column) -> DataFrame:
-    """Bucket rows: n values and smallest member ``lo`` (plus ``extra``
-    aggregates); the null bucket (k, q null) holds rows without a value."""
-    return vals.groupBy("k", "q").agg(F.count("c").alias("n"), F.min("c").alias("lo"), *extra)
-
-
-def select_quantiles(vals: DataFrame, hist: DataFrame, probs: Sequence[float],
+def quantile_summary(df: DataFrame, col: str, probs: Sequence[float],
                      names: Sequence[str]) -> DataFrame:
-    """One row of exact quantiles from the bucket rows and the values."""
-    hist = hist.where(F.col("k").isNotNull())
-    order = Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = hist.select("k", "q", "n",
-                      (F.sum("n").over(order) - F.col("n")).alias("before"),
-                      F.sum("n").over(Window.partitionBy()).alias("total"))
+    """One row: exact quantiles of ``col`` plus its moments.
+
+    Columns: the quantile ``names`` and ``rows`` (all rows), ``n`` (values),
+    ``s`` (exact sum, 0 when none), ``mn``, ``mx``, ``sq`` (Σx²).
+
+    One chain, two reads of the input: the bucket histogram (moments per
+    bucket, null values in the null bucket) → windows over the bucket rows
+    for ranks and whole-input moments → the buckets holding the target ranks
+    plus one anchor bucket, broadcast-joined (null-safe) back to the values →
+    distinct values counted → exact values picked. The anchor keeps the
+    moments flowing when no bucket holds a target rank (all values null).
+    """
+    v = F.col("v")
+    vals = bucketed(df, col)
+    hist = vals.groupBy("k", "q").agg(
+        F.count("c").alias("n"), F.min("c").alias("lo"), F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(v), F.lit(0).cast(df.schema[col].dataType)).alias("s"),
+        F.min(v).alias("mn"), F.max(v).alias("mx"), F.sum(v * v).alias("sq"))
+    # bounded: at most 512 buckets per magnitude class and sign, plus the null bucket
+    every = Window.partitionBy()
+    order = Window.orderBy(F.col("lo").asc_nulls_first(), "k", "q")
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = hist.select(
+        "k", "q", "n",
+        (F.sum("n").over(running) - F.col("n")).alias("before"),
+        F.sum("n").over(every).alias("total"),
+        F.sum("rows").over(every).alias("all_rows"), F.sum("s").over(every).alias("all_s"),
+        F.min("mn").over(every).alias("all_mn"), F.max("mx").over(every).alias("all_mx"),
+        F.sum("sq").over(every).alias("all_sq"),
+        F.row_number().over(order).alias("rn"))
     pos = [(F.col("total") - 1).cast("double") * F.lit(float(p)) for p in probs]
     ranks = [r for p in pos for r in (F.floor(p), F.ceil(p))]
     holds = [(F.col("before") <= r) & (r < F.col("before") + F.col("n")) for r in ranks]
-    need = cum.where(F.greatest(*holds)).select("k", "q", "before", "total")
-
-    # at most two buckets per quantile: a proven bound for the broadcast
-    picked = vals.where(F.col("k").isNotNull()).join(F.broadcast(need), ["k", "q"])
-    dist = picked.groupBy("k", "q", "before", "total", "c").agg(F.count(F.lit(1)).alias("m"))
+    need = cum.where(F.greatest(F.col("rn") == 1, *holds)).drop("n", "rn")
+
+    # at most two buckets per quantile plus the anchor: a proven broadcast bound
+    a, b = vals.select("k", "q", "c").alias("a"), F.broadcast(need.alias("b"))
+    picked = a.join(b, F.col("a.k").eqNullSafe(F.col("b.k")) & F.col("a.q").eqNullSafe(F.col("b.q")))
+    carry = [c for c in need.columns if c not in ("k", "q")]
+    dist = (picked.groupBy(F.col("b.k").alias("k"), F.col("b.q").alias("q"),
+                           *[F.col(f"b.{c}").alias(c) for c in carry], F.col("a.c").alias("c"))
+                  .agg(F.count(F.lit(1)).alias("m")))
     within = Window.partitionBy("k", "q").orderBy("c").rowsBetween(Window.unboundedPreceding,
                                                                   Window.currentRow)
-    dist = dist.select("c", "total", (F.col("before") + F.sum("m").over(within)).alias("end"), "m")
+    dist = dist.select("*", (F.col("before") + F.sum("m").over(within)).alias("end"))
     start = F.col("end") - F.col("m")
-    value_at = [F.max(F.when((start <= r) & (r < F.col("end")), F.col("c"))) for r in ranks]
-    agg = dist.agg(F.max("total").alias("total"),
-                   *[v.alias(f"v{i}") for i, v in enumerate(value_at)])
+    value_at = [F.max(F.when(F.col("c").isNotNull() & (start <= r) & (r < F.col("end")), F.col("c")))
+                for r in ranks]
+    agg = dist.agg(F.max("total").alias("total"), F.max("all_rows").alias("rows"),
+                   F.max("all_s").alias("s"), F.max("all_mn").alias("mn"),
+                   F.max("all_mx").alias("mx"), F.max("all_sq").alias("sq"),
+                   *[x.alias(f"v{i}") for i, x in enumerate(value_at)])
     out = []
     for i, (p, name) in enumerate(zip(probs, names)):
         position = (F.col("total") - 1).cast("double") * F.lit(float(p))
@@ -95,23 +120,14 @@ def select_quantiles(vals: DataFrame, hist: DataFrame, probs: Sequence[float],
                .otherwise((hi_r - position) * lo + (position - lo_r) * hi)
         out.append(val.alias(name))
     # an empty input has no bucket rows: the global aggregate still yields one row
-    return agg.select(*out)
+    return agg.select(*out, F.coalesce(F.col("rows"), F.lit(0)).alias("rows"),
+                      F.coalesce(F.col("total"), F.lit(0)).alias("n"),
+                      F.coalesce(F.col("s"), F.lit(0).cast(df.schema[col].dataType)).alias("s"),
+                      "mn", "mx", "sq")
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
                     names: Sequence[str] | None = None) -> DataFrame:
     """One row with one DOUBLE column per probability (null when no values)."""
     names = list(names or [f"q{i}" for i in range(len(probs))])
-    vals = bucketed(df, col)
-    return select_quantiles(vals, histogram(vals), probs, names)
-
-
-def with_quantiles(stats: DataFrame, quantiles: DataFrame) -> DataFrame:
-    """Put a one-row stats frame and a one-row quantiles frame side by side
-    (union of the two rows padded with nulls, then one global ``max`` per
-    column) — no join."""
-    sc, qc = stats.columns, quantiles.columns
-    types = dict(stats.dtypes + quantiles.dtypes)
-    a = stats.select(*sc, *[F.lit(None).cast(types[c]).alias(c) for c in qc])
-    b = quantiles.select(*[F.lit(None).cast(types[c]).alias(c) for c in sc], *qc)
-    return a.unionByName(b).agg(*[F.max(c).alias(c) for c in sc + qc])
+    return quantile_summary(df, col, probs, names).select(*names)

@@ -7,18 +7,12 @@ from pyspark.sql import functions as F
 
 from tally.functions.money import dsum, to_double
 from tally.operators.base import Report
-from tally.operators.quantiles import bucketed, histogram, select_quantiles, with_quantiles
+from tally.operators.quantiles import quantile_summary
 from tally.operators.stats import mean, stddev_samp
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def _moment_hist(vals: DataFrame) -> DataFrame:
-    v = F.col("v")
-    return histogram(vals, F.count(F.lit(1)).alias("rows"), dsum(v).alias("s"),
-                     F.min(v).alias("mn"), F.max(v).alias("mx"), F.sum(v * v).alias("sq"))
-
-
 MEDIAN_METHODS = ("select", "percentile", "approx")
 
 
@@ -49,18 +43,12 @@ def summary_statistics(df: DataFrame, median: str = "select") -> Report:
                         to_double(F.max(amt)).alias("max_amount"),
                         med.alias("median_amount"))
         return Report("summary", header, summary_by_category(df))
-    vals = bucketed(df, "amount")
-    hist = _moment_hist(vals)
-    s, n = dsum(F.col("s")), F.sum("n")
-    stats = hist.agg(F.sum("rows").alias("total_transactions"),
-                     to_double(s).alias("total_amount"),
-                     mean(s, n).alias("average_amount"),
-                     to_double(F.min("mn")).alias("min_amount"),
-                     to_double(F.max("mx")).alias("max_amount"))
-    med = select_quantiles(vals, hist, [0.5], ["median_amount"])
-    header = with_quantiles(stats, med).select(
-        F.coalesce(F.col("total_transactions"), F.lit(0)).alias("total_transactions"),
-        "total_amount", "average_amount", "min_amount", "max_amount", "median_amount")
+    qs = quantile_summary(df, "amount", [0.5], ["median_amount"])
+    s, n = F.col("s"), F.col("n")
+    header = qs.select(F.col("rows").alias("total_transactions"),
+                       to_double(s).alias("total_amount"), mean(s, n).alias("average_amount"),
+                       to_double(F.col("mn")).alias("min_amount"),
+                       to_double(F.col("mx")).alias("max_amount"), "median_amount")
     return Report("summary", header, summary_by_category(df))
 
 
@@ -79,12 +67,9 @@ def top_categories(df: DataFrame, n: int = 5) -> DataFrame:
 def describe_amounts(df: DataFrame) -> DataFrame:
     """count, mean, std, min, quartiles, max of amount (exact quartiles,
     same two-read plan as the summary median)."""
-    vals = bucketed(df, "amount")
-    hist = _moment_hist(vals)
-    s, n, sq = dsum(F.col("s")), F.coalesce(F.sum("n"), F.lit(0)), F.sum("sq")
-    stats = hist.agg(n.alias("count"), mean(s, n).alias("mean"),
-                     stddev_samp(s, n, sq).alias("std"),
-                     to_double(F.min("mn")).alias("min"), to_double(F.max("mx")).alias("max"))
-    qs = select_quantiles(vals, hist, QUARTILES, ["p25", "p50", "p75"])
-    return with_quantiles(stats, qs).select("count", "mean", "std", "min", "p25", "p50",
-                                                  "p75", "max")
+    qs = quantile_summary(df, "amount", QUARTILES, ["p25", "p50", "p75"])
+    s, n = F.col("s"), F.col("n")
+    return qs.select(n.alias("count"), mean(s, n).alias("mean"),
+                     stddev_samp(s, n, F.col("sq")).alias("std"),
+                     to_double(F.col("mn")).alias("min"), "p25", "p50", "p75",
+                     to_double(F.col("mx")).alias("max"))
