@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from tally.functions.money import format_currency
 from tally.sources import htmldom as D
-from tally.sources.ingest import coerce_date, parse_currency_text
+from tally.sources.ingest import parse_currency_text
 
 ROW_MATCH = D.any_of(D.has_attr("data-transaction"), D.has_class("transaction-row", "transaction-item"),
                      lambda e: e.tag == "tr" and "transaction" in e.classes)
