@@ -135,18 +135,18 @@ def _chunk() -> "F.Column":
     return F.floor(F.monotonically_increasing_id() / ROWS_PER_PAGE).cast("long")
 
 
-def _by_key(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """Hash-partition on ``key`` into ``spark.sql.shuffle.partitions`` parts
+def _by_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Hash-partition on ``keys`` into ``spark.sql.shuffle.partitions`` parts
     and sort within them, so a key's rows are consecutive. The explicit
     partition count keeps AQE from coalescing the (small, CPU-heavy) page
-    frame below the core count; the later group-by on (key, part) reuses
+    frame below the core count; the later group-by on (keys, part) reuses
     this partitioning (no second shuffle)."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).sortWithinPartitions(key, *order)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
 
 def transaction_pages(txn: DataFrame) -> DataFrame:
-    """Pages of an order's transactions (page_id = l_orderkey, page_part).
+    """Pages of an order's transactions (page_id = l_orderkey, block, page_part).
 
     The markup varies with page_id % 4 over the four row selectors and the
     class / data-attribute / positional cell forms. Rows of a page are
@@ -171,10 +171,14 @@ def transaction_pages(txn: DataFrame) -> DataFrame:
                 _wrap("div", ' class="description"', desc),
                 _wrap("div", ' data-amount="x"', amt),
                 _wrap("div", ' class="category"', cat)))))
-    keyed = _by_key(txn.select(F.col("l_orderkey").alias("page_id"), "l_linenumber",
-                               row.alias("row")), "page_id", "l_linenumber")
+    # block of line numbers: an order with many lines spreads over several
+    # partitions; ordinary orders (lines < ROWS_PER_PAGE) stay in block 0
+    block = F.floor(F.col("l_linenumber") / ROWS_PER_PAGE).cast("long")
+    keyed = _by_key(txn.select(F.col("l_orderkey").alias("page_id"), block.alias("block"),
+                               "l_linenumber", row.alias("row")),
+                    ["page_id", "block"], "l_linenumber")
     rows = (keyed.withColumn("page_part", _chunk())
-               .groupBy("page_id", "page_part")
+               .groupBy("page_id", "block", "page_part")
                .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "row"))).alias("rows")))
     body = F.array_join(F.transform("rows", lambda r: r.getField("row")), "")
     shell = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("<table>"), body, F.lit("</table>"))) \
@@ -182,7 +186,7 @@ def transaction_pages(txn: DataFrame) -> DataFrame:
              .otherwise(F.concat(F.lit("<div>"), body, F.lit("</div>")))
     html = F.concat(F.lit("<!DOCTYPE html><html><head><title>Transactions</title></head><body>"
                           "<nav><a href=\"/\">Home</a></nav>"), shell, F.lit("</body></html>"))
-    return rows.select("page_id", "page_part", html.alias("html"))
+    return rows.select("page_id", "block", "page_part", html.alias("html"))
 
 
 ACCOUNTS_PER_PAGE = 50
@@ -205,7 +209,7 @@ def account_pages(customer: DataFrame) -> DataFrame:
            .otherwise(F.concat(F.lit('<section data-account="a" data-id="'), ident,
                                F.lit('"><h3> '), name, F.lit(" </h3></section>"))))
     keyed = _by_key(customer.select(page.alias("page_id"), "c_custkey", el.alias("el")),
-                    "page_id", "c_custkey")
+                    ["page_id"], "c_custkey")
     return (keyed.withColumn("page_part", _chunk())
                     .groupBy("page_id", "page_part")
                     .agg(F.sort_array(F.collect_list(F.struct("c_custkey", "el"))).alias("els"))
