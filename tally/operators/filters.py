@@ -45,9 +45,25 @@ def _lower_list(values: Iterable[str]) -> list[str]:
     return sorted({v.lower() for v in values})
 
 
+# Python-only regex syntax and its Java spelling.
+PY_TO_JAVA_REGEX = [
+    (r"\(\?P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>"),   # named group
+    (r"\(\?P=([A-Za-z][A-Za-z0-9]*)\)", r"\\k<\1>"),  # named back-reference
+    (r"(?<!\\)\\Z", r"\\z"),                       # end of input
+]
+
+
+def java_regex(pattern: str) -> str:
+    """Patterns are written (and checked) in Python's dialect; Spark runs
+    Java's. Rewrite the Python-only constructs; the rest is common syntax."""
+    for pat, rep in PY_TO_JAVA_REGEX:
+        pattern = re.sub(pat, rep, pattern)
+    return pattern
+
+
 def regex_search(c: Column, pattern: str) -> Column:
     """Case-insensitive regex search; null text → false."""
-    return F.coalesce(c.rlike(f"(?iu)(?:{pattern})"), F.lit(False))
+    return F.coalesce(c.rlike(f"(?iu)(?:{java_regex(pattern)})"), F.lit(False))
 
 
 def check_pattern(pattern: str) -> str:

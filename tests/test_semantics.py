@@ -251,3 +251,11 @@ def test_filter_on_missing_source_column_is_skipped(spark):
     assert f.apply(df).count() == 1          # category/notes skipped, merchant applied
     assert merchant_analysis(df).details.count() == 2
     assert category_analysis(df).details.count() == 0   # no category column: empty list
+
+
+def test_python_regex_syntax_runs_on_spark(spark):
+    df = txns(spark, [(dt("2024-01-01"), 1, "a", "Shop Shop"), (dt("2024-01-01"), 1, "a", "Ünï Mart"),
+                      (dt("2024-01-01"), 1, "a", "Shop Cafe")])
+    assert ReportFilter(merchants=[r"(?P<w>shop) (?P=w)"]).apply(df).count() == 1
+    assert ReportFilter(merchants=[r"mart\Z"]).apply(df).count() == 1
+    assert ReportFilter(merchants=["ÜNÏ"]).apply(df).count() == 1
