@@ -447,6 +447,8 @@ def build() -> dict[str, str]:
     sql["pnl_totals"] = pnl_totals_sql(P.PNL_FILTER)
     sql["pnl_income_by_category"] = pnl_side_sql(P.PNL_FILTER, "income")
     sql["pnl_expenses_by_category"] = pnl_side_sql(P.PNL_FILTER, "expense")
+    sql["pnl_selected_categories"] = pnl_totals_sql(P.PNL_CATEGORIES)
+    sql["pnl_excluding_categories"] = pnl_totals_sql(P.PNL_EXCLUDING)
     sql["category_analysis"] = category_sql(None, None)
     sql["category_analysis_top_n"] = category_sql(P.EXPENSES_ONLY, P.TOP_N)
     sql["category_analysis_totals"] = category_totals_sql(P.EXPENSES_ONLY, P.TOP_N)

@@ -66,3 +66,6 @@ LIMIT_ROWS = 100
 STREAM_WATERMARK = "3650 days"
 STREAM_FILE_ROWS = 10000
 STREAM_TIMEOUT_S = 1800
+# Usage scenarios: P&L for chosen categories, and P&L without some categories.
+PNL_CATEGORIES = ReportFilter(categories=["promo", "Standard"])
+PNL_EXCLUDING = ReportFilter(exclude_categories=["economy", "SMALL"])

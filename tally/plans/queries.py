@@ -64,6 +64,8 @@ def build() -> dict[str, Query]:
         lambda d: profit_and_loss(d, P.PNL_FILTER).sections["income_by_category"])
     q["pnl_expenses_by_category"] = _on_ledger(
         lambda d: profit_and_loss(d, P.PNL_FILTER).sections["expenses_by_category"])
+    q["pnl_selected_categories"] = _on_ledger(lambda d: profit_and_loss(d, P.PNL_CATEGORIES).header)
+    q["pnl_excluding_categories"] = _on_ledger(lambda d: profit_and_loss(d, P.PNL_EXCLUDING).header)
     q["category_analysis"] = _on_ledger(lambda d: category_analysis(d).details)
     q["category_analysis_top_n"] = _on_ledger(
         lambda d: category_analysis(d, P.EXPENSES_ONLY, P.TOP_N).details)
