@@ -9,7 +9,9 @@ A side is broadcast only with a measured bound on its size:
    real string bytes plus a fixed per-field cost (UnsafeRow layout). Only
    under ``max_bytes`` does the side get the broadcast hint.
 Results are memoized per side key, so each dimension is measured once per
-application.
+application. With ``cache=True`` a side that passed the check is also kept
+in memory (bounded by the same check) so later reports skip its scan and
+joins; ``release_cached()`` unpersists those sides.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ DEFAULT_MAX_BYTES = 64 * 1024 * 1024
 CONF_MAX_BYTES = "tally.broadcast.maxBytes"
 
 _DECISIONS: dict = {}
+_CACHED: dict = {}
 
 
 def _max_bytes(df: DataFrame) -> int:
@@ -44,15 +47,28 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def sized_broadcast(side: DataFrame, key: str, inputs: list[DataFrame] | None = None,
-                    max_bytes: int | None = None) -> DataFrame:
+                    max_bytes: int | None = None, cache: bool = False) -> DataFrame:
     """``broadcast(side)`` if its measured size is under the bound, else ``side``."""
     k = (app_key(side.sparkSession), key)
     if k not in _DECISIONS:
         limit = max_bytes or _max_bytes(side)
         ok = all(i.count() <= MAX_BROADCAST_ROWS for i in (inputs or [side]))
         _DECISIONS[k] = ok and measured_bytes(side) <= limit
-    return F.broadcast(side) if _DECISIONS[k] else side
+    if not _DECISIONS[k]:
+        return side
+    if cache:
+        if k not in _CACHED:
+            _CACHED[k] = side.cache()
+        side = _CACHED[k]
+    return F.broadcast(side)
+
+
+def release_cached() -> None:
+    for df in _CACHED.values():
+        df.unpersist()
+    _CACHED.clear()
 
 
 def reset_decisions() -> None:
+    release_cached()
     _DECISIONS.clear()
