@@ -57,9 +57,10 @@ def sized_broadcast(side: DataFrame, key: str, inputs: list[DataFrame] | None =
     if not _DECISIONS[k]:
         return side
     if cache:
-        if k not in _CACHED:
-            _CACHED[k] = side.cache()
-        side = _CACHED[k]
+        ck = (id(side.sparkSession), k)
+        if ck not in _CACHED:
+            _CACHED[ck] = side.cache()
+        side = _CACHED[ck]
     return F.broadcast(side)
 
 
