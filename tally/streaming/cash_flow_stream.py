@@ -33,6 +33,10 @@ from tally.functions.money import dsum, is_expense, is_income, to_double
 from tally.functions.periods import period_label
 
 DEFAULT_WATERMARK = "30 days"
+# The state holds one row per day inside the watermark and the input is
+# partially aggregated before the state shuffle, so a few state partitions
+# suffice. The count is fixed in the checkpoint at the first start.
+DEFAULT_STATE_PARTITIONS = 8
 
 
 def _zone(df: DataFrame) -> str:
@@ -67,7 +71,8 @@ def start_cash_flow_stream(spark: SparkSession, source_dir: str, sink_dir: str,
                            checkpoint_dir: str, schema: T.StructType, fmt: str = "parquet",
                            watermark: str = DEFAULT_WATERMARK,
                            max_files_per_trigger: int | None = None,
-                           available_now: bool = True) -> StreamingQuery:
+                           available_now: bool = True,
+                           state_partitions: int = DEFAULT_STATE_PARTITIONS) -> StreamingQuery:
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -79,7 +84,13 @@ def start_cash_flow_stream(spark: SparkSession, source_dir: str, sink_dir: str,
     w = flows.writeStream.outputMode("update").foreachBatch(upsert) \
         .option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))  # read by the query at start only
+    try:
+        return w.start()
+    finally:
+        spark.conf.set(key, old)
 
 
 def read_cash_flow(spark: SparkSession, sink_dir: str, grouping: str = "daily") -> DataFrame:
