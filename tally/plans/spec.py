@@ -142,6 +142,20 @@ class Reports:
     def __init__(self, df: DataFrame):
         self.df = df
 
+    @classmethod
+    def materialize(cls, df: DataFrame, path: str, mode: str = "errorifexists") -> "Reports":
+        """Write ``df`` once to the month-partitioned store and report on that.
+
+        Several reports over one source then share a single coercion/join
+        pass; their date filters prune partitions of the stored table.
+        """
+        from tally.sources.store import read_store, write_store
+        write_store(df, path, mode)
+        return cls(read_store(df.sparkSession, path))
+
+    def run(self, spec: ReportSpec) -> Report:
+        return spec.run(self.df)
+
     def profit_and_loss(self, filters: ReportFilter | None = None) -> Report:
         return profit_and_loss(self.df, filters)
 

@@ -19,3 +19,11 @@ def test_store_reports_equal_and_prune(spark, sf_dir):
     plan = profit_and_loss(st, f).header._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(txn_month" in plan and "(txn_month#" in plan
     assert "GreaterThanOrEqual(date,1996-02-10T00:00)" in plan
+
+
+def test_reports_materialize(spark, sf_dir):
+    from tally.plans.spec import Reports, ReportSpec
+    led = ledger(spark, sf_dir)
+    r = Reports.materialize(led, scratch_dir(spark, "t-mat"))
+    spec = ReportSpec(report_type="trend_analysis", grouping="quarterly", start_date="1996-01-01")
+    assert rows_of(r.run(spec).details) == rows_of(spec.run(led).details)
