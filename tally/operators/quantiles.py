@@ -16,6 +16,10 @@ integer cents:
    back to the values; distinct values in them are counted and the values
    at the target ranks picked with conditional aggregates.
 
+Values are handled as integer cents through a DOUBLE, which is exact for
+|amount| < 2^53 cents (about 9·10^13); beyond that, neighbouring amounts may
+share a cents value (ranks stay correct, the value is rounded).
+
 Interpolation follows linear interpolation between the values at ranks
 floor and ceil of (n−1)·p: (hi_rank − pos)·lo + (pos − lo_rank)·hi.
 The input is read twice (histogram and selection); no group is collected.
