@@ -61,7 +61,7 @@ def bucketed(df: DataFrame, col: str) -> DataFrame:
 
 
 def quantile_summary(df: DataFrame, col: str, probs: Sequence[float],
-                     names: Sequence[str]) -> DataFrame:
+                     names: Sequence[str], materialize: bool = False) -> DataFrame:
     """One row: exact quantiles of ``col`` plus its moments.
 
     Columns: the quantile ``names`` and ``rows`` (all rows), ``n`` (values),
@@ -73,9 +73,18 @@ def quantile_summary(df: DataFrame, col: str, probs: Sequence[float],
     plus one anchor bucket, broadcast-joined (null-safe) back to the values →
     distinct values counted → exact values picked. The anchor keeps the
     moments flowing when no bucket holds a target rank (all values null).
+
+    ``materialize=True`` writes the bucketed values once with a reliable
+    ``checkpoint()`` (shared checkpoint folder) so both reads use it: worth it
+    when ``df`` is expensive to recompute (joins, parsing); a plain stored
+    table is cheaper to read twice.
     """
     v = F.col("v")
     vals = bucketed(df, col)
+    if materialize:
+        from tally.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        vals = vals.checkpoint(eager=True)
     hist = vals.groupBy("k", "q").agg(
         F.count("c").alias("n"), F.min("c").alias("lo"), F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(v), F.lit(0).cast(df.schema[col].dataType)).alias("s"),

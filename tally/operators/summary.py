@@ -16,7 +16,7 @@ QUARTILES = (0.25, 0.5, 0.75)
 MEDIAN_METHODS = ("select", "percentile", "approx")
 
 
-def summary_statistics(df: DataFrame, median: str = "select") -> Report:
+def summary_statistics(df: DataFrame, median: str = "select", materialize: bool = False) -> Report:
     """total_transactions counts rows; the other fields ignore null amounts;
     total_amount is 0 over no amounts, the rest are null then.
 
@@ -29,6 +29,8 @@ def summary_statistics(df: DataFrame, median: str = "select") -> Report:
                   merge holds every distinct amount in one task; fastest when
                   the input is expensive to re-read and amounts are few.
       approx      ``percentile_approx`` (rank error ≤ n/10000), one read.
+    ``materialize`` (select only): checkpoint the values once instead of
+    recomputing an expensive input for the second read.
     """
     if median not in MEDIAN_METHODS:
         raise ValueError(f"median must be one of {MEDIAN_METHODS}")
@@ -43,7 +45,7 @@ def summary_statistics(df: DataFrame, median: str = "select") -> Report:
                         to_double(F.max(amt)).alias("max_amount"),
                         med.alias("median_amount"))
         return Report("summary", header, summary_by_category(df))
-    qs = quantile_summary(df, "amount", [0.5], ["median_amount"])
+    qs = quantile_summary(df, "amount", [0.5], ["median_amount"], materialize)
     s, n = F.col("s"), F.col("n")
     header = qs.select(F.col("rows").alias("total_transactions"),
                        to_double(s).alias("total_amount"), mean(s, n).alias("average_amount"),
@@ -64,10 +66,10 @@ def top_categories(df: DataFrame, n: int = 5) -> DataFrame:
     return summary_by_category(df).limit(n)
 
 
-def describe_amounts(df: DataFrame) -> DataFrame:
+def describe_amounts(df: DataFrame, materialize: bool = False) -> DataFrame:
     """count, mean, std, min, quartiles, max of amount (exact quartiles,
     same two-read plan as the summary median)."""
-    qs = quantile_summary(df, "amount", QUARTILES, ["p25", "p50", "p75"])
+    qs = quantile_summary(df, "amount", QUARTILES, ["p25", "p50", "p75"], materialize)
     s, n = F.col("s"), F.col("n")
     return qs.select(n.alias("count"), mean(s, n).alias("mean"),
                      stddev_samp(s, n, F.col("sq")).alias("std"),

@@ -84,10 +84,12 @@ def build() -> dict[str, Query]:
         lambda d: rows_out(custom_report(d, P.CUSTOM_FILTER, sort=P.CUSTOM_SORT).details))
     q["custom_totals"] = _on_ledger(lambda d: custom_report(d, P.CUSTOM_FILTER).header)
     q["period_comparison"] = _on_ledger(lambda d: period_comparison(d, P.PERIODS))
-    q["summary_stats"] = _on_ledger(lambda d: summary_statistics(d).header)
+    # the ledger is an expensive input (joins + text parsing): the quantile
+    # selection reads checkpointed values instead of recomputing it
+    q["summary_stats"] = _on_ledger(lambda d: summary_statistics(d, materialize=True).header)
     q["summary_by_category"] = _on_ledger(lambda d: summary_statistics(d).details)
     q["summary_top_categories"] = _on_ledger(lambda d: top_categories(d, 5))
-    q["amount_describe"] = _on_ledger(describe_amounts)
+    q["amount_describe"] = _on_ledger(lambda d: describe_amounts(d, materialize=True))
     q["merchant_subtotal"] = _on_ledger(
         lambda d: P.MERCHANT_SUBTOTAL.apply(d).agg(
             F.lit(P.MERCHANT_SUBTOTAL.merchant).alias("merchant_filter"),
