@@ -19,13 +19,13 @@ def account_summary(df: DataFrame, flt: ReportFilter | None = None) -> Report:
                 F.abs(dsum(F.when(is_expense(), amt))).alias("exp"),
                 F.count(F.lit(1)).alias("transaction_count")))
     change = F.col("inc") - F.col("exp")
-    details = per.select(
+    details = lambda: per.select(
         "account",
         to_double(F.col("inc")).alias("income"),
         to_double(F.col("exp")).alias("expenses"),
         to_double(change).alias("balance_change"),
         "transaction_count",
     ).orderBy(F.abs(F.col("balance_change")).desc(), F.col("account").asc())
-    header = per.agg(to_double(dsum(change)).alias("total_balance_change"),
+    header = lambda: per.agg(to_double(dsum(change)).alias("total_balance_change"),
                      F.count(F.lit(1)).alias("account_count"))
     return Report("account_summary", header, details)

@@ -41,7 +41,7 @@ def cash_flow(df: DataFrame, flt: ReportFilter | None = None,
     # single ordered partition it needs stays small at any data size.
     run = Window.orderBy("pkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     net = F.col("inflow") - F.col("outflow")
-    details = per.select(
+    details = lambda: per.select(
         "period",
         to_double(F.col("inflow")).alias("inflow"),
         to_double(F.col("outflow")).alias("outflow"),
@@ -49,7 +49,7 @@ def cash_flow(df: DataFrame, flt: ReportFilter | None = None,
         to_double(F.sum(net).over(run)).alias("running_balance"),
         "transaction_count",
     ).orderBy("period")
-    header = per.agg(
+    header = lambda: per.agg(
         F.lit(grouping).alias("grouping"),
         F.coalesce(F.concat(F.min("period"), F.lit(" to "), F.max("period")), F.lit("")).alias("period"),
         to_double(dsum(F.col("inflow"))).alias("total_inflow"),

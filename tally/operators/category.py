@@ -35,7 +35,7 @@ def category_analysis(df: DataFrame, flt: ReportFilter | None = None,
     if top_n:
         rows = rows.limit(top_n)
     s, n = F.col("s"), F.col("n")
-    details = rows.select(
+    details = lambda: rows.select(
         "category",
         to_double(s).alias("total"),
         n.alias("count"),
@@ -45,7 +45,7 @@ def category_analysis(df: DataFrame, flt: ReportFilter | None = None,
         F.coalesce(stddev_samp(s, n, F.col("sq")), F.lit(0.0)).alias("std_dev"),
         ratio_pct(s, grand).alias("percentage_of_total"),
     ).orderBy(F.col("total").desc(), F.col("category").asc())
-    header = cm.agg(
+    header = lambda: cm.agg(
         to_double(F.coalesce(F.sum("s"), F.lit(0))).alias("total_amount"),
         F.least(F.count(F.col("category")), F.lit(top_n) if top_n else F.count(F.col("category")))
          .alias("category_count"),

@@ -40,16 +40,17 @@ def custom_report(df: DataFrame, flt: ReportFilter | None = None,
     in sort order. The header has the total and row count of all filtered rows.
     """
     f = apply_filters(df, flt)
-    header = f.agg(to_double(dsum(F.col("amount"))).alias("total_amount"),
-                   F.count(F.lit(1)).alias("transaction_count"))
+    def header():
+        return f.agg(to_double(dsum(F.col("amount"))).alias("total_amount"),
+                     F.count(F.lit(1)).alias("transaction_count"))
     if group_by and group_by in f.columns:
         amt = F.col("amount")
         s, n = dsum(amt), F.count(amt)
-        details = (f.where(F.col(group_by).isNotNull()).groupBy(group_by)
+        details = lambda: (f.where(F.col(group_by).isNotNull()).groupBy(group_by)
                    .agg(to_double(s).alias("total"), n.alias("count"),
                         F.when(n > 0, to_double(s) / n).alias("average"),
                         to_double(F.min(amt)).alias("min"),
                         to_double(F.max(amt)).alias("max"))
                    .orderBy(group_by))
-        return Report("custom", header.withColumn("grouped_by", F.lit(group_by)), details)
-    return Report("custom", header, sort_rows(f, sort))
+        return Report("custom", lambda: header().withColumn("grouped_by", F.lit(group_by)), details)
+    return Report("custom", header, lambda: sort_rows(f, sort))

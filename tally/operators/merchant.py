@@ -65,31 +65,34 @@ def merchant_analysis(df: DataFrame, flt: ReportFilter | None = None,
     if top_n is not None and top_n < 1:
         raise ValueError("top_n must be >= 1")
     mc = merchant_category(apply_filters(df, flt))
-    m = (mc.rollup("merchant")
-           .agg(dsum(F.col("s")).alias("s"), F.sum("n").alias("n"),
-                mode_category().alias("primary_category"), F.grouping_id().alias("gid")))
-    is_total = F.col("gid") == 1
-    if top_n:
-        ranked = (m.where(is_total | F.col("merchant").isNotNull())
-                   .orderBy(is_total.desc(), F.abs(F.col("s")).desc(), F.col("merchant").asc())
-                   .limit(top_n + 1))
-        with_total = ranked.withColumn("g", F.max(F.when(is_total, F.col("s"))).over(Window.partitionBy()))
-    else:
-        from tally.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(m.sparkSession)
-        mk = m.checkpoint(eager=True)
-        grand = mk.where(is_total).select(F.col("s").alias("g")).scalar()
-        with_total = mk.where(is_total | F.col("merchant").isNotNull()).withColumn("g", grand)
-    s, n = F.col("s"), F.coalesce(F.col("n"), F.lit(0))
-    details = with_total.where(~is_total).select(
-        "merchant",
-        to_double(s).alias("total"),
-        n.alias("count"),
-        F.when(n > 0, to_double(s) / n).alias("average"),
-        "primary_category",
-        ratio_pct(s, F.col("g")).alias("percentage_of_total"),
-    ).orderBy(F.abs(F.col("total")).desc(), F.col("merchant").asc())
-    header = mc.agg(
+    def details() -> DataFrame:
+        m = (mc.rollup("merchant")
+               .agg(dsum(F.col("s")).alias("s"), F.sum("n").alias("n"),
+                    mode_category().alias("primary_category"), F.grouping_id().alias("gid")))
+        is_total = F.col("gid") == 1
+        if top_n:
+            ranked = (m.where(is_total | F.col("merchant").isNotNull())
+                       .orderBy(is_total.desc(), F.abs(F.col("s")).desc(), F.col("merchant").asc())
+                       .limit(top_n + 1))
+            with_total = ranked.withColumn("g", F.max(F.when(is_total, F.col("s")))
+                                           .over(Window.partitionBy()))
+        else:
+            from tally.session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(m.sparkSession)
+            mk = m.checkpoint(eager=True)
+            grand = mk.where(is_total).select(F.col("s").alias("g")).scalar()
+            with_total = mk.where(is_total | F.col("merchant").isNotNull()).withColumn("g", grand)
+        s, n = F.col("s"), F.coalesce(F.col("n"), F.lit(0))
+        return with_total.where(~is_total).select(
+            "merchant",
+            to_double(s).alias("total"),
+            n.alias("count"),
+            F.when(n > 0, to_double(s) / n).alias("average"),
+            "primary_category",
+            ratio_pct(s, F.col("g")).alias("percentage_of_total"),
+        ).orderBy(F.abs(F.col("total")).desc(), F.col("merchant").asc())
+
+    header = lambda: mc.agg(
         to_double(F.coalesce(F.sum("s"), F.lit(0))).alias("total_amount"),
         F.least(F.countDistinct("merchant"),
                 F.lit(top_n) if top_n else F.countDistinct("merchant")).alias("merchant_count"),

@@ -61,7 +61,7 @@ def profit_and_loss(df: DataFrame, flt: ReportFilter | None = None) -> Report:
     sc = sign_category(apply_filters(df, flt))
     inc = dsum(F.when(F.col(SIGN) == "income", F.col("s")))
     exp = F.abs(dsum(F.when(F.col(SIGN) == "expense", F.col("s"))))
-    header = sc.agg(
+    header = lambda: sc.agg(
         F.lit(period_description(flt.start_date, flt.end_date)).alias("period"),
         to_double(inc).alias("total_income"),
         to_double(exp).alias("total_expenses"),
@@ -72,9 +72,9 @@ def profit_and_loss(df: DataFrame, flt: ReportFilter | None = None) -> Report:
         F.coalesce(F.sum(F.when(F.col(SIGN) == "expense", F.col("rows"))), F.lit(0))
          .alias("expense_transaction_count"),
     )
-    sides = category_sides(sc)
     return Report("profit_and_loss", header, None, {
-        "income_by_category": _by_category(sides, "income", "percentage_of_income"),
-        "expenses_by_category": _by_category(sides, "expenses", "percentage_of_expenses"),
-        "by_category": sides,
+        "income_by_category": lambda: _by_category(category_sides(sc), "income", "percentage_of_income"),
+        "expenses_by_category": lambda: _by_category(category_sides(sc), "expenses",
+                                                     "percentage_of_expenses"),
+        "by_category": lambda: category_sides(sc),
     })

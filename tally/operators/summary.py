@@ -39,19 +39,20 @@ def summary_statistics(df: DataFrame, median: str = "select", materialize: bool
         s, n = dsum(amt), F.count(amt)
         med = (F.percentile(to_double(amt), F.lit(0.5)) if median == "percentile"
                else F.percentile_approx(to_double(amt), 0.5, 10000))
-        header = df.agg(F.count(F.lit(1)).alias("total_transactions"),
+        header = lambda: df.agg(F.count(F.lit(1)).alias("total_transactions"),
                         to_double(s).alias("total_amount"), mean(s, n).alias("average_amount"),
                         to_double(F.min(amt)).alias("min_amount"),
                         to_double(F.max(amt)).alias("max_amount"),
                         med.alias("median_amount"))
-        return Report("summary", header, summary_by_category(df))
-    qs = quantile_summary(df, "amount", [0.5], ["median_amount"], materialize)
-    s, n = F.col("s"), F.col("n")
-    header = qs.select(F.col("rows").alias("total_transactions"),
-                       to_double(s).alias("total_amount"), mean(s, n).alias("average_amount"),
-                       to_double(F.col("mn")).alias("min_amount"),
-                       to_double(F.col("mx")).alias("max_amount"), "median_amount")
-    return Report("summary", header, summary_by_category(df))
+        return Report("summary", header, lambda: summary_by_category(df))
+    def header() -> DataFrame:
+        qs = quantile_summary(df, "amount", [0.5], ["median_amount"], materialize)
+        s, n = F.col("s"), F.col("n")
+        return qs.select(F.col("rows").alias("total_transactions"),
+                         to_double(s).alias("total_amount"), mean(s, n).alias("average_amount"),
+                         to_double(F.col("mn")).alias("min_amount"),
+                         to_double(F.col("mx")).alias("max_amount"), "median_amount")
+    return Report("summary", header, lambda: summary_by_category(df))
 
 
 def summary_by_category(df: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def trend(df: DataFrame, flt: ReportFilter | None = None, grouping: str = "month
         F.sum("n").alias("transaction_count"),
         F.min(cand).getField("c").alias("top_expense_category"),
     )
-    details = per.select(
+    details = lambda: per.select(
         key_label(F.col("pkey"), grouping).alias("period"),
         to_double(F.col("income")).alias("income"),
         to_double(F.col("expenses")).alias("expenses"),
@@ -43,5 +43,5 @@ def trend(df: DataFrame, flt: ReportFilter | None = None, grouping: str = "month
         "transaction_count",
         "top_expense_category",
     ).orderBy("period")
-    header = per.agg(F.lit(grouping).alias("grouping"), F.count(F.lit(1)).alias("period_count"))
+    header = lambda: per.agg(F.lit(grouping).alias("grouping"), F.count(F.lit(1)).alias("period_count"))
     return Report("trend_analysis", header, details)

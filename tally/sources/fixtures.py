@@ -23,8 +23,30 @@ from tally.sources.tables import read_table
 FIXTURE_COLUMNS = LINEAGE + ["date", "amount", "description", "merchant",
                              "category", "account", "notes"]
 
+# Fixture *plans* per session and folder: DataFrames are immutable lazy plans,
+# and building one costs hundreds of eagerly analysed py4j calls (~0.5 s), so
+# reports reuse the same plan object. No data is cached by this.
+_PLANS: dict = {}
+
+
+def _memo(kind: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    from tally.session import app_key
+    key = (kind, id(spark), app_key(spark), sf_dir.rstrip("/"))
+    df = _PLANS.get(key)
+    if df is None:
+        df = _PLANS[key] = build()
+    return df
+
+
+def clear_plans() -> None:
+    _PLANS.clear()
+
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memo("transactions", spark, sf_dir, lambda: _transactions(spark, sf_dir))
+
+
+def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean transactions (typed).
 
     Join order: orders ⋈ customer first, so the wide fact table is joined
@@ -97,10 +119,10 @@ def dirty(df: DataFrame) -> DataFrame:
 
 
 def transactions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dirty(transactions(spark, sf_dir))
+    return _memo("raw", spark, sf_dir, lambda: dirty(transactions(spark, sf_dir)))
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized transactions as ingest produces them from text."""
     from tally.sources.ingest import normalize
-    return normalize(transactions_raw(spark, sf_dir))
+    return _memo("ledger", spark, sf_dir, lambda: normalize(transactions_raw(spark, sf_dir)))

@@ -27,4 +27,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataF
 
 
 def refresh_tables() -> None:
+    """Forget table handles and the fixture plans built on them."""
+    from tally.sources.fixtures import clear_plans
     _HANDLES.clear()
+    clear_plans()
