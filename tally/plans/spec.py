@@ -179,3 +179,18 @@ class Reports:
     def custom_report(self, filters: ReportFilter | None = None, sort: ReportSort | None = None,
                       group_by: str | None = None) -> Report:
         return custom_report(self.df, filters, sort, group_by)
+
+    def summary(self, filters: ReportFilter | None = None, median: str = "select",
+                materialize: bool = False) -> Report:
+        from tally.operators.filters import apply_filters
+        from tally.operators.summary import summary_statistics
+        return summary_statistics(apply_filters(self.df, filters), median, materialize)
+
+    def describe(self, filters: ReportFilter | None = None) -> DataFrame:
+        from tally.operators.filters import apply_filters
+        from tally.operators.summary import describe_amounts
+        return describe_amounts(apply_filters(self.df, filters))
+
+    def period_comparison(self, periods, filters: ReportFilter | None = None) -> DataFrame:
+        from tally.operators.compare import period_comparison
+        return period_comparison(self.df, periods, filters)

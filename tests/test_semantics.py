@@ -259,3 +259,13 @@ def test_python_regex_syntax_runs_on_spark(spark):
     assert ReportFilter(merchants=[r"(?P<w>shop) (?P=w)"]).apply(df).count() == 1
     assert ReportFilter(merchants=[r"mart\Z"]).apply(df).count() == 1
     assert ReportFilter(merchants=["ÜNÏ"]).apply(df).count() == 1
+
+
+def test_reports_builder_covers_all(spark):
+    from tally.plans.spec import Reports
+    df = txns(spark, [(dt("2024-01-01"), 5, "a", "m"), (dt("2024-02-09"), -3, "b", "n")])
+    r = Reports(df)
+    assert r.summary().header.first().total_transactions == 2
+    assert r.describe().first()["count"] == 2
+    assert r.period_comparison([("Jan", "2024-01-01", "2024-01-31")]).first().income == 5.0
+    assert r.merchant_analysis(top_n=None).details.count() == 2
