@@ -49,16 +49,28 @@ def category_sides(sc: DataFrame) -> DataFrame:
                       ratio_pct(total, F.col("tot"), F.col("tot") > 0).alias("percentage")))
 
 
-def _by_category(sides: DataFrame, section: str, share_name: str) -> DataFrame:
-    return (sides.where(F.col("section") == section)
-                 .select("category", "total", "count", "average",
-                         F.col("percentage").alias(share_name))
-                 .orderBy(F.col("total").desc(), F.col("category").asc()))
+def side_by_category(f: DataFrame, side: str, share_name: str) -> DataFrame:
+    """One P&L list straight from the filtered rows: aggregate only that
+    side, share over its total (null category included) with a window over
+    ≤ categories + 1 aggregated rows; the final sort then runs inside that
+    single partition (no range exchange)."""
+    amt = F.col("amount")
+    cond = is_income() if side == "income" else is_expense()
+    g = f.where(cond).groupBy("category").agg(dsum(amt).alias("s"), F.count(amt).alias("n"))
+    tot = F.abs(F.sum("s").over(Window.partitionBy()))
+    total = F.abs(F.col("s"))
+    return (g.select("category", "s", "n", tot.alias("tot"))
+             .where(F.col("category").isNotNull())
+             .select("category", to_double(total).alias("total"), F.col("n").alias("count"),
+                     F.abs(to_double(F.col("s")) / F.col("n")).alias("average"),
+                     ratio_pct(total, F.col("tot"), F.col("tot") > 0).alias(share_name))
+             .orderBy(F.col("total").desc(), F.col("category").asc()))
 
 
 def profit_and_loss(df: DataFrame, flt: ReportFilter | None = None) -> Report:
     flt = flt or ReportFilter()
-    sc = sign_category(apply_filters(df, flt))
+    f = apply_filters(df, flt)
+    sc = sign_category(f)
     inc = dsum(F.when(F.col(SIGN) == "income", F.col("s")))
     exp = F.abs(dsum(F.when(F.col(SIGN) == "expense", F.col("s"))))
     header = lambda: sc.agg(
@@ -73,8 +85,7 @@ def profit_and_loss(df: DataFrame, flt: ReportFilter | None = None) -> Report:
          .alias("expense_transaction_count"),
     )
     return Report("profit_and_loss", header, None, {
-        "income_by_category": lambda: _by_category(category_sides(sc), "income", "percentage_of_income"),
-        "expenses_by_category": lambda: _by_category(category_sides(sc), "expenses",
-                                                     "percentage_of_expenses"),
+        "income_by_category": lambda: side_by_category(f, "income", "percentage_of_income"),
+        "expenses_by_category": lambda: side_by_category(f, "expense", "percentage_of_expenses"),
         "by_category": lambda: category_sides(sc),
     })
