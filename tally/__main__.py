@@ -6,7 +6,7 @@
 Flags map one-to-one onto ``ReportSpec`` fields and are validated by it.
 Each frame of the report (header and lists) is written as its own folder
 below ``--out`` (JSON lines, or CSV with ``--csv``), as a distributed
-write; ``--text`` also prints the P&L text layout, and ``--show`` prints the
+write; ``--text`` also prints the report's text layout, and ``--show`` prints the
 first rows of each frame.
 """
 
@@ -83,9 +83,9 @@ def main(argv=None) -> int:
         if a.show:
             print(f"-- {name}")
             frame.show(a.show, truncate=False)
-    if a.text and rep.kind == "profit_and_loss":
-        from tally.operators.render import pnl_text
-        print("\n".join(pnl_text(rep)))
+    if a.text and rep.kind != "custom":
+        from tally.operators.render import report_text
+        print("\n".join(report_text(rep)))
     return 0
 
 

@@ -110,3 +110,64 @@ def pnl_text(report) -> list[str]:
         out += ["", "  Expenses by Category:"] + exp
     out += ["", "-" * 80, h.net, "=" * 80, ""]
     return out
+
+
+def _lines(df: DataFrame, limit: int | None = None) -> list[str]:
+    rows = df.select("line").limit(limit) if limit else df.select("line")
+    return [r.line for r in rows.collect()]
+
+
+def cash_flow_text(report) -> list[str]:
+    h = report.header.first()
+    out = ["", "=" * 100, f"CASH FLOW REPORT ({h.grouping.upper()})", f"Period: {h.period}", "=" * 100,
+           "", f"{'Period':<15} {'Inflow':>15} {'Outflow':>15} {'Net Flow':>15} {'Running Balance':>20}",
+           "-" * 100]
+    out += _lines(cash_flow_lines(report.details))
+    t = report.header.select(pad_left(cur(F.col("total_inflow")), 15).alias("i"),
+                             pad_left(cur(F.col("total_outflow")), 15).alias("o"),
+                             pad_left(cur(F.col("net_cash_flow")), 15).alias("n")).first()
+    out += ["-" * 100, f"{'TOTAL':<15} {t.i} {t.o} {t.n}", "=" * 100, ""]
+    return out
+
+
+def category_text(report, top_n: int | None = None) -> list[str]:
+    h = report.header.select(pad_left(cur(F.col("total_amount")), 15).alias("t"), "category_count").first()
+    out = ["", "=" * 120, "CATEGORY ANALYSIS REPORT"] + ([f"Top {top_n} Categories"] if top_n else [])
+    out += ["=" * 120, "", f"{'Category':<25} {'Total':>15} {'Count':>8} {'Average':>15} {'Min':>15} "
+            f"{'Max':>15} {'%':>8}", "-" * 120]
+    out += _lines(category_lines(report.details))
+    out += ["-" * 120, f"{'TOTAL':<25} {h.t} ({h.category_count} categories)", "=" * 120, ""]
+    return out
+
+
+def merchant_text(report, top_n: int = 20) -> list[str]:
+    out = ["", "=" * 110, f"MERCHANT/PAYEE ANALYSIS REPORT (Top {top_n})", "=" * 110, "",
+           f"{'Merchant':<30} {'Total':>15} {'Count':>8} {'Average':>15} {'Category':<20} {'%':>8}",
+           "-" * 110]
+    return out + _lines(merchant_lines(report.details)) + ["=" * 110, ""]
+
+
+def trend_text(report) -> list[str]:
+    g = report.header.first().grouping
+    out = ["", "=" * 110, f"TREND ANALYSIS REPORT ({g.upper()})", "=" * 110, "",
+           f"{'Period':<15} {'Income':>15} {'Expenses':>15} {'Net':>15} {'Txns':>8} "
+           f"{'Top Expense Category':<25}", "-" * 110]
+    return out + _lines(trend_lines(report.details)) + ["=" * 110, ""]
+
+
+def account_text(report, limit: int | None = 1000) -> list[str]:
+    """Account lines are one per account (grows with the data): at most
+    ``limit`` are printed, in report order."""
+    t = report.header.select(pad_left(cur(F.col("total_balance_change")), 15).alias("t")).first().t
+    out = ["", "=" * 100, "ACCOUNT SUMMARY REPORT", "=" * 100, "",
+           f"{'Account':<30} {'Income':>15} {'Expenses':>15} {'Net Change':>15} {'Txns':>8}", "-" * 100]
+    out += _lines(account_lines(report.details), limit)
+    out += ["-" * 100, f"{'TOTAL':<30} {'':>15} {'':>15} {t}", "=" * 100, ""]
+    return out
+
+
+def report_text(report, **kw) -> list[str]:
+    """Text layout of any of the six report kinds."""
+    return {"profit_and_loss": pnl_text, "cash_flow": cash_flow_text, "category_analysis": category_text,
+            "merchant_analysis": merchant_text, "trend_analysis": trend_text,
+            "account_summary": account_text}[report.kind](report, **kw)
