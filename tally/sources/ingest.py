@@ -25,7 +25,7 @@ SYNTHESIZED = "tally.synthesized"
 
 # Fixed value: the plain-number shape accepted for amount text.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-DEFAULT_DATE_FORMATS = ("yyyy-MM-dd",)
+DEFAULT_DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
 
 
 def coerce_date(c: Column, dtype: T.DataType, formats=DEFAULT_DATE_FORMATS) -> Column:

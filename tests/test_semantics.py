@@ -269,3 +269,9 @@ def test_reports_builder_covers_all(spark):
     assert r.describe().first()["count"] == 2
     assert r.period_comparison([("Jan", "2024-01-01", "2024-01-31")]).first().income == 5.0
     assert r.merchant_analysis(top_n=None).details.count() == 2
+
+
+def test_default_date_formats_take_time_of_day(spark):
+    raw = spark.createDataFrame([("2024-03-31 10:00:00",), ("2024-03-31",), ("2024-03-31T10:00",)], "date string")
+    assert [r.date for r in normalize(raw).select("date").collect()] == \
+        [dt("2024-03-31 10:00"), dt("2024-03-31"), None]
