@@ -25,3 +25,22 @@ def test_stream_equals_batch(spark, sf_dir):
     sink.where(F.col("batch_id") == 0).write.mode("append").parquet(f"{base}/sink")
     assert rows_of(read_cash_flow(spark, f"{base}/sink", "daily")) == \
         rows_of(cash_flow(led, grouping="daily").details)
+
+
+def test_late_rows_beyond_watermark_are_dropped(spark):
+    from datetime import datetime
+    from decimal import Decimal as D
+    base = scratch_dir(spark, "t-late")
+    mk = lambda rows: spark.createDataFrame(
+        [(datetime.fromisoformat(d), "x", D(a), "c", "acc", "m", None) for d, a in rows], TXN_SCHEMA)
+    mk([("2024-03-01", "10.00")]).write.parquet(f"{base}/src/f1")
+    mk([("2024-03-20", "5.00")]).write.parquet(f"{base}/src/f2")        # moves the watermark
+    q = start_cash_flow_stream(spark, f"{base}/src/f*", f"{base}/sink", f"{base}/ck", TXN_SCHEMA,
+                               watermark="2 days", max_files_per_trigger=1)
+    assert q.awaitTermination(300)
+    mk([("2024-03-02", "7.00"), ("2024-03-19", "3.00")]).write.parquet(f"{base}/src/f3")  # late / in time
+    q = start_cash_flow_stream(spark, f"{base}/src/f*", f"{base}/sink", f"{base}/ck", TXN_SCHEMA,
+                               watermark="2 days", max_files_per_trigger=1)
+    assert q.awaitTermination(300)
+    got = {r.period: (r.inflow, r.transaction_count) for r in read_cash_flow(spark, f"{base}/sink").collect()}
+    assert got == {"2024-03-01": (10.0, 1), "2024-03-19": (3.0, 1), "2024-03-20": (5.0, 1)}
