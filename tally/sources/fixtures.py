@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.operators.joins import sized_broadcast
+from tally.operators.joins import prepare_broadcasts, sized_broadcast
 from tally.schema import AMOUNT_TYPE, LINEAGE
 from tally.sources.tables import read_table
 
@@ -66,6 +66,8 @@ def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
     tag = sf_dir.rstrip("/")
     oc = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "o_orderpriority", "c_name")
+    prepare_broadcasts([(f"{tag}|orders*customer", oc, [o, c]), (f"{tag}|part", p, None),
+                        (f"{tag}|supplier", s, None)])
     oc = sized_broadcast(oc, f"{tag}|orders*customer", [o, c], cache=True)
     p = sized_broadcast(p, f"{tag}|part", cache=True)
     s = sized_broadcast(s, f"{tag}|supplier", cache=True)
