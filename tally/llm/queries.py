@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tally.session import scratch_dir
+
 TOKEN_LIMIT = 4096
+END_ID = 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,3 +31,11 @@ def op9_sentencepiece_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tally.llm.sentencepiece_backend import encode_decode
 
     return encode_decode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tally.llm.token_files import read_tokens, write_tokens
+
+    path = scratch_dir(spark, "token-files")
+    write_tokens(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), END_ID)
+    return read_tokens(spark, path)
