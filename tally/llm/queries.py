@@ -39,3 +39,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-files")
     write_tokens(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), END_ID)
     return read_tokens(spark, path)
+
+
+def op3_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tally.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, max_bits=2) \
+        .select("doc_id", "fingerprint", "component_id")
+
+
+def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tally.llm.license_rules import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents")).drop("detections")

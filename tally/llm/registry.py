@@ -10,6 +10,8 @@ from tally.llm import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
+        q.op3_simhash_multi_index,
+        q.op4_license_rules,
         q.op6_token_prefix,
         q.op8_token_files,
         q.op9_sentencepiece_backend,
