@@ -52,3 +52,9 @@ def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tally.llm.license_rules import license_scan
 
     return license_scan(_table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tally.llm.quality_outliers import quality
+
+    return quality(_table(spark, sf_dir, "documents")).drop("distance")

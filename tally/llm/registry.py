@@ -12,6 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         q.op3_simhash_multi_index,
         q.op4_license_rules,
+        q.op5_quality_outliers,
         q.op6_token_prefix,
         q.op8_token_files,
         q.op9_sentencepiece_backend,
