@@ -58,3 +58,9 @@ def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tally.llm.quality_outliers import quality
 
     return quality(_table(spark, sf_dir, "documents")).drop("distance")
+
+
+def op7_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tally.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).drop("source", "text_hash")

@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q.op4_license_rules,
         q.op5_quality_outliers,
         q.op6_token_prefix,
+        q.op7_golden_mix,
         q.op8_token_files,
         q.op9_sentencepiece_backend,
     )
