@@ -64,3 +64,9 @@ def op7_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tally.llm.mixing import mix
 
     return mix(_table(spark, sf_dir, "documents")).drop("source", "text_hash")
+
+
+def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tally.llm.pii import find_personal_data
+
+    return find_personal_data(_table(spark, sf_dir, "documents")).drop("span_list")
