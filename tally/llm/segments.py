@@ -20,7 +20,7 @@ from tally.llm.common import strings, utf8_buffer
 class Segments:
     """Distinct segments of a batch and where each document uses them."""
 
-    distinct: list[str]
+    distinct: list[str] | pa.Array
     use: np.ndarray     # index into distinct, in text order
     bounds: np.ndarray  # rows + 1 positions in use
 
@@ -32,13 +32,13 @@ def _cut(data: np.ndarray, off: np.ndarray, safe: np.ndarray) -> Segments:
         start[off[:-1][off[:-1] < off[1:]]] = True
     at = np.flatnonzero(start)
     coded = strings(data, np.append(at, len(data))).dictionary_encode()
-    return Segments(coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False),
+    return Segments(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False),
                     np.searchsorted(at, off))
 
 
 def byte_level(col: pa.Array) -> Segments:
-    """Segments for byte-level BPE, whose pre-tokenizer never joins a visible
-    character to the space after it.  Cuts only where the byte before the space
+    """Segments, as a string column, for byte-level BPE, whose pre-tokenizer
+    never joins a visible character to the space after it.  Cuts only where the byte before the space
     is visible ASCII or part of U+00C0..U+00FF; elsewhere segments stay longer."""
     data, off = utf8_buffer(pc.fill_null(col, ""))
     safe = (data > 0x20) & (data < 0x7F)
@@ -56,7 +56,7 @@ def metaspace(col: pa.Array) -> Segments:
     if len(data) > 2:
         safe[2:] &= ~((data[2:] == 0x81) & (data[1:-1] == 0x96) & (data[:-2] == 0xE2))
     found = _cut(data, off, safe)
-    found.distinct = [s[1:] for s in found.distinct]
+    found.distinct = [s[1:] for s in found.distinct.to_pylist()]
     return found
 
 

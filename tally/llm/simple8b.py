@@ -44,7 +44,7 @@ def _selectors(bits: np.ndarray, block: int) -> np.ndarray:
                 widest[:n - have] = np.maximum(widest[:n - have], bits[have:])
             have += 1
         fits = (widest <= WIDTHS[selector]) & (left >= count)
-        if not fits.any() and int(WIDTHS[selector]) < int(bits.min(initial=64)):
+        if not fits.any():  # then no longer run of narrower values fits either
             break
         best[fits] = selector
     return best

@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tally.llm import simple8b
-from tally.llm.common import pick, text_slices
+from tally.llm.common import pick, text_slices, utf8_buffer
 from tally.llm.segments import Segments, Tokens, byte_level
 
 ROW_IDS = 1 << 20
 #: Bytes of text that are encoded at a time (one document at least).
-SLICE = 16 << 20
+SLICE = 12 << 20
 SCHEMA = ("shard int, part int, shard_start long, n_ids long, doc_ids array<{kind}>, doc_lens array<long>, "
           "block_offsets binary, words binary")
 
@@ -71,21 +71,25 @@ class ByteEncoder:
         token crosses such ends), and come apart by the bytes that ids stand
         for; the others go one by one."""
         found: Segments = byte_level(text)
-        apart = np.fromiter((s[0] != " " or not "!" <= s[-1] <= "~" for s in found.distinct), bool, len(found.distinct))
+        data, off = utf8_buffer(found.distinct)
+        apart = (data[off[:-1]] != 0x20) | (data[off[1:] - 1] <= 0x20) | (data[off[1:] - 1] >= 0x7F)
         order = np.argsort(~apart, kind="stable")
-        texts, alone = [found.distinct[i] for i in order], int(apart.sum())
-        flat = self._ids(texts[:alone] + ["".join(texts[i:i + together]) for i in range(alone, len(texts), together)])
-        end = np.cumsum(np.fromiter((len(s.encode()) for s in texts), np.int64, len(texts)))
+        strung, at = utf8_buffer(found.distinct.filter(pa.array(~apart)))
+        cuts = at[::together].tolist()
+        whole = strung.tobytes()
+        flat = self._ids(found.distinct.filter(pa.array(apart)).to_pylist()
+                         + [whole[a:b].decode() for a, b in zip(cuts, [*cuts[1:], len(whole)])])
+        end = np.cumsum(np.diff(off)[order])
         reach = np.append(0, np.cumsum(self.sizes[flat]))
         last = np.searchsorted(reach, end)
         if not np.array_equal(reach[np.minimum(last, len(flat))], end):
             raise ValueError("ids of the vocabulary file do not end where segments end")
-        size, first = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        size, first = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         size[order], first[order] = np.diff(last, prepend=0), np.append(0, last)[:-1]
         n = size[found.use]
         stop = np.append(0, np.cumsum(n))
-        at = np.repeat((first[found.use] - stop[:-1]).astype(np.int32), n) + np.arange(stop[-1], dtype=np.int32)
-        return Tokens(flat[at], stop[found.bounds])
+        place = np.repeat((first[found.use] - stop[:-1]).astype(np.int32), n) + np.arange(stop[-1], dtype=np.int32)
+        return Tokens(flat[place], stop[found.bounds])
 
 
 @lru_cache(maxsize=2)
