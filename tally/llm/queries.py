@@ -70,3 +70,9 @@ def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tally.llm.pii import find_personal_data
 
     return find_personal_data(_table(spark, sf_dir, "documents")).drop("span_list")
+
+
+def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tally.llm.language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"))

@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q.op7_golden_mix,
         q.op8_token_files,
         q.op9_sentencepiece_backend,
+        q.op10_kneser_ney_language,
     )
 }
 
