@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (BinaryType, BooleanType, DateType, NumericType, StringType, TimestampNTZType,
+                               TimestampType)
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 WHITE = " \t\n\x0b\x0c\r"
@@ -29,6 +31,12 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return flat.select(*[F.col(f"_c{names.index(old)}").alias(new) for new, old in cols.items()])
 
 
+def plain_columns(df: DataFrame) -> list[str]:
+    """Columns whose values can be sorted."""
+    plain = (StringType, NumericType, BooleanType, DateType, TimestampType, TimestampNTZType, BinaryType)
+    return [f.name for f in df.schema if isinstance(f.dataType, plain)]
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and use it in ``body``.
 

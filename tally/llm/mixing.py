@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import pick, word_count
+from tally.llm.common import pick, plain_columns, word_count
 from tally.session import ensure_checkpoint_dir
 
 BLOCK = 256
@@ -168,3 +168,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = F.coalesce(F.sum(F.when(F.col("epoch").isNotNull(), here)), F.lit(0)).cast("long")
     whole = held.groupBy("place", "range", "nth", "doc_id", "size", "text_hash").agg(taken.alias("taken"))
     return whole.join(per_source, "place").select("doc_id", "size", "source_size", "target", "taken", "source", "text_hash")
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as rows of ``docs``: each document as many times as the mix takes
+    it, its words taken over its size, rounded (only documents at the ends of
+    streams are taken in part).  Rows of one id, source and text count as one
+    document that is taken the sum of their times; the first of them stands for
+    it."""
+    times = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
+    takes = mix(docs, id_col, text_col, source_col).groupBy(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash")) \
+        .agg(F.sum(times).alias("_times")).where("_times > 0")
+    names = docs.columns
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))]).withColumn("_h", F.xxhash64(f"_c{names.index(text_col)}"))
+    key = [f"_c{names.index(id_col)}", f"_c{names.index(source_col)}", "_h"]
+    order = [c for c in plain_columns(flat) if c not in key and c != f"_c{names.index(text_col)}"] or [key[0]]
+    first = flat.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+    same = first[key[0]].eqNullSafe(takes["_id"]) & first[key[1]].eqNullSafe(takes["_source"]) & (first["_h"] == takes["_hash"])
+    out = first.join(takes, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return out.select(*[f"_c{i}" for i in range(len(names))]).toDF(*names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tally.session import scratch_dir
 
@@ -76,3 +77,9 @@ def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tally.llm.language_id import identify
 
     return identify(_table(spark, sf_dir, "documents"))
+
+
+def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tally.llm.learned_partitions import nearest_neighbours
+
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)

@@ -11,6 +11,7 @@ from tally.llm import queries as q
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         q.op1_weak_supervision_pii,
+        q.op2_learned_partitions,
         q.op3_simhash_multi_index,
         q.op4_license_rules,
         q.op5_quality_outliers,

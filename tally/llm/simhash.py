@@ -31,10 +31,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (BinaryType, BooleanType, DateType, NumericType, StringType, TimestampNTZType,
-                               TimestampType)
 
-from tally.llm.common import pick, text_slices
+from tally.llm.common import pick, plain_columns, text_slices
 from tally.llm.components import connected
 from tally.session import ensure_checkpoint_dir
 
@@ -159,7 +157,6 @@ def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str
     one = flat.withColumn("_h", F.xxhash64(f"_c{names.index(text_col)}"))
     key = f"_c{names.index(id_col)}"
     kept = one.join(marks, one[key].eqNullSafe(marks["_id"]) & (one["_h"] == marks["_hash"]), "left_semi")
-    plain = (StringType, NumericType, BooleanType, DateType, TimestampType, TimestampNTZType, BinaryType)
-    order = [f.name for f, name in zip(flat.schema, names) if name != text_col and isinstance(f.dataType, plain)]
+    order = [c for c in plain_columns(flat) if c != f"_c{names.index(text_col)}"] or [key]
     copy = F.row_number().over(Window.partitionBy(key, "_h").orderBy(*order))
     return kept.withColumn("_copy", copy).where("_copy = 1").drop("_copy", "_h").toDF(*names)
