@@ -50,11 +50,13 @@ def byte_level(col: pa.Array) -> Segments:
 def metaspace(col: pa.Array) -> Segments:
     """Segments for a piece model that turns each space into U+2581 and puts one
     before the text: each segment is given without its first space.  Cuts before
-    any space that follows neither a space nor U+2581."""
+    any space that follows neither a space nor U+2581 and is not a text's last
+    character, so that only an empty text has an empty segment."""
     data, off = utf8_buffer(pc.binary_join_element_wise("", pc.fill_null(col, ""), " "))
     safe = data != 0x20
     if len(data) > 2:
         safe[2:] &= ~((data[2:] == 0x81) & (data[1:-1] == 0x96) & (data[:-2] == 0xE2))
+    safe[off[1:][np.diff(off) > 1] - 2] = False
     found = _cut(data, off, safe)
     found.distinct = [s[1:] for s in found.distinct.to_pylist()]
     return found
