@@ -33,17 +33,15 @@ from tally.sources.fixtures import transactions  # noqa: E402
 from tally.sources.store import read_store, write_store  # noqa: E402
 
 HEADLINE = {
-    "expenses_by_category": lambda t, joined: profit_and_loss(t).sections["expenses_by_category"],
-    "category_statistics": lambda t, joined: category_analysis(t).details,
-    "account_summary": lambda t, joined: account_summary(t).details,
-    # a joined input is checkpointed once for the two quantile reads; a
-    # stored table is cheaper to read twice
-    "summary_exact_median": lambda t, joined: summary_statistics(t, materialize=joined).header,
-    "cash_flow_monthly": lambda t, joined: cash_flow(t, grouping="monthly").details,
-    "cash_flow_weekly": lambda t, joined: cash_flow(t, grouping="weekly").details,
-    "top_category_monthly": lambda t, joined: trend(t, grouping="monthly").details,
-    "top_category_weekly": lambda t, joined: trend(t, grouping="weekly").details,
-    "merchant_top20_mode": lambda t, joined: merchant_analysis(t, top_n=P.MERCHANT_TOP_N).details,
+    "expenses_by_category": lambda t: profit_and_loss(t).sections["expenses_by_category"],
+    "category_statistics": lambda t: category_analysis(t).details,
+    "account_summary": lambda t: account_summary(t).details,
+    "summary_exact_median": lambda t: summary_statistics(t).header,
+    "cash_flow_monthly": lambda t: cash_flow(t, grouping="monthly").details,
+    "cash_flow_weekly": lambda t: cash_flow(t, grouping="weekly").details,
+    "top_category_monthly": lambda t: trend(t, grouping="monthly").details,
+    "top_category_weekly": lambda t: trend(t, grouping="weekly").details,
+    "merchant_top20_mode": lambda t: merchant_analysis(t, top_n=P.MERCHANT_TOP_N).details,
 }
 
 
@@ -53,25 +51,25 @@ def main() -> None:
     reps = int(os.environ.get("BENCH_REPS", "3"))
     store_reps = int(os.environ.get("BENCH_STORE_REPS", "1"))
     spark = get_session(f"local[{cpus}]", app_name="tally-bench", shuffle_partitions=int(cpus))
-    def timed(source, joined, reps):
+    def timed(source, reps):
         times, rows = {}, {}
         for name, fn in HEADLINE.items():
-            fn(source(), joined).collect()  # warm-up
+            fn(source()).collect()  # warm-up
             best = None
             for _ in range(reps):
                 t0 = time.perf_counter()
-                out = fn(source(), joined).collect()
+                out = fn(source()).collect()
                 dt = time.perf_counter() - t0
                 best = dt if best is None else min(best, dt)
             times[name] = round(best, 3)
             rows[name] = len(out)
         return times, rows
 
-    times, rows = timed(lambda: transactions(spark, sf_dir), True, reps)
+    times, rows = timed(lambda: transactions(spark, sf_dir), reps)
     t0 = time.perf_counter()
     path = write_store(transactions(spark, sf_dir), scratch_dir(spark, "bench-store"))
     write_sec = time.perf_counter() - t0
-    store_times, _ = timed(lambda: read_store(spark, path), False, store_reps)
+    store_times, _ = timed(lambda: read_store(spark, path), store_reps)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "rows": rows, "sf": sf,

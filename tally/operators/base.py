@@ -40,12 +40,13 @@ class Report:
     its main list of records (None for reports without one) and ``sections``
     any further named lists (P&L has two). Each frame may be given as a
     builder and is planned on first access; nothing runs until an action is
-    called on a frame.
+    called on a frame. ``top_n`` is the limit of the list, if it has one.
     """
 
     def __init__(self, kind: str, header: Frame, details: Optional[Frame] = None,
-                 sections: Optional[dict] = None):
+                 sections: Optional[dict] = None, top_n: Optional[int] = None):
         self.kind = kind
+        self.top_n = top_n
         self._frames = _LazyFrames({"header": header, "details": details})
         self.sections = _LazyFrames(sections or {})
 

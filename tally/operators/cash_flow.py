@@ -33,22 +33,29 @@ def cash_flow_periods(df: DataFrame, grouping: str = "monthly") -> DataFrame:
             .withColumn("period", key_label(F.col("pkey"), grouping)))
 
 
-def cash_flow(df: DataFrame, flt: ReportFilter | None = None,
-              grouping: str = "monthly") -> Report:
-    per = cash_flow_periods(apply_filters(df, flt), grouping)
-    # The running balance is a window over the aggregated periods only:
-    # at most one row per period label (3,650 for ten years of days), so the
-    # single ordered partition it needs stays small at any data size.
+def cash_flow_details(per: DataFrame, *more: str) -> DataFrame:
+    """Report rows of ``cash_flow_periods``, in period order, and ``more`` columns.
+
+    The running balance is a window over the aggregated periods only: at most
+    one row per period label (3,650 for ten years of days), so the single
+    ordered partition it needs stays small at any data size."""
     run = Window.orderBy("pkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     net = F.col("inflow") - F.col("outflow")
-    details = lambda: per.select(
+    return per.select(
         "period",
         to_double(F.col("inflow")).alias("inflow"),
         to_double(F.col("outflow")).alias("outflow"),
         to_double(net).alias("net_flow"),
         to_double(F.sum(net).over(run)).alias("running_balance"),
-        "transaction_count",
+        "transaction_count", *more,
     ).orderBy("period")
+
+
+def cash_flow(df: DataFrame, flt: ReportFilter | None = None,
+              grouping: str = "monthly") -> Report:
+    rows = apply_filters(df, flt)
+    per = cash_flow_periods(rows, grouping)
+    details = lambda: cash_flow_details(per)
     header = lambda: per.agg(
         F.lit(grouping).alias("grouping"),
         F.coalesce(F.concat(F.min("period"), F.lit(" to "), F.max("period")), F.lit("")).alias("period"),

@@ -50,4 +50,4 @@ def category_analysis(df: DataFrame, flt: ReportFilter | None = None,
         F.least(F.count(F.col("category")), F.lit(top_n) if top_n else F.count(F.col("category")))
          .alias("category_count"),
     )
-    return Report("category_analysis", header, details)
+    return Report("category_analysis", header, details, top_n=top_n)

@@ -1,24 +1,27 @@
 """Multi-period P&L comparison in one pass.
 
 Each named period is a [start, end] date range (midnight-inclusive end, as
-the report filter). Instead of one filtered job per period, every period
-becomes a pair of conditional sums in a single global aggregate (partial
-per task, one final row), which is then unpivoted to one row per period.
-Periods may overlap; an empty range yields zeros. The number of periods is
-bounded by the spec (``MAX_PERIODS``), which bounds the aggregate width.
+the report filter). Up to ``WIDE_PERIODS`` periods become pairs of
+conditional sums in a single global aggregate (partial per task, one final
+row), unpivoted to one row per period. More periods are joined by day: the
+rows are first summed per day (apart for midnight, which alone counts on a
+period's last day), and each period lists its days. Periods may overlap; an
+empty range yields zeros. Only rows between the first start and the last end
+are read; on a stored table that prunes its month folders.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tally.functions.money import dsum, is_expense, is_income, to_double
-from tally.operators.filters import ReportFilter, apply_filters
+from tally.operators.filters import ReportFilter, apply_filters, date_range
 
-MAX_PERIODS = 100
+WIDE_PERIODS = 32
 
 
 def _ts(d: str):
@@ -29,9 +32,16 @@ def period_comparison(df: DataFrame, periods: Sequence[tuple[str, str, str]],
                       flt: ReportFilter | None = None) -> DataFrame:
     if not periods:
         raise ValueError("at least one period is required")
-    if len(periods) > MAX_PERIODS:
-        raise ValueError(f"at most {MAX_PERIODS} periods")
-    f = apply_filters(df, flt)
+    bounds = date_range(df.columns, min(s for _, s, _ in periods), max(e for _, _, e in periods))
+    f = apply_filters(df, flt).where(reduce(lambda a, b: a & b, bounds))
+    sums = _wide(f, periods) if len(periods) <= WIDE_PERIODS else _by_day(f, periods)
+    return sums.select("period", "start_date", "end_date",
+                       to_double(F.col("inc")).alias("income"),
+                       to_double(F.col("exp")).alias("expenses"),
+                       to_double(F.col("inc") - F.col("exp")).alias("net_income"))
+
+
+def _wide(f: DataFrame, periods) -> DataFrame:
     date, amt = F.col("date"), F.col("amount")
     aggs = []
     for i, (_, start, end) in enumerate(periods):
@@ -44,8 +54,21 @@ def period_comparison(df: DataFrame, periods: Sequence[tuple[str, str, str]],
                  F.lit(end).alias("end_date"), F.col(f"i{i}").alias("inc"),
                  F.col(f"e{i}").alias("exp"))
         for i, (label, start, end) in enumerate(periods)])
-    return (wide.select(F.inline(rows))
-                .select("period", "start_date", "end_date",
-                        to_double(F.col("inc")).alias("income"),
-                        to_double(F.col("exp")).alias("expenses"),
-                        to_double(F.col("inc") - F.col("exp")).alias("net_income")))
+    return wide.select(F.inline(rows))
+
+
+def _by_day(f: DataFrame, periods) -> DataFrame:
+    amt, day = F.col("amount"), F.to_date("date")
+    days = (f.select(day.alias("day"), (F.col("date") == day.cast("timestamp_ntz")).alias("midnight"), "amount")
+             .groupBy("day", "midnight")
+             .agg(dsum(F.when(is_income(), amt)).alias("i"), dsum(F.when(is_expense(), amt)).alias("e")))
+    spans = f.sparkSession.createDataFrame([(n, *p) for n, p in enumerate(periods)],
+                                           "n int, period string, start_date string, end_date string")
+    start, end = F.to_date("start_date"), F.to_date("end_date")
+    listed = spans.withColumn("day", F.explode_outer(F.when(start <= end, F.sequence(start, end))))
+    held = listed.join(days, "day", "left").where(
+        F.col("midnight").isNull() | F.col("midnight") | (F.col("day") < end) | F.col("day").isNull())
+    sums = held.groupBy("n").agg(dsum(F.col("i")).alias("inc"), F.abs(dsum(F.col("e"))).alias("exp"))
+    zero = F.lit(0).cast("decimal(28,2)")
+    return spans.join(sums, "n", "left").select("period", "start_date", "end_date",
+                                                F.coalesce("inc", zero).alias("inc"), F.coalesce("exp", zero).alias("exp"))

@@ -25,7 +25,10 @@ class ReportSort:
 def sort_rows(df: DataFrame, sort: ReportSort | None) -> DataFrame:
     """Sort on one field, nulls last either way; an unknown field leaves the
     rows as they are. Remaining columns break ties so the order is total."""
-    if sort is None or sort.field not in df.columns:
+    from tally.sources.ingest import source_columns
+    from tally.sources.store import row_columns
+    df = df.select(*row_columns(df))
+    if sort is None or sort.field not in source_columns(df):
         return df
     key = F.col(sort.field)
     first = key.asc_nulls_last() if sort.order == "asc" else key.desc_nulls_last()
@@ -39,11 +42,12 @@ def custom_report(df: DataFrame, flt: ReportFilter | None = None,
     average, min, max; the sort does not apply. Ungrouped: the filtered rows
     in sort order. The header has the total and row count of all filtered rows.
     """
+    from tally.sources.ingest import source_columns
     f = apply_filters(df, flt)
     def header():
         return f.agg(to_double(dsum(F.col("amount"))).alias("total_amount"),
                      F.count(F.lit(1)).alias("transaction_count"))
-    if group_by and group_by in f.columns:
+    if group_by and group_by in source_columns(f):
         amt = F.col("amount")
         s, n = dsum(amt), F.count(amt)
         details = lambda: (f.where(F.col(group_by).isNotNull()).groupBy(group_by)

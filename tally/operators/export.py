@@ -4,8 +4,8 @@ Exports are distributed writes (one file per task) to a folder; dates are
 written as ``yyyy-MM-dd HH:mm:ss`` text and amounts as exact decimals, so
 ``read_transactions`` reads them back unchanged. An empty frame writes no
 data files. Report documents (``to_json`` of header + details) are built
-only for reports whose detail rows are bounded by construction (periods,
-categories, top-N), never for per-account or per-row lists.
+only for reports whose detail rows are bounded (periods, top-N) or counted
+first (categories), never for per-account or per-row lists.
 """
 
 from __future__ import annotations
@@ -17,8 +17,13 @@ from pyspark.sql import types as T
 from tally.schema import DATE_FIELDS, RAW_TXN_SCHEMA
 
 EXPORT_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
-# Fixed value: CSV text of a null field, so that '' and null stay distinct.
-CSV_NULL = "\\N"
+# Standard quoting: quotes are doubled, blanks at the ends belong to the value,
+# a null is an empty unquoted field and an empty text a quoted one. The reader
+# takes no text for null: its null marker is a noncharacter.
+CSV_QUOTING = {"header": True, "quote": '"', "escape": '"',
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+CSV_WRITE = CSV_QUOTING | {"nullValue": "", "emptyValue": '""'}
+CSV_READ = CSV_QUOTING | {"nullValue": "\uffff", "emptyValue": "", "multiLine": True, "enforceSchema": False}
 READ_BACK_FORMATS = (EXPORT_TS_FORMAT, "yyyy-MM-dd")
 
 
@@ -28,19 +33,21 @@ def _as_text_dates(df: DataFrame) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    (_as_text_dates(df).write.mode(mode).option("header", True)
-        .option("nullValue", CSV_NULL).csv(path))
+    _as_text_dates(df).write.mode(mode).options(**CSV_WRITE).csv(path)
     return path
 
 
 def read_exported_csv(spark, path: str) -> DataFrame:
-    """Read an ``export_csv`` folder: header names, all text, no inference pass."""
-    return spark.read.option("header", True).option("nullValue", CSV_NULL).csv(path)
+    """Read CSV files with a header, all columns as text, no inference pass.
+
+    Quoted fields may hold line breaks, so a file is one task. The headers of
+    all files must be the first one's; a different one fails the read."""
+    return spark.read.options(**CSV_READ).csv(path)
 
 
 def export_json(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """JSON lines (one object per row; null fields omitted)."""
-    _as_text_dates(df).write.mode(mode).json(path)
+    """JSON lines (one object per row, null fields included)."""
+    _as_text_dates(df).write.mode(mode).option("ignoreNullFields", False).json(path)
     return path
 
 
@@ -52,29 +59,38 @@ def text_schema(columns) -> T.StructType:
 
 
 def report_document(details: DataFrame, header_cols, details_name: str = "details",
-                    sort_key: str | None = None) -> DataFrame:
+                    sort_key: str | None = None, hidden: tuple[str, ...] = ()) -> DataFrame:
     """One row with a JSON ``document``: header fields and the detail list.
 
     Both come from a single global aggregate over the (bounded) detail rows:
     ``header_cols`` are aggregate expressions over them, and the rows are
-    gathered sorted by ``sort_key``. Only for bounded detail lists.
+    gathered sorted by ``sort_key``, without the ``hidden`` columns that only
+    the header uses. Only for bounded detail lists.
     """
     key = sort_key or details.columns[0]
-    rows = F.sort_array(F.collect_list(F.struct(F.col(key).alias("_k"), F.struct(*details.columns).alias("r"))))
+    rows = F.sort_array(F.collect_list(F.struct(F.col(key).alias("_k"), F.struct(*[c for c in details.columns if c not in hidden]).alias("r"))))
     doc = details.agg(*header_cols, F.transform(rows, lambda x: x.getField("r")).alias(details_name))
     return doc.select(F.to_json(F.struct("*")).alias("document"))
 
 
 def cash_flow_document(df: DataFrame, flt=None, grouping: str = "monthly") -> DataFrame:
     """The cash flow report as one JSON document (periods ≤ one per label)."""
-    from tally.operators.cash_flow import cash_flow
-    d = cash_flow(df, flt, grouping).details
+    from tally.functions.money import to_double
+    from tally.operators.cash_flow import cash_flow_details, cash_flow_periods
+    from tally.operators.filters import apply_filters
+    from pyspark.sql import Window
+    per = cash_flow_periods(apply_filters(df, flt), grouping)
+    # exact DECIMAL totals of the periods (one row per label) ride along with the rows
+    all_periods = Window.partitionBy()
+    i, o = F.sum("inflow").over(all_periods), F.sum("outflow").over(all_periods)
+    totals = per.withColumns({"_inflow": to_double(i), "_outflow": to_double(o), "_net": to_double(i - o)})
+    d = cash_flow_details(totals, "_inflow", "_outflow", "_net")
     header = [F.lit("Cash Flow").alias("report_type"), F.lit(grouping).alias("grouping"),
               F.coalesce(F.concat(F.min("period"), F.lit(" to "), F.max("period")), F.lit("")).alias("period"),
-              F.coalesce(F.sum(F.col("inflow").cast("decimal(18,2)")), F.lit(0)).cast("double").alias("total_inflow"),
-              F.coalesce(F.sum(F.col("outflow").cast("decimal(18,2)")), F.lit(0)).cast("double").alias("total_outflow"),
-              F.coalesce(F.sum(F.col("net_flow").cast("decimal(18,2)")), F.lit(0)).cast("double").alias("net_cash_flow")]
-    return report_document(d, header, "periods", "period")
+              F.coalesce(F.max("_inflow"), F.lit(0.0)).alias("total_inflow"),
+              F.coalesce(F.max("_outflow"), F.lit(0.0)).alias("total_outflow"),
+              F.coalesce(F.max("_net"), F.lit(0.0)).alias("net_cash_flow")]
+    return report_document(d, header, "periods", "period", hidden=("_inflow", "_outflow", "_net"))
 
 
 def report_path(base_dir: str, kind: str, now=None, ext: str = "") -> str:
@@ -84,9 +100,9 @@ def report_path(base_dir: str, kind: str, now=None, ext: str = "") -> str:
     return f"{base_dir.rstrip('/')}/reports/{kind}_{stamp}{ext}"
 
 
-# Report kinds whose lists are bounded by construction (categories, periods,
-# top-N); account lists and custom row lists are not, so they are exported
-# as JSON lines instead of one document.
+# Report kinds that have a document, its list names and titles.
+# Account lists and custom row lists grow with the data and are exported as
+# JSON lines instead.
 BOUNDED_SECTIONS = {
     "profit_and_loss": ("income_by_category", "expenses_by_category"),
     "cash_flow": ("details",),
@@ -102,8 +118,16 @@ REPORT_TITLES = {"profit_and_loss": "Profit & Loss", "cash_flow": "Cash Flow",
                  "trend_analysis": "Trend Analysis"}
 
 
+# Rows that a document may hold of lists whose size the data decide.
+MAX_DOCUMENT_ROWS = 100_000
+
+
 def report_json(report) -> DataFrame:
-    """Any report with bounded lists as one JSON document row.
+    """Any report with short lists as one JSON document row.
+
+    Periods and top-N lists are short by construction; the lists of all
+    merchants and of all categories are counted first, and a longer one than
+    ``MAX_DOCUMENT_ROWS`` is refused: ``export_json`` writes it in parts.
 
     The header row and one row per list (``collect_list`` of its rows, in
     report order) are stacked by a union padded with nulls and folded by a
@@ -114,6 +138,10 @@ def report_json(report) -> DataFrame:
     if report.kind not in BOUNDED_SECTIONS:
         raise ValueError(f"{report.kind}: unbounded lists, export them with export_json")
     frames = report.frames()
+    for sec in BOUNDED_SECTIONS[report.kind]:
+        if report.kind not in ("cash_flow", "trend_analysis") and not report.top_n and \
+                frames[sec].limit(MAX_DOCUMENT_ROWS + 1).count() > MAX_DOCUMENT_ROWS:
+            raise ValueError(f"{sec} has more than {MAX_DOCUMENT_ROWS} rows, export it with export_json")
     parts = {"header": report.header.withColumn("report_type", F.lit(REPORT_TITLES[report.kind]))}
     for sec in BOUNDED_SECTIONS[report.kind]:
         d = frames[sec]

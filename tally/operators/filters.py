@@ -25,18 +25,40 @@ from decimal import Decimal
 from functools import reduce
 from typing import Iterable, Optional, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-# Partition column of the stored table (tally.sources.store).
-MONTH = "txn_month"
+# Columns that only the stored table has (tally.sources.store): its partition
+# column and lower-cased text, so that these filters reach the scan.
+MONTH, CATEGORY_LC, ACCOUNT_LC = "txn_month", "category_lc", "account_lc"
+STORE_COLUMNS = (MONTH, CATEGORY_LC, ACCOUNT_LC)
 
 
 def _ts(d: str) -> Column:
     return F.lit(f"{d} 00:00:00").cast("timestamp_ntz")
 
 
+def date_range(columns: Iterable[str], start: Optional[str], end: Optional[str],
+               whole_end_day: bool = False) -> list[Column]:
+    """Bounds on ``date`` and, on a stored table, on its month folders. The end
+    is midnight of ``end`` unless ``whole_end_day`` takes in all of that day."""
+    cols, preds = set(columns), []
+    if "date" not in cols:
+        return preds
+    if start:
+        preds.append(F.col("date") >= _ts(start))
+        if MONTH in cols:
+            preds.append(F.col(MONTH) >= start[:7])
+    if end:
+        preds.append(F.col("date") < F.date_add(_ts(end), 1).cast("timestamp_ntz") if whole_end_day
+                     else F.col("date") <= _ts(end))
+        if MONTH in cols:
+            preds.append(F.col(MONTH) <= end[:7])
+    return preds
+
+
 def _dec(x) -> Column:
     return F.lit(Decimal(str(x)))
 
@@ -75,6 +97,15 @@ def check_pattern(pattern: str) -> str:
     return pattern
 
 
+def check_java_pattern(spark, pattern: str) -> None:
+    """Compile with the JVM's own classes too: some patterns are valid in one
+    dialect only, and tasks would fail on those."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(f"(?iu)(?:{java_regex(pattern)})")
+    except Py4JJavaError as e:
+        raise ValueError(f"invalid pattern {pattern!r}: {e.java_exception.getMessage()}") from e
+
+
 @dataclass(frozen=True)
 class ReportFilter:
     start_date: Optional[str] = None
@@ -91,42 +122,34 @@ class ReportFilter:
     end_inclusive_day: bool = False
 
     def __post_init__(self):
-        for p in list(self.merchants or []) + list(self.exclude_merchants or []):
+        for p in self.patterns():
             check_pattern(p)
-        for p in (self.description_contains, self.notes_contains):
-            if p:
-                check_pattern(p)
+
+    def patterns(self) -> list[str]:
+        return [*(self.merchants or []), *(self.exclude_merchants or []),
+                *(p for p in (self.description_contains, self.notes_contains) if p)]
 
     def predicates(self, columns: Iterable[str]) -> list[Column]:
         cols = set(columns)
         preds: list[Column] = []
         has = cols.__contains__
-        if self.start_date and has("date"):
-            preds.append(F.col("date") >= _ts(self.start_date))
-            if has(MONTH):  # stored table partitioned by 'yyyy-MM': prune folders
-                preds.append(F.col(MONTH) >= self.start_date[:7])
-        if self.end_date and has("date") and has(MONTH):
-            preds.append(F.col(MONTH) <= self.end_date[:7])
-        if self.end_date and has("date"):
-            if self.end_inclusive_day:
-                preds.append(F.col("date") < F.date_add(_ts(self.end_date), 1).cast("timestamp_ntz"))
-            else:
-                preds.append(F.col("date") <= _ts(self.end_date))
+        preds += date_range(cols, self.start_date, self.end_date, self.end_inclusive_day)
+        category = F.col(CATEGORY_LC) if has(CATEGORY_LC) else F.lower("category")
+        account = F.col(ACCOUNT_LC) if has(ACCOUNT_LC) else F.lower("account")
         if self.min_amount is not None and has("amount"):
             preds.append(F.col("amount") >= _dec(self.min_amount))
         if self.max_amount is not None and has("amount"):
             preds.append(F.col("amount") <= _dec(self.max_amount))
         if self.categories and has("category"):
-            preds.append(F.lower("category").isin(_lower_list(self.categories)))
+            preds.append(category.isin(_lower_list(self.categories)))
         if self.exclude_categories and has("category"):
-            preds.append(~F.coalesce(F.lower("category").isin(_lower_list(self.exclude_categories)),
-                                     F.lit(False)))
+            preds.append(~F.coalesce(category.isin(_lower_list(self.exclude_categories)), F.lit(False)))
         if self.merchants and has("merchant"):
             preds.append(regex_search(F.col("merchant"), "|".join(self.merchants)))
         if self.exclude_merchants and has("merchant"):
             preds.append(~regex_search(F.col("merchant"), "|".join(self.exclude_merchants)))
         if self.accounts and has("account"):
-            preds.append(F.lower("account").isin(_lower_list(self.accounts)))
+            preds.append(account.isin(_lower_list(self.accounts)))
         if self.description_contains and has("description"):
             preds.append(regex_search(F.col("description"), self.description_contains))
         if self.notes_contains and has("notes"):
@@ -135,6 +158,8 @@ class ReportFilter:
 
     def apply(self, df: DataFrame) -> DataFrame:
         from tally.sources.ingest import source_columns
+        for p in self.patterns():
+            check_java_pattern(df.sparkSession, p)
         preds = self.predicates(source_columns(df))
         return df.where(reduce(lambda a, b: a & b, preds)) if preds else df
 

@@ -97,4 +97,4 @@ def merchant_analysis(df: DataFrame, flt: ReportFilter | None = None,
         F.least(F.countDistinct("merchant"),
                 F.lit(top_n) if top_n else F.countDistinct("merchant")).alias("merchant_count"),
     )
-    return Report("merchant_analysis", header, details)
+    return Report("merchant_analysis", header, details, top_n=top_n)

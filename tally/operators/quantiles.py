@@ -1,28 +1,23 @@
 """Exact quantiles of a money column without a single-task value map.
 
 ``percentile`` keeps a value→count map per partial aggregate and merges all
-of them in one final task. Here the selection is a lazy two-step plan over
-integer cents:
-
-1. Histogram: every value goes to a bucket of its binary magnitude class
-   (|c| in [2^j, 2^(j+1))) split into at most 512 equal ranges, so a bucket
-   holds at most 2^(j-9) distinct cents values and there are at most 512
-   buckets per class and sign. One hash aggregate (map-side combined)
-   counts rows per bucket; a bucket's members form one integer interval,
-   so buckets sorted by their smallest member are in value order.
+of them in one final task. Here the input is read once, by one map-side
+combined aggregate to (value, rows); everything else works on that table:
+
+1. Histogram: every value, as an exact integer in units of the column's
+   scale, goes to a bucket of its bit length, split into at most
+   ``2 ** BUCKET_BITS`` equal ranges. A bucket's members form one integer
+   interval, so buckets sorted by their smallest member are in value order.
 2. Selection: a cumulative window over the bucket rows (bounded count)
    finds, for each target rank, the bucket holding it. Only those buckets
    (at most two per quantile, a proven bound for the broadcast) are joined
-   back to the values; distinct values in them are counted and the values
-   at the target ranks picked with conditional aggregates.
+   back to the distinct values, and the values at the target ranks picked.
 
-Values are handled as integer cents through a DOUBLE, which is exact for
-|amount| < 2^53 cents (about 9·10^13); beyond that, neighbouring amounts may
-share a cents value (ranks stay correct, the value is rounded).
+Both steps read the same aggregate, whose exchange Spark runs once. Nothing
+runs before an action.
 
 Interpolation follows linear interpolation between the values at ranks
 floor and ceil of (n−1)·p: (hi_rank − pos)·lo + (pos − lo_rank)·hi.
-The input is read twice (histogram and selection); no group is collected.
 """
 
 from __future__ import annotations
@@ -31,65 +26,64 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tally.functions.money import to_double
+from tally.operators.stats import stddev_samp
 
-BUCKETS_PER_CLASS_BITS = 9
+BUCKET_BITS = 12
 
 
-def cents(c: Column) -> Column:
-    """DECIMAL(·,2) money → exact integer cents (|value| < 2^53 cents)."""
-    return F.floor(c.cast("double") * F.lit(100.0) + F.lit(0.5)).cast("long")
+def units(c: Column, scale: int) -> Column:
+    """DECIMAL(18, scale) → exact integer in units of the last decimal."""
+    factor = F.lit(10 ** scale).cast(T.DecimalType(scale + 1, 0))
+    return (c * factor).cast("long")
 
 
-def _bucket(c: Column) -> tuple[Column, Column]:
-    a = F.abs(c).cast("double")
-    lg = F.floor(F.log2(F.greatest(a, F.lit(1.0))))
-    # correct floating error at powers of two: 2^lg <= a < 2^(lg+1) exactly
-    lg = (F.when(F.pow(F.lit(2.0), lg + 1) <= a, lg + 1)
-           .when(F.pow(F.lit(2.0), lg) > a, lg - 1).otherwise(lg))
-    k = F.greatest(lg - BUCKETS_PER_CLASS_BITS, F.lit(0)).cast("int")
-    q = F.floor(c.cast("double") / F.pow(F.lit(2.0), k)).cast("long")
-    return k, q
+def bucket(u: Column) -> tuple[Column, Column]:
+    """Shift ``k`` by the bit length of |u|, and ``q`` = u shifted right by it
+    (rounding down), all in integers."""
+    bits = F.length(F.bin(F.abs(u)))
+    k = F.greatest(bits - F.lit(BUCKET_BITS + 1), F.lit(0))
+    return k, F.call_function("shiftright", u, k)
 
 
-def bucketed(df: DataFrame, col: str) -> DataFrame:
-    """Values with their cents ``c`` and bucket (``k``, ``q``); null values
-    keep null bucket keys (so row counts can still include them)."""
-    c = cents(F.col(col))
-    k, q = _bucket(c)
-    return df.select(F.col(col).alias("v"), c.alias("c"),
-                     F.when(c.isNotNull(), k).alias("k"), F.when(c.isNotNull(), q).alias("q"))
+def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """One row per distinct value: ``v``, ``rows`` and its bucket (``k``, ``q``,
+    null for the null value)."""
+    v = F.col(col)
+    if not isinstance(df.schema[col].dataType, T.DecimalType):
+        v = v.cast(T.DecimalType(18, 2))
+    counts = df.select(v.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("rows"))
+    u = units(F.col("v"), counts.schema["v"].dataType.scale)
+    k, q = bucket(u)
+    return counts.select("v", "rows", k.alias("k"), q.alias("q"))
 
 
 def quantile_summary(df: DataFrame, col: str, probs: Sequence[float],
-                     names: Sequence[str], materialize: bool = False) -> DataFrame:
+                     names: Sequence[str]) -> DataFrame:
     """One row: exact quantiles of ``col`` plus its moments.
 
     Columns: the quantile ``names`` and ``rows`` (all rows), ``n`` (values),
-    ``s`` (exact sum, 0 when none), ``mn``, ``mx``, ``sq`` (Σx²).
-
-    One chain, two reads of the input: the bucket histogram (moments per
-    bucket, null values in the null bucket) → windows over the bucket rows
-    for ranks and whole-input moments → the buckets holding the target ranks
-    plus one anchor bucket, broadcast-joined (null-safe) back to the values →
-    distinct values counted → exact values picked. The anchor keeps the
-    moments flowing when no bucket holds a target rank (all values null).
-
-    ``materialize=True`` writes the bucketed values once with a reliable
-    ``checkpoint()`` (shared checkpoint folder) so both reads use it: worth it
-    when ``df`` is expensive to recompute (joins, parsing); a plain stored
-    table is cheaper to read twice.
+    ``s`` (exact sum, 0 when none), ``mn``, ``mx``, ``sd`` (sample std).
+
+    The first bucket in order stays as an anchor beside the picked ones, so
+    that the moments arrive even if no bucket holds a target rank.
     """
-    v = F.col("v")
-    vals = bucketed(df, col)
-    if materialize:
-        from tally.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        vals = vals.checkpoint(eager=True)
+    vals = value_counts(df, col)
+    scale = vals.schema["v"].dataType.scale
+    v, m = F.col("v"), F.col("rows")
+    zero = F.lit(0).cast(T.DecimalType(38, scale))
+    # squares keep all their decimals: up to 6 of them in a DECIMAL product, beyond that as integers
+    fine = scale > 3
+    x = units(v, scale).cast("decimal(19,0)") if fine else v
+    square = x * x if fine else (x * x).cast(T.DecimalType(38, 2 * scale))
     hist = vals.groupBy("k", "q").agg(
-        F.count("c").alias("n"), F.min("c").alias("lo"), F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(v), F.lit(0).cast(df.schema[col].dataType)).alias("s"),
-        F.min(v).alias("mn"), F.max(v).alias("mx"), F.sum(v * v).alias("sq"))
-    # bounded: at most 512 buckets per magnitude class and sign, plus the null bucket
+        F.coalesce(F.sum(F.when(v.isNotNull(), m)), F.lit(0)).alias("n"), F.min("v").alias("lo"),
+        F.sum(m).alias("rows"), F.coalesce(F.sum(v * m.cast("decimal(18,0)")), zero).alias("s"),
+        F.min(v).alias("mn"), F.max(v).alias("mx"),
+        F.sum(square * m.cast("decimal(18,0)")).alias("sq"))
+    # bounded: at most 2^BUCKET_BITS buckets per bit length and sign, plus the null bucket
     every = Window.partitionBy()
     order = Window.orderBy(F.col("lo").asc_nulls_first(), "k", "q")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -107,17 +101,14 @@ def quantile_summary(df: DataFrame, col: str, probs: Sequence[float],
     need = cum.where(F.greatest(F.col("rn") == 1, *holds)).drop("n", "rn")
 
     # at most two buckets per quantile plus the anchor: a proven broadcast bound
-    a, b = vals.select("k", "q", "c").alias("a"), F.broadcast(need.alias("b"))
+    a, b = vals.alias("a"), F.broadcast(need.alias("b"))
     picked = a.join(b, F.col("a.k").eqNullSafe(F.col("b.k")) & F.col("a.q").eqNullSafe(F.col("b.q")))
     carry = [c for c in need.columns if c not in ("k", "q")]
-    dist = (picked.groupBy(F.col("b.k").alias("k"), F.col("b.q").alias("q"),
-                           *[F.col(f"b.{c}").alias(c) for c in carry], F.col("a.c").alias("c"))
-                  .agg(F.count(F.lit(1)).alias("m")))
-    within = Window.partitionBy("k", "q").orderBy("c").rowsBetween(Window.unboundedPreceding,
-                                                                  Window.currentRow)
-    dist = dist.select("*", (F.col("before") + F.sum("m").over(within)).alias("end"))
-    start = F.col("end") - F.col("m")
-    value_at = [F.max(F.when(F.col("c").isNotNull() & (start <= r) & (r < F.col("end")), F.col("c")))
+    within = Window.partitionBy("k", "q").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dist = picked.select("a.v", "a.rows", "b.k", "b.q", *[f"b.{c}" for c in carry]) \
+        .withColumn("end", F.col("before") + F.sum("rows").over(within))
+    start = F.col("end") - F.col("rows")
+    value_at = [F.max(F.when(F.col("v").isNotNull() & (start <= r) & (r < F.col("end")), F.col("v")))
                 for r in ranks]
     agg = dist.agg(F.max("total").alias("total"), F.max("all_rows").alias("rows"),
                    F.max("all_s").alias("s"), F.max("all_mn").alias("mn"),
@@ -127,20 +118,13 @@ def quantile_summary(df: DataFrame, col: str, probs: Sequence[float],
     for i, (p, name) in enumerate(zip(probs, names)):
         position = (F.col("total") - 1).cast("double") * F.lit(float(p))
         lo_r, hi_r = F.floor(position), F.ceil(position)
-        lo = F.col(f"v{2 * i}").cast("double") / F.lit(100.0)
-        hi = F.col(f"v{2 * i + 1}").cast("double") / F.lit(100.0)
+        lo, hi = to_double(F.col(f"v{2 * i}")), to_double(F.col(f"v{2 * i + 1}"))
         val = F.when((lo_r == hi_r) | (lo == hi), lo) \
                .otherwise((hi_r - position) * lo + (position - lo_r) * hi)
         out.append(val.alias(name))
+    total_x = (F.col("s") * F.lit(10 ** scale).cast(T.DecimalType(scale + 1, 0))).cast("decimal(38,0)") if fine else F.col("s")
+    sd = stddev_samp(total_x, F.col("total"), F.col("sq")) / F.lit(float(10 ** scale) if fine else 1.0)
     # an empty input has no bucket rows: the global aggregate still yields one row
     return agg.select(*out, F.coalesce(F.col("rows"), F.lit(0)).alias("rows"),
                       F.coalesce(F.col("total"), F.lit(0)).alias("n"),
-                      F.coalesce(F.col("s"), F.lit(0).cast(df.schema[col].dataType)).alias("s"),
-                      "mn", "mx", "sq")
-
-
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None) -> DataFrame:
-    """One row with one DOUBLE column per probability (null when no values)."""
-    names = list(names or [f"q{i}" for i in range(len(probs))])
-    return quantile_summary(df, col, probs, names).select(*names)
+                      F.coalesce(F.col("s"), zero).alias("s"), "mn", "mx", sd.alias("sd"))

@@ -112,9 +112,17 @@ def pnl_text(report) -> list[str]:
     return out
 
 
-def _lines(df: DataFrame, limit: int | None = None) -> list[str]:
-    rows = df.select("line").limit(limit) if limit else df.select("line")
-    return [r.line for r in rows.collect()]
+def _lines(df: DataFrame) -> list[str]:
+    return [r.line for r in df.select("line").collect()]
+
+
+def write_text(report, path: str, mode: str = "errorifexists") -> str:
+    """Lines of a report's list as text files, in report order over the files
+    (each task writes its range of the sorted lines); nothing passes the driver."""
+    lines = {"cash_flow": cash_flow_lines, "category_analysis": category_lines, "merchant_analysis": merchant_lines,
+             "trend_analysis": trend_lines, "account_summary": account_lines}[report.kind](report.details)
+    lines.select("line").write.mode(mode).text(path)
+    return path
 
 
 def cash_flow_text(report) -> list[str]:
@@ -130,7 +138,8 @@ def cash_flow_text(report) -> list[str]:
     return out
 
 
-def category_text(report, top_n: int | None = None) -> list[str]:
+def category_text(report) -> list[str]:
+    top_n = report.top_n
     h = report.header.select(pad_left(cur(F.col("total_amount")), 15).alias("t"), "category_count").first()
     out = ["", "=" * 120, "CATEGORY ANALYSIS REPORT"] + ([f"Top {top_n} Categories"] if top_n else [])
     out += ["=" * 120, "", f"{'Category':<25} {'Total':>15} {'Count':>8} {'Average':>15} {'Min':>15} "
@@ -140,8 +149,9 @@ def category_text(report, top_n: int | None = None) -> list[str]:
     return out
 
 
-def merchant_text(report, top_n: int = 20) -> list[str]:
-    out = ["", "=" * 110, f"MERCHANT/PAYEE ANALYSIS REPORT (Top {top_n})", "=" * 110, "",
+def merchant_text(report) -> list[str]:
+    top = f" (Top {report.top_n})" if report.top_n else ""
+    out = ["", "=" * 110, f"MERCHANT/PAYEE ANALYSIS REPORT{top}", "=" * 110, "",
            f"{'Merchant':<30} {'Total':>15} {'Count':>8} {'Average':>15} {'Category':<20} {'%':>8}",
            "-" * 110]
     return out + _lines(merchant_lines(report.details)) + ["=" * 110, ""]
@@ -155,19 +165,19 @@ def trend_text(report) -> list[str]:
     return out + _lines(trend_lines(report.details)) + ["=" * 110, ""]
 
 
-def account_text(report, limit: int | None = 1000) -> list[str]:
-    """Account lines are one per account (grows with the data): at most
-    ``limit`` are printed, in report order."""
+def account_text(report) -> list[str]:
+    """All accounts. A list that may not fit the driver is written in parts by
+    ``write_text`` instead."""
     t = report.header.select(pad_left(cur(F.col("total_balance_change")), 15).alias("t")).first().t
     out = ["", "=" * 100, "ACCOUNT SUMMARY REPORT", "=" * 100, "",
            f"{'Account':<30} {'Income':>15} {'Expenses':>15} {'Net Change':>15} {'Txns':>8}", "-" * 100]
-    out += _lines(account_lines(report.details), limit)
+    out += _lines(account_lines(report.details))
     out += ["-" * 100, f"{'TOTAL':<30} {'':>15} {'':>15} {t}", "=" * 100, ""]
     return out
 
 
-def report_text(report, **kw) -> list[str]:
+def report_text(report) -> list[str]:
     """Text layout of any of the six report kinds."""
     return {"profit_and_loss": pnl_text, "cash_flow": cash_flow_text, "category_analysis": category_text,
             "merchant_analysis": merchant_text, "trend_analysis": trend_text,
-            "account_summary": account_text}[report.kind](report, **kw)
+            "account_summary": account_text}[report.kind](report)

@@ -25,6 +25,16 @@ def mean(s: Column, n: Column) -> Column:
 
 
 def stddev_samp(s: Column, n: Column, sq: Column) -> Column:
-    """Sample std from exact moments; null below two values."""
-    num = n * sq - s * s
-    return F.when(n > 1, F.sqrt(to_double(num) / (n.cast("double") * (n - 1).cast("double"))))
+    """Sample std from exact moments; null below two values.
+
+    Where n·Σx² or (Σx)² leaves DECIMAL(38), the sums are centred on the mean
+    rounded to cents first: Σ(x−m)² = Σx² − 2mΣx + nm², less (Σx−nm)²/n. Both
+    forms depend on the exact sums only, not on the order of tasks."""
+    rows, total = n.cast("decimal(15,0)"), s
+    num = F.try_subtract(F.try_multiply(rows, sq), F.try_multiply(total, total))
+    plain = to_double(num) / (n.cast("double") * (n - 1).cast("double"))
+    m = F.round(to_double(s) / n, 2).cast("decimal(18,2)")
+    spread = sq - F.lit(2) * m * total + rows * m * m
+    off = to_double(total - rows * m)
+    centred = (to_double(spread) - off * off / n) / (n - 1).cast("double")
+    return F.when(n > 1, F.sqrt(F.greatest(F.coalesce(plain, centred), F.lit(0.0))))

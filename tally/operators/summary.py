@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tally.functions.money import dsum, to_double
 from tally.operators.base import Report
 from tally.operators.quantiles import quantile_summary
-from tally.operators.stats import mean, stddev_samp
+from tally.operators.stats import mean
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -16,21 +16,18 @@ QUARTILES = (0.25, 0.5, 0.75)
 MEDIAN_METHODS = ("select", "percentile", "approx")
 
 
-def summary_statistics(df: DataFrame, median: str = "select", materialize: bool = False) -> Report:
+def summary_statistics(df: DataFrame, median: str = "select") -> Report:
     """total_transactions counts rows; the other fields ignore null amounts;
     total_amount is 0 over no amounts, the rest are null then.
 
     ``median``:
-      select      exact; the bucket histogram of ``tally.operators.quantiles``
-                  also carries count/sum/min/max, so the header reads the
-                  input twice (histogram, selection) and never builds a
+      select      exact; ``tally.operators.quantiles`` reads the input once,
+                  into distinct amounts with their counts, and never builds a
                   single-task value map (default; scales with any data).
       percentile  exact in one read with Spark's ``percentile``: its final
                   merge holds every distinct amount in one task; fastest when
                   the input is expensive to re-read and amounts are few.
       approx      ``percentile_approx`` (rank error ≤ n/10000), one read.
-    ``materialize`` (select only): checkpoint the values once instead of
-    recomputing an expensive input for the second read.
     """
     if median not in MEDIAN_METHODS:
         raise ValueError(f"median must be one of {MEDIAN_METHODS}")
@@ -46,7 +43,7 @@ def summary_statistics(df: DataFrame, median: str = "select", materialize: bool
                         med.alias("median_amount"))
         return Report("summary", header, lambda: summary_by_category(df))
     def header() -> DataFrame:
-        qs = quantile_summary(df, "amount", [0.5], ["median_amount"], materialize)
+        qs = quantile_summary(df, "amount", [0.5], ["median_amount"])
         s, n = F.col("s"), F.col("n")
         return qs.select(F.col("rows").alias("total_transactions"),
                          to_double(s).alias("total_amount"), mean(s, n).alias("average_amount"),
@@ -67,12 +64,12 @@ def top_categories(df: DataFrame, n: int = 5) -> DataFrame:
     return summary_by_category(df).limit(n)
 
 
-def describe_amounts(df: DataFrame, materialize: bool = False) -> DataFrame:
+def describe_amounts(df: DataFrame) -> DataFrame:
     """count, mean, std, min, quartiles, max of amount (exact quartiles,
-    same two-read plan as the summary median)."""
-    qs = quantile_summary(df, "amount", QUARTILES, ["p25", "p50", "p75"], materialize)
+    same plan as the summary median)."""
+    qs = quantile_summary(df, "amount", QUARTILES, ["p25", "p50", "p75"])
     s, n = F.col("s"), F.col("n")
     return qs.select(n.alias("count"), mean(s, n).alias("mean"),
-                     stddev_samp(s, n, F.col("sq")).alias("std"),
+                     F.col("sd").alias("std"),
                      to_double(F.col("mn")).alias("min"), "p25", "p50", "p75",
                      to_double(F.col("mx")).alias("max"))

@@ -290,14 +290,14 @@ RANKED_CTE = """ranked AS (
   FROM ledger WHERE amount IS NOT NULL)"""
 
 
-def summary_sql() -> str:
+def summary_sql(where: str = "TRUE") -> str:
     return with_ledger(f"""
 SELECT COUNT(*) AS total_transactions,
        CAST(COALESCE(SUM(amount), 0) AS DOUBLE) AS total_amount,
        CASE WHEN COUNT(amount) > 0 THEN CAST(SUM(amount) AS DOUBLE) / COUNT(amount) END AS average_amount,
        CAST(MIN(amount) AS DOUBLE) AS min_amount, CAST(MAX(amount) AS DOUBLE) AS max_amount,
        {_interp(0.5)} AS median_amount
-FROM ledger""", RANKED_CTE)
+FROM ledger WHERE {where}""", RANKED_CTE.replace("amount IS NOT NULL", f"amount IS NOT NULL AND {where}"))
 
 
 def describe_sql() -> str:
@@ -338,6 +338,15 @@ def over(sql: str) -> str:
     return f"({sql}) t"
 
 
+# Ledger rows at an hour of their day; with amounts in ten-thousandths; difficult descriptions.
+TIMED = "(SELECT * REPLACE (date + to_hours(l_orderkey % 24) AS date) FROM ledger)"
+FINE = "(SELECT * REPLACE (CAST(amount * CAST(0.001 AS DECIMAL(4,3)) AS DECIMAL(18,4)) AS amount) FROM ledger)"
+DIFFICULT = """CASE l_orderkey % 8 WHEN 0 THEN 'He said "' || description || '", ok'
+  WHEN 1 THEN description || chr(10) || 'second line' WHEN 2 THEN '  ' || description || ' '
+  WHEN 3 THEN '\\N' WHEN 4 THEN '' WHEN 5 THEN 'back\\slash\\' WHEN 6 THEN NULL
+  ELSE description || chr(13) || chr(10) END"""
+
+
 def more_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     rows = rows_sql(None)
@@ -350,6 +359,27 @@ SELECT 'Period: ' || period AS period_line,
        CASE WHEN net_income >= 0 THEN 'NET INCOME' ELSE 'NET LOSS' END || ':       '
          || {cur('abs(net_income)')} AS net_line
 FROM {over(pnl_totals_sql(P.PNL_FILTER))}"""
+    sql["store_period_comparison"] = period_comparison_sql(P.PERIODS)
+    sql["store_filter_categories"] = rows_sql(P.FILTERS["filter_categories_in"])
+    sql["custom_group_absent_column"] = rows_sql(P.CUSTOM_FILTER)
+    sql["period_comparison_many"] = period_comparison_sql(P.MANY_PERIODS).replace(
+        "LEFT JOIN ledger ON ledger.date >= p.s_ts AND ledger.date <= p.e_ts",
+        f"LEFT JOIN {TIMED} x ON x.date >= p.s_ts AND x.date <= p.e_ts")
+    sql["spec_last_days_pnl"] = pnl_totals_sql(ReportFilter()).replace(
+        "SELECT * FROM ledger WHERE TRUE",
+        f"SELECT * FROM {TIMED} x WHERE date >= {ts(P.AS_OF)} - INTERVAL {P.LAST_DAYS} DAY AND date < {ts(P.AS_OF)} + INTERVAL 1 DAY")
+    sql["txn_request_summary"] = summary_sql(f"({filter_where(P.EXPENSES_ONLY)}) AND ({txn_where(P.REQUEST_ROWS)})")
+    unit = "CAST(amount * 10000 AS HUGEINT)"  # squares of four decimals are summed as integers
+    sql["amount_describe_scale4"] = describe_sql().replace("FROM ledger", f"FROM {FINE} y").replace(
+        STD, STD.replace("CAST(n AS DECIMAL(38,0)) * sq - s * s", "n * usq - us * us").replace(" END", " / 10000.0 END")).replace(
+        "SUM(amount * amount) AS sq", f"SUM({unit} * {unit}) AS usq, SUM({unit}) AS us")
+    sql["csv_difficult_text"] = sql["json_difficult_text"] = with_ledger(
+        f"SELECT {ROW_COLS.replace('description', DIFFICULT + ' AS description')} FROM ledger")
+    sql["json_array_ingest"] = with_ledger(f"SELECT {ROW_COLS} FROM ledger WHERE account = {q(P.ACCOUNT_ID)}")
+    sql["report_json_document"] = f"""
+SELECT 'Cash Flow' AS report_type, 'quarterly' AS grouping, t.period AS whole_period,
+       t.total_inflow, t.total_outflow, t.net_cash_flow, p.*
+FROM ({cash_flow_totals_sql('quarterly')}) t, ({cash_flow_sql('quarterly')}) p"""
     sql["ingest_normalize"] = rows
     sql["csv_roundtrip"] = rows
     sql["json_roundtrip"] = rows
@@ -380,6 +410,7 @@ FROM ledger WHERE account IS NOT NULL GROUP BY account""")
     sql["acquire_last_n_days"] = with_ledger(f"""
 SELECT {ROW_COLS} FROM ledger
 WHERE date >= DATE '{P.AS_OF}' - INTERVAL {P.LAST_DAYS} DAY AND date < DATE '{P.AS_OF}' + INTERVAL 1 DAY""")
+    sql["store_acquire"] = sql["acquire_last_n_days"]
     sql["acquire_default_ytd"] = with_ledger(f"""
 SELECT {ROW_COLS} FROM ledger
 WHERE date >= make_date(year(DATE '{P.AS_OF}'), 1, 1) AND date < DATE '{P.AS_OF}' + INTERVAL 1 DAY""")

@@ -57,6 +57,12 @@ PERIODS = [
     ("Empty 2030", "2030-01-01", "2030-12-31"),
 ]
 
+# Every month of 1992 to 1998, more periods than one wide aggregate takes.
+MANY_PERIODS = [(f"{y}-{m:02d}", f"{y}-{m:02d}-01", f"{y}-{m:02d}-28") for y in range(1992, 1999) for m in range(1, 13)] + \
+    [("Backwards", "1998-02-01", "1998-01-01"), ("One day", "1995-05-05", "1995-05-05")]
+# The list filter of a transactions request, beside a report filter.
+REQUEST_ROWS = TxnFilter(category="promo", min_amount=-20000)
+
 ACCOUNT_ID = "Customer#000000042"
 AS_OF = "1998-12-31"
 LAST_DAYS = 90

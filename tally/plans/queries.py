@@ -8,6 +8,7 @@ whole extent; parameters are the report parameters a user would pass
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +28,12 @@ from tally.operators.export import (READ_BACK_FORMATS, cash_flow_document, expor
                                     preview, read_exported_csv, text_schema)
 from tally.operators.quality import quality_counts
 from tally.plans import params as P
+from tally.plans.spec import ReportSpec, Reports
 from tally.session import scratch_dir
 from tally.sources.acquire import acquire, by_account, list_accounts, list_categories
 from tally.sources.fixtures import ledger, transactions, transactions_raw
 from tally.sources.html import account_pages, extract_accounts, extract_transactions, transaction_pages
-from tally.sources.ingest import coerce_amounts, coerce_dates, normalize, parse_currency_text
+from tally.sources.ingest import coerce_amounts, coerce_dates, normalize, parse_currency_text, read_json
 from tally.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,12 +86,10 @@ def build() -> dict[str, Query]:
         lambda d: rows_out(custom_report(d, P.CUSTOM_FILTER, sort=P.CUSTOM_SORT).details))
     q["custom_totals"] = _on_ledger(lambda d: custom_report(d, P.CUSTOM_FILTER).header)
     q["period_comparison"] = _on_ledger(lambda d: period_comparison(d, P.PERIODS))
-    # the ledger is an expensive input (joins + text parsing): the quantile
-    # selection reads checkpointed values instead of recomputing it
-    q["summary_stats"] = _on_ledger(lambda d: summary_statistics(d, materialize=True).header)
+    q["summary_stats"] = _on_ledger(lambda d: summary_statistics(d).header)
     q["summary_by_category"] = _on_ledger(lambda d: summary_statistics(d).details)
     q["summary_top_categories"] = _on_ledger(lambda d: top_categories(d, 5))
-    q["amount_describe"] = _on_ledger(lambda d: describe_amounts(d, materialize=True))
+    q["amount_describe"] = _on_ledger(lambda d: describe_amounts(d))
     q["merchant_subtotal"] = _on_ledger(
         lambda d: P.MERCHANT_SUBTOTAL.apply(d).agg(
             F.lit(P.MERCHANT_SUBTOTAL.merchant).alias("merchant_filter"),
@@ -154,6 +154,60 @@ def _store_pnl(spark: SparkSession, sf: str) -> DataFrame:
     return profit_and_loss(read_store(spark, path), P.PNL_FILTER).header
 
 
+def _on_store(fn) -> Query:
+    """On the ledger written to the stored table and read back."""
+    from tally.sources.store import read_store, write_store
+    return lambda spark, sf: fn(read_store(spark, write_store(ledger(spark, sf), scratch_dir(spark, "store"))))
+
+
+def _with_times(d: DataFrame) -> DataFrame:
+    """Ledger rows at an hour of their day (0 to 23, by order key)."""
+    return d.withColumn("date", F.col("date") + F.make_dt_interval(hours=(F.col("l_orderkey") % 24).cast("int")))
+
+
+def _difficult(d: DataFrame) -> DataFrame:
+    """Ledger rows whose descriptions hold what delimited text trips over."""
+    k, text = F.col("l_orderkey") % 8, F.col("description")
+    return rows_out(d).withColumn("amount", F.col("amount").cast("decimal(18,2)")).withColumn("description", (
+        F.when(k == 0, F.concat(F.lit('He said "'), text, F.lit('", ok')))
+        .when(k == 1, F.concat(text, F.lit("\nsecond line"))).when(k == 2, F.concat(F.lit("  "), text, F.lit(" ")))
+        .when(k == 3, F.lit("\\N")).when(k == 4, F.lit("")).when(k == 5, F.lit("back\\slash\\"))
+        .when(k == 6, F.lit(None).cast("string")).otherwise(F.concat(text, F.lit("\r\n")))))
+
+
+def _typed_keys(d: DataFrame) -> DataFrame:
+    return rows_out(normalize(d.withColumns({"l_orderkey": F.col("l_orderkey").cast("bigint"),
+                                             "l_linenumber": F.col("l_linenumber").cast("int")})))
+
+
+def _difficult_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = export_csv(_difficult(ledger(spark, sf)), scratch_dir(spark, "csv"))
+    return _typed_keys(read_exported_csv(spark, path))
+
+
+def _difficult_json(spark: SparkSession, sf: str) -> DataFrame:
+    path = export_json(_difficult(ledger(spark, sf)), scratch_dir(spark, "json"))
+    return _typed_keys(read_json(spark, path))
+
+
+def _json_array(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of one account as a pretty-printed array document, read back."""
+    rows = by_account(ledger(spark, sf), P.ACCOUNT_ID).select(*ROW_COLS)
+    docs = rows.withColumn("date", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss")) \
+        .agg(F.to_json(F.collect_list(F.struct(*ROW_COLS)), {"pretty": "true"}).alias("value"))
+    path = scratch_dir(spark, "json-array")
+    docs.write.text(path)
+    return _typed_keys(read_json(spark, path))
+
+
+def _from_document(doc: DataFrame) -> DataFrame:
+    """Header fields and periods of a cash flow document, as typed columns."""
+    kind = ("struct<report_type:string,grouping:string,period:string,total_inflow:double,total_outflow:double,net_cash_flow:double,"
+            "periods:array<struct<period:string,inflow:double,outflow:double,net_flow:double,running_balance:double,transaction_count:bigint>>>")
+    d = doc.select(F.from_json("document", kind).alias("d")).select("d.*", F.explode("d.periods").alias("p"))
+    return d.select("report_type", "grouping", F.col("period").alias("whole_period"), "total_inflow", "total_outflow", "net_cash_flow", "p.*")
+
+
 def _pnl_totals_text(d: DataFrame) -> DataFrame:
     h = profit_and_loss(d, P.PNL_FILTER).header
     return h.select(F.concat(F.lit("Period: "), F.col("period")).alias("period_line"),
@@ -207,7 +261,21 @@ def _more(q: dict) -> None:
     q["stream_cash_flow_daily"] = _stream_cash_flow
     q["store_pnl_totals"] = _store_pnl
     q["render_pnl_totals"] = _on_ledger(_pnl_totals_text)
-    q["report_json_document"] = _on_ledger(lambda d: cash_flow_document(d, grouping="quarterly"))
+    q["report_json_document"] = _on_ledger(lambda d: _from_document(cash_flow_document(d, grouping="quarterly")))
+    q["csv_difficult_text"] = _difficult_csv
+    q["json_difficult_text"] = _difficult_json
+    q["json_array_ingest"] = _json_array
+    q["spec_last_days_pnl"] = _on_ledger(lambda d: ReportSpec(
+        "profit_loss", last_days=P.LAST_DAYS, as_of=P.AS_OF).run(_with_times(d)).header)
+    q["txn_request_summary"] = _on_ledger(lambda d: Reports(d).summary(P.EXPENSES_ONLY, rows=P.REQUEST_ROWS).header)
+    q["period_comparison_many"] = _on_ledger(lambda d: period_comparison(_with_times(d), P.MANY_PERIODS))
+    q["amount_describe_scale4"] = _on_ledger(lambda d: describe_amounts(
+        d.withColumn("amount", (F.col("amount") * F.lit(Decimal("0.001"))).cast("decimal(18,4)"))))
+    q["store_period_comparison"] = _on_store(lambda d: period_comparison(d, P.PERIODS))
+    q["store_acquire"] = _on_store(lambda d: rows_out(acquire(d, days=P.LAST_DAYS, as_of=P.AS_OF)))
+    q["store_filter_categories"] = _on_store(lambda d: rows_out(P.FILTERS["filter_categories_in"].apply(d)))
+    q["custom_group_absent_column"] = _on_ledger(lambda d: rows_out(
+        custom_report(d, P.CUSTOM_FILTER, sort=P.CUSTOM_SORT, group_by="no_such_column").details))
 
 
 def _pnl_lines(rep) -> DataFrame:

@@ -23,11 +23,11 @@ from tally.operators.base import Report
 from tally.operators.cash_flow import cash_flow
 from tally.operators.category import category_analysis
 from tally.operators.custom import ReportSort, custom_report
-from tally.operators.filters import ReportFilter
+from tally.operators.filters import ReportFilter, TxnFilter, apply_filters
 from tally.operators.merchant import DEFAULT_TOP_N, merchant_analysis
 from tally.operators.pnl import profit_and_loss
 from tally.operators.trend import trend
-from tally.sources.acquire import acquisition_window
+from tally.sources.acquire import acquire
 
 # Report names and parameter bounds of the request models.
 REPORT_TYPES = ("profit_loss", "cash_flow", "category_analysis", "merchant_analysis",
@@ -44,7 +44,7 @@ def _check_date(name: str, v: Optional[str]) -> None:
         try:
             datetime.strptime(v, "%Y-%m-%d")
         except ValueError as e:
-            raise ValueError(f"{name}: invalid date format, use YYYY-MM-DD") from e
+            raise ValueError(f"{name} {v!r} is not a date like 2025-01-31") from e
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,7 @@ class ReportSpec:
                 raise ValueError(f"{n} must be within ±{MAX_ABS_AMOUNT}")
         if self.min_amount is not None and self.max_amount is not None \
                 and self.max_amount < self.min_amount:
-            raise ValueError("max_amount must be greater than min_amount")
+            raise ValueError(f"max_amount {self.max_amount} is below min_amount {self.min_amount}")
         for n in ("description_contains", "notes_contains", "sort_field", "group_by"):
             v = getattr(self, n)
             if v is not None and len(v) > MAX_TEXT:
@@ -107,17 +107,18 @@ class ReportSpec:
         self.to_filter()  # compiles the regex patterns
 
     def to_filter(self) -> ReportFilter:
-        start, end = self.start_date, self.end_date
-        if self.last_days is not None:  # days win only when the caller sets them
-            start, end = acquisition_window(days=self.last_days, as_of=self.as_of)
         return ReportFilter(
-            start_date=start, end_date=end,
+            start_date=self.start_date, end_date=self.end_date,
             categories=self.categories, merchants=self.merchants, accounts=self.accounts,
             min_amount=self.min_amount, max_amount=self.max_amount,
             description_contains=self.description_contains, notes_contains=self.notes_contains,
             exclude_categories=self.exclude_categories, exclude_merchants=self.exclude_merchants)
 
     def run(self, df: DataFrame) -> Report:
+        """The report on ``df``. ``last_days`` picks the rows to report on (whole
+        days, as an acquisition does); dates given beside it filter those."""
+        if self.last_days is not None:
+            df = acquire(df, days=self.last_days, as_of=self.as_of)
         f = self.to_filter()
         t = self.report_type
         if t == "profit_loss":
@@ -181,13 +182,12 @@ class Reports:
         return custom_report(self.df, filters, sort, group_by)
 
     def summary(self, filters: ReportFilter | None = None, median: str = "select",
-                materialize: bool = False) -> Report:
-        from tally.operators.filters import apply_filters
+                rows: TxnFilter | None = None) -> Report:
+        """Summary of the rows that pass the report filter and the list filter."""
         from tally.operators.summary import summary_statistics
-        return summary_statistics(apply_filters(self.df, filters), median, materialize)
+        return summary_statistics((rows or TxnFilter()).apply(apply_filters(self.df, filters)), median)
 
     def describe(self, filters: ReportFilter | None = None) -> DataFrame:
-        from tally.operators.filters import apply_filters
         from tally.operators.summary import describe_amounts
         return describe_amounts(apply_filters(self.df, filters))
 

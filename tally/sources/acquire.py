@@ -10,18 +10,21 @@ whole days here: the window keeps every time on the end day.
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from functools import reduce
 from typing import Optional
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tally.operators.filters import date_range
+
 
 def acquisition_window(start_date: Optional[str] = None, end_date: Optional[str] = None,
                        days: Optional[int] = None, as_of: Optional[str] = None) -> tuple[str, str]:
     today = datetime.strptime(as_of, "%Y-%m-%d").date() if as_of else date.today()
     if days is not None:
-        if not 1 <= days <= 3650:
-            raise ValueError("days must be within 1..3650")
+        if days < 1:
+            raise ValueError("days must be at least 1")
         return (today - timedelta(days=days)).isoformat(), today.isoformat()
     end = end_date or today.isoformat()
     start = start_date or f"{today.year}-01-01"
@@ -33,12 +36,10 @@ def acquire(df: DataFrame, start_date: Optional[str] = None, end_date: Optional[
             as_of: Optional[str] = None) -> DataFrame:
     """Rows of the acquisition window (and account), as one pushed-down where."""
     start, end = acquisition_window(start_date, end_date, days, as_of)
-    lo = F.lit(f"{start} 00:00:00").cast("timestamp_ntz")
-    hi = F.lit(f"{end} 00:00:00").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
-    pred = (F.col("date") >= lo) & (F.col("date") < hi)
+    preds = date_range(df.columns, start, end, whole_end_day=True)
     if account_id:
-        pred = pred & (F.col("account") == account_id)
-    return df.where(pred)
+        preds.append(F.col("account") == account_id)
+    return df.where(reduce(lambda a, b: a & b, preds)) if preds else df
 
 
 def by_account(df: DataFrame, account_id: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tally.schema import DATE_FIELDS, RAW_TXN_SCHEMA, TEXT_FIELDS, TXN_SCHEMA
+from tally.schema import DATE_FIELDS, TEXT_FIELDS, TXN_SCHEMA
 
 # Column metadata key marking a field that normalize() added because the
 # source lacked it; filters on such a field are skipped, as for a missing column.
@@ -25,7 +25,10 @@ SYNTHESIZED = "tally.synthesized"
 
 # Fixed value: the plain-number shape accepted for amount text.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-DEFAULT_DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
+# ISO forms: a date, a date with time (fractions allowed), and the T form,
+# also with a zone (then converted to the session's, UTC).
+DEFAULT_DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]",
+                        "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][XXX]")
 
 
 def coerce_date(c: Column, dtype: T.DataType, formats=DEFAULT_DATE_FORMATS) -> Column:
@@ -102,19 +105,33 @@ def source_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not (f.metadata or {}).get(SYNTHESIZED)]
 
 
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines, or files that are one array document each.
+
+    The first visible character tells which. One pass over the files finds the
+    fields that are really there, so extra ones are kept and filters on absent
+    ones can be skipped; values are read as text. Malformed input fails the
+    read instead of becoming null rows."""
+    first = spark.read.text(path).select(F.ltrim(F.col("value")).alias("v")).where("v != ''").first()
+    document = first is not None and first["v"].startswith("[")
+    found = spark.read.option("primitivesAsString", True).option("multiLine", document).json(path).schema
+    if "_corrupt_record" in found.names:
+        raise ValueError(f"{path} has malformed JSON records")
+    return spark.read.schema(found).option("multiLine", document).option("mode", "FAILFAST").json(path)
+
+
 def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet",
                       scale: int = 2, date_formats=DEFAULT_DATE_FORMATS) -> DataFrame:
     """Read a transaction file set and normalize it.
 
-    CSV is read by header names as text and JSON with an explicit all-text
-    schema, so neither needs an inference pass over the data; coercion then
-    applies the rules above.
+    CSV is read by header names as text; JSON as ``read_json`` describes.
+    Coercion then applies the rules above.
     """
     if fmt == "csv":
         from tally.operators.export import read_exported_csv
         raw = read_exported_csv(spark, path)
     elif fmt == "json":
-        raw = spark.read.schema(RAW_TXN_SCHEMA).json(path)
+        raw = read_json(spark, path)
     elif fmt == "parquet":
         raw = spark.read.parquet(path)
     else:

@@ -5,7 +5,9 @@ on every run. ``write_store`` materializes the normalized table once as
 parquet partitioned by ``txn_month`` ('yyyy-MM'); ``ReportFilter`` adds a
 ``txn_month`` bound next to its date bounds when the column exists, so date
 filters prune whole partitions, and the date comparison itself is pushed
-into the parquet scan of the remaining ones.
+into the parquet scan of the remaining ones. Lower-cased category and account
+are stored as well, and files are sorted by them, so membership filters reach
+the scan and skip row groups. ``row_columns`` hides these helper columns.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PARTITION_COLUMN = "txn_month"
+from tally.operators.filters import ACCOUNT_LC, CATEGORY_LC, MONTH as PARTITION_COLUMN, STORE_COLUMNS
 
 
 def write_store(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
@@ -25,10 +27,20 @@ def write_store(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     (``spark.sql.adaptive.optimizeSkewsInRebalancePartitions``).
     """
     m = F.date_format("date", "yyyy-MM")
-    (df.withColumn(PARTITION_COLUMN, m).hint("rebalance", PARTITION_COLUMN)
+    extra = {PARTITION_COLUMN: m}
+    for name, source in ((CATEGORY_LC, "category"), (ACCOUNT_LC, "account")):
+        if source in df.columns:
+            extra[name] = F.lower(source)
+    by = [c for c in (PARTITION_COLUMN, CATEGORY_LC, ACCOUNT_LC) if c in extra]
+    (df.withColumns(extra).hint("rebalance", PARTITION_COLUMN).sortWithinPartitions(*by)
        .write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path))
     return path
 
 
+def row_columns(df: DataFrame) -> list[str]:
+    """The columns of a table without those that only the store adds."""
+    return [c for c in df.columns if c not in STORE_COLUMNS]
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

@@ -27,7 +27,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataF
 
 
 def refresh_tables() -> None:
-    """Forget table handles and the fixture plans built on them."""
+    """Forget table handles, the fixture plans built on them, and what was
+    measured and cached of join sides."""
+    from tally.operators.joins import reset_decisions
     from tally.sources.fixtures import clear_plans
     _HANDLES.clear()
     clear_plans()
+    reset_decisions()

@@ -7,9 +7,9 @@
 
 import pytest
 
-import __spark_entry__ as E
+from tally.plans import queries
 
-QUERIES = E.queries()
+QUERIES = queries.build()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

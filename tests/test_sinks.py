@@ -76,15 +76,19 @@ def test_text_layouts(spark, sf_dir):
     from tally.operators.account import account_summary
     from tally.operators.category import category_analysis
     from tally.operators.merchant import merchant_analysis
-    from tally.operators.render import report_text
+    from tally.operators.render import report_text, write_text
     from tally.operators.trend import trend
     led = ledger(spark, sf_dir)
     cf = report_text(cash_flow(led, grouping="yearly"))
     assert cf[2] == "CASH FLOW REPORT (YEARLY)" and cf[-3].startswith("TOTAL")
     assert len([x for x in cf if x[:4].isdigit()]) == cash_flow(led, grouping="yearly").details.count()
-    cat = report_text(category_analysis(led, top_n=3), top_n=3)
+    cat = report_text(category_analysis(led, top_n=3))
     assert "Top 3 Categories" in cat and cat[-3].endswith("(3 categories)")
     assert report_text(merchant_analysis(led))[2] == "MERCHANT/PAYEE ANALYSIS REPORT (Top 20)"
     assert report_text(trend(led))[2] == "TREND ANALYSIS REPORT (MONTHLY)"
-    acc = report_text(account_summary(led), limit=5)
-    assert acc[2] == "ACCOUNT SUMMARY REPORT" and len(acc) == 7 + 5 + 4
+    accounts = account_summary(led)
+    acc = report_text(accounts)
+    assert acc[2] == "ACCOUNT SUMMARY REPORT" and len(acc) == 7 + accounts.details.count() + 4
+    assert report_text(merchant_analysis(led, top_n=5))[2] == "MERCHANT/PAYEE ANALYSIS REPORT (Top 5)"
+    folder = write_text(accounts, scratch_dir(spark, "t-text"))
+    assert [r.value for r in spark.read.text(folder).collect()] == acc[7:-4]
