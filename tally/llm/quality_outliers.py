@@ -218,7 +218,8 @@ def judge(rows: DataFrame, keys: DataFrame, model: DataFrame) -> DataFrame:
         table = F.broadcast(table)
     far = F.coalesce(_distance(), F.lit(0.0))
     joined = rows.join(table, ["g_lang", "g_source"], "left").withColumn("distance", far)
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUTOFF))
+    # one expression over both sides, so that no part of it is pushed below the join and counts the words again
+    return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.col("distance") <= CUTOFF))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

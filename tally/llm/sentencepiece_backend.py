@@ -27,6 +27,8 @@ from tally.llm.common import pick, text_slices
 from tally.llm.segments import Segments, Tokens, gather, metaspace
 
 SPACE = "▁"
+#: Texts that the library encodes at a time, and bytes of text that a task works on at a time.
+TOGETHER, SLICE = 8192, 4 << 20
 UNIGRAM, BPE = 1, 2  # model types of the protobuf
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # piece types of the protobuf
 
@@ -113,7 +115,9 @@ class Backend:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids by the tokenizers library, over its own threads."""
-        out = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for i in range(0, len(texts), TOGETHER):  # the library's results are many times larger than the ids
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i:i + TOGETHER], add_special_tokens=False)]
         if self.extra:
             for i, ids in enumerate(out):
                 if max(ids, default=0) >= len(self.pieces):
@@ -157,7 +161,7 @@ def encode_decode(docs: DataFrame, model_path: str, threads: int = 2, with_ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = backend(model_path, threads)
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE):
                 text = pc.fill_null(part.column("text"), "")
                 found = model.segments(text)
                 ids, want = model.encode(found.distinct), model.expected(found.distinct)

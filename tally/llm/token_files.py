@@ -65,8 +65,10 @@ class ByteEncoder:
         return out
 
     def _ids(self, texts: list[str]) -> np.ndarray:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return np.concatenate([np.array(e.ids, np.uint32) for e in got]) if got else np.zeros(0, np.uint32)
+        out = [np.zeros(0, np.uint32)]
+        for i in range(0, len(texts), 128):  # the library's results are many times larger than the ids
+            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i:i + 128], add_special_tokens=False)]
+        return np.concatenate(out)
 
     def _encode(self, segments: pa.Array, together: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and where each segment's ids start and how many there are.  Segments that
