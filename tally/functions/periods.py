@@ -18,7 +18,7 @@ GROUPINGS = ("daily", "weekly", "monthly", "quarterly", "yearly")
 
 
 def week_start(date: Column) -> Column:
-    return F.to_date(F.date_trunc("week", date))
+    return F.trunc(F.to_date(date), "week")
 
 
 def period_label(date: Column, grouping: str) -> Column:

@@ -12,17 +12,33 @@ from tally.operators.filters import ReportFilter, apply_filters
 
 
 def period_frame(df: DataFrame, grouping: str, *cols: str) -> DataFrame:
-    """Rows with a ``pkey`` (first day of their period); rows without a date
-    have no period and drop. Labels are attached after aggregation."""
-    return (df.select(period_key(F.col("date"), grouping).alias("pkey"), *cols)
-              .where(F.col("pkey").isNotNull()))
+    """Rows with a ``pkey`` (first day of their period, null without a date).
+    Labels are attached after aggregation."""
+    return df.select(period_key(F.col("date"), grouping).alias("pkey"), *cols)
+
+
+def dated(per: DataFrame) -> DataFrame:
+    """Aggregated rows of real periods; rows without a date have none."""
+    return per.where(F.col("pkey").isNotNull())
+
+
+def undated_count(rows: str = "transaction_count"):
+    """How many rows the periods leave out, over aggregated rows."""
+    return F.coalesce(F.sum(F.when(F.col("pkey").isNull(), F.col(rows))), F.lit(0)).alias("undated_count")
+
+
+def in_order(rows: DataFrame, key: str) -> DataFrame:
+    """A short list (a row per period) sorted in one task: no sampling job as
+    for a sort by ranges."""
+    return rows.repartition(1).sortWithinPartitions(key)
 
 
 def cash_flow_periods(df: DataFrame, grouping: str = "monthly") -> DataFrame:
     """One row per period with exact DECIMAL inflow/outflow/net.
 
     A single partial+final hash aggregate on ``period``; zero and null
-    amounts count as transactions but belong to neither flow.
+    amounts count as transactions but belong to neither flow. Rows without
+    a date are one more group, with a null ``pkey``.
     """
     amt = F.col("amount")
     return (period_frame(df, grouping, "amount")
@@ -53,15 +69,15 @@ def cash_flow_details(per: DataFrame, *more: str) -> DataFrame:
 
 def cash_flow(df: DataFrame, flt: ReportFilter | None = None,
               grouping: str = "monthly") -> Report:
-    rows = apply_filters(df, flt)
-    per = cash_flow_periods(rows, grouping)
-    details = lambda: cash_flow_details(per)
-    header = lambda: per.agg(
+    every = cash_flow_periods(apply_filters(df, flt), grouping)
+    details = lambda: cash_flow_details(dated(every))
+    has = F.col("pkey").isNotNull()
+    header = lambda: every.agg(
         F.lit(grouping).alias("grouping"),
         F.coalesce(F.concat(F.min("period"), F.lit(" to "), F.max("period")), F.lit("")).alias("period"),
-        to_double(dsum(F.col("inflow"))).alias("total_inflow"),
-        to_double(dsum(F.col("outflow"))).alias("total_outflow"),
-        to_double(dsum(F.col("inflow")) - dsum(F.col("outflow"))).alias("net_cash_flow"),
-        F.count(F.lit(1)).alias("period_count"),
+        to_double(dsum(F.when(has, F.col("inflow")))).alias("total_inflow"),
+        to_double(dsum(F.when(has, F.col("outflow")))).alias("total_outflow"),
+        to_double(dsum(F.when(has, F.col("inflow"))) - dsum(F.when(has, F.col("outflow")))).alias("net_cash_flow"),
+        F.count("pkey").alias("period_count"), undated_count(),
     )
     return Report("cash_flow", header, details)

@@ -76,10 +76,10 @@ def report_document(details: DataFrame, header_cols, details_name: str = "detail
 def cash_flow_document(df: DataFrame, flt=None, grouping: str = "monthly") -> DataFrame:
     """The cash flow report as one JSON document (periods ≤ one per label)."""
     from tally.functions.money import to_double
-    from tally.operators.cash_flow import cash_flow_details, cash_flow_periods
+    from tally.operators.cash_flow import cash_flow_details, cash_flow_periods, dated
     from tally.operators.filters import apply_filters
     from pyspark.sql import Window
-    per = cash_flow_periods(apply_filters(df, flt), grouping)
+    per = dated(cash_flow_periods(apply_filters(df, flt), grouping))
     # exact DECIMAL totals of the periods (one row per label) ride along with the rows
     all_periods = Window.partitionBy()
     i, o = F.sum("inflow").over(all_periods), F.sum("outflow").over(all_periods)

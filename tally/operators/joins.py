@@ -9,9 +9,7 @@ A side is broadcast only with a measured bound on its size:
    real string bytes plus a fixed per-field cost (UnsafeRow layout). Only
    under ``max_bytes`` does the side get the broadcast hint.
 Results are memoized per side key, so each dimension is measured once per
-application. With ``cache=True`` a side that passed the check is also kept
-in memory (bounded by the same check) so later reports skip its scan and
-joins; ``release_cached()`` unpersists those sides.
+application; ``reset_decisions()`` forgets them when files change.
 """
 
 from __future__ import annotations
@@ -27,7 +25,6 @@ DEFAULT_MAX_BYTES = 64 * 1024 * 1024
 CONF_MAX_BYTES = "tally.broadcast.maxBytes"
 
 _DECISIONS: dict = {}
-_CACHED: dict = {}
 
 
 def _max_bytes(df: DataFrame) -> int:
@@ -89,7 +86,7 @@ def _measure_row(side: DataFrame, key: str) -> DataFrame:
 
 
 def sized_broadcast(side: DataFrame, key: str, inputs: list[DataFrame] | None = None,
-                    max_bytes: int | None = None, cache: bool = False) -> DataFrame:
+                    max_bytes: int | None = None) -> DataFrame:
     """``broadcast(side)`` if its measured size is under the bound, else ``side``."""
     k = (app_key(side.sparkSession), key)
     if k not in _DECISIONS:
@@ -98,20 +95,8 @@ def sized_broadcast(side: DataFrame, key: str, inputs: list[DataFrame] | None =
         _DECISIONS[k] = ok and measured_bytes(side) <= limit
     if not _DECISIONS[k]:
         return side
-    if cache:
-        ck = (id(side.sparkSession), k)
-        if ck not in _CACHED:
-            _CACHED[ck] = side.cache()
-        side = _CACHED[ck]
     return F.broadcast(side)
 
 
-def release_cached() -> None:
-    for df in _CACHED.values():
-        df.unpersist()
-    _CACHED.clear()
-
-
 def reset_decisions() -> None:
-    release_cached()
     _DECISIONS.clear()

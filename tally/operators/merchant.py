@@ -57,10 +57,10 @@ def merchant_analysis(df: DataFrame, flt: ReportFilter | None = None,
     aggregation (no second scan) → one top-(N+1) with the total row ordered
     first → the share is a window over those N+1 rows.
 
-    With ``top_n=None`` (all merchants) the merchant aggregate is
-    checkpointed to the shared checkpoint folder (one row per merchant) and
-    the grand total is a scalar subquery on that checkpoint: no window
-    partition holds all merchants and the input is still read once.
+    With ``top_n=None`` (all merchants) the rollup's total row is joined
+    back to the merchants (by the grouping id, a one-row broadcast): no
+    window partition holds all merchants, and both sides read the same
+    exchange of the pre-aggregated rows, so the input is still read once.
     """
     if top_n is not None and top_n < 1:
         raise ValueError("top_n must be >= 1")
@@ -77,11 +77,12 @@ def merchant_analysis(df: DataFrame, flt: ReportFilter | None = None,
             with_total = ranked.withColumn("g", F.max(F.when(is_total, F.col("s")))
                                            .over(Window.partitionBy()))
         else:
-            from tally.session import ensure_checkpoint_dir
-            ensure_checkpoint_dir(m.sparkSession)
-            mk = m.checkpoint(eager=True)
-            grand = mk.where(is_total).select(F.col("s").alias("g")).scalar()
-            with_total = mk.where(is_total | F.col("merchant").isNotNull()).withColumn("g", grand)
+            # both sides use all columns of the rollup, and no condition is pushed below it:
+            # else their exchanges would differ, and each would scan the input
+            whole = F.struct((F.col("gid") - 1).alias("of"), "s", "n", "primary_category")
+            total = m.agg(F.max(F.when(is_total, whole)).alias("t")).select(F.col("t.of").alias("of"), F.col("t.s").alias("g"))
+            with_total = m.join(F.broadcast(total), F.col("gid") == F.col("of")) \
+                .where(F.when(F.col("of").isNotNull(), F.col("merchant").isNotNull()))
         s, n = F.col("s"), F.coalesce(F.col("n"), F.lit(0))
         return with_total.where(~is_total).select(
             "merchant",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tally.functions.money import dsum, is_expense, is_income, to_double
 from tally.operators.base import Report
 from tally.functions.periods import key_label
-from tally.operators.cash_flow import period_frame
+from tally.operators.cash_flow import dated, in_order, period_frame, undated_count
 from tally.operators.filters import ReportFilter, apply_filters
 
 
@@ -35,13 +35,13 @@ def trend(df: DataFrame, flt: ReportFilter | None = None, grouping: str = "month
         F.sum("n").alias("transaction_count"),
         F.min(cand).getField("c").alias("top_expense_category"),
     )
-    details = lambda: per.select(
+    details = lambda: in_order(dated(per).select(
         key_label(F.col("pkey"), grouping).alias("period"),
         to_double(F.col("income")).alias("income"),
         to_double(F.col("expenses")).alias("expenses"),
         to_double(F.col("income") - F.col("expenses")).alias("net"),
         "transaction_count",
         "top_expense_category",
-    ).orderBy("period")
-    header = lambda: per.agg(F.lit(grouping).alias("grouping"), F.count(F.lit(1)).alias("period_count"))
+    ), "period")
+    header = lambda: per.agg(F.lit(grouping).alias("grouping"), F.count("pkey").alias("period_count"), undated_count())
     return Report("trend_analysis", header, details)

@@ -115,7 +115,7 @@ SELECT {q(grouping)} AS grouping,
        CAST(COALESCE(SUM(inflow), 0) AS DOUBLE) AS total_inflow,
        CAST(COALESCE(SUM(outflow), 0) AS DOUBLE) AS total_outflow,
        CAST(COALESCE(SUM(inflow), 0) - COALESCE(SUM(outflow), 0) AS DOUBLE) AS net_cash_flow,
-       COUNT(*) AS period_count
+       COUNT(*) AS period_count, (SELECT COUNT(*) FROM ledger WHERE date IS NULL) AS undated_count
 FROM (SELECT {PERIOD_SQL[grouping]} AS period, {INC} AS inflow, {EXP} AS outflow
       FROM ledger WHERE date IS NOT NULL GROUP BY 1) per""")
 

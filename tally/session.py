@@ -59,7 +59,8 @@ def app_key(spark: SparkSession) -> str:
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -86,5 +87,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tally-scratch/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch_base(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tally-scratch/{app_key(spark)}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folders that this application has made. Frames that
+    read from them are gone afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_base(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

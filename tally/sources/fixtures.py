@@ -52,8 +52,7 @@ def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     Join order: orders ⋈ customer first, so the wide fact table is joined
     on l_orderkey once; part and supplier are joined on their own keys.
     Each dimension side is broadcast only after ``sized_broadcast`` measured
-    it under the byte bound (and then kept in memory for later reports);
-    otherwise the planner keeps shuffle joins (the case at large scale
+    it under the byte bound; otherwise the planner keeps shuffle joins (the case at large scale
     factors) and AQE may still switch at runtime.
     """
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey",
@@ -68,9 +67,9 @@ def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     oc = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "o_orderpriority", "c_name")
     prepare_broadcasts([(f"{tag}|orders*customer", oc, [o, c]), (f"{tag}|part", p, None),
                         (f"{tag}|supplier", s, None)])
-    oc = sized_broadcast(oc, f"{tag}|orders*customer", [o, c], cache=True)
-    p = sized_broadcast(p, f"{tag}|part", cache=True)
-    s = sized_broadcast(s, f"{tag}|supplier", cache=True)
+    oc = sized_broadcast(oc, f"{tag}|orders*customer", [o, c])
+    p = sized_broadcast(p, f"{tag}|part")
+    s = sized_broadcast(s, f"{tag}|supplier")
     j = (li.join(oc, li.l_orderkey == oc.o_orderkey)
            .join(p, li.l_partkey == p.p_partkey)
            .join(s, li.l_suppkey == s.s_suppkey))

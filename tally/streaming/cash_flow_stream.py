@@ -32,7 +32,6 @@ from pyspark.sql.streaming import StreamingQuery
 from tally.functions.money import dsum, is_expense, is_income, to_double
 from tally.functions.periods import period_label
 
-DEFAULT_WATERMARK = "30 days"
 # The state holds one row per day inside the watermark and the input is
 # partially aggregated before the state shuffle, so a few state partitions
 # suffice. The count is fixed in the checkpoint at the first start.
@@ -53,7 +52,7 @@ def instant_to_wall(ts, zone: str):
     return F.to_utc_timestamp(ts, zone).cast(T.TimestampNTZType())
 
 
-def daily_flows(events: DataFrame, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+def daily_flows(events: DataFrame, watermark: str) -> DataFrame:
     amt = F.col("amount")
     zone = _zone(events)
     return (events.where(F.col("date").isNotNull())
@@ -68,12 +67,19 @@ def daily_flows(events: DataFrame, watermark: str = DEFAULT_WATERMARK) -> DataFr
 
 
 def start_cash_flow_stream(spark: SparkSession, source_dir: str, sink_dir: str,
-                           checkpoint_dir: str, schema: T.StructType, fmt: str = "parquet",
-                           watermark: str = DEFAULT_WATERMARK,
+                           checkpoint_dir: str, schema: T.StructType, watermark: str,
+                           fmt: str = "parquet",
                            max_files_per_trigger: int | None = None,
                            available_now: bool = True,
                            state_partitions: int = DEFAULT_STATE_PARTITIONS) -> StreamingQuery:
-    reader = spark.readStream.schema(schema).format(fmt)
+    """Start the query. ``watermark`` says how late rows may come and still be
+    counted; ``dropped_rows`` of the query tells how many came later."""
+    # a session of its own, so that its state partition count touches no other query
+    own = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    reader = own.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     flows = daily_flows(reader.load(source_dir), watermark)
@@ -84,13 +90,13 @@ def start_cash_flow_stream(spark: SparkSession, source_dir: str, sink_dir: str,
     w = flows.writeStream.outputMode("update").foreachBatch(upsert) \
         .option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions))  # read by the query at start only
-    try:
-        return w.start()
-    finally:
-        spark.conf.set(key, old)
+    return w.start()
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows (after partial aggregation) that came after the watermark, over the
+    progress reports that the query still keeps."""
+    return sum(int(s.numRowsDroppedByWatermark) for p in query.recentProgress for s in p.stateOperators)
 
 
 def read_cash_flow(spark: SparkSession, sink_dir: str, grouping: str = "daily") -> DataFrame:

@@ -7,7 +7,7 @@ from tally.operators.cash_flow import cash_flow
 from tally.schema import TXN_SCHEMA
 from tally.session import scratch_dir
 from tally.sources.fixtures import ledger
-from tally.streaming.cash_flow_stream import read_cash_flow, start_cash_flow_stream
+from tally.streaming.cash_flow_stream import dropped_rows, read_cash_flow, start_cash_flow_stream
 
 
 def test_stream_equals_batch(spark, sf_dir):
@@ -42,5 +42,6 @@ def test_late_rows_beyond_watermark_are_dropped(spark):
     q = start_cash_flow_stream(spark, f"{base}/src/f*", f"{base}/sink", f"{base}/ck", TXN_SCHEMA,
                                watermark="2 days", max_files_per_trigger=1)
     assert q.awaitTermination(300)
+    assert dropped_rows(q) == 1
     got = {r.period: (r.inflow, r.transaction_count) for r in read_cash_flow(spark, f"{base}/sink").collect()}
     assert got == {"2024-03-01": (10.0, 1), "2024-03-19": (3.0, 1), "2024-03-20": (5.0, 1)}
