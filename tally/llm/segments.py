@@ -20,7 +20,7 @@ from tally.llm.common import strings, utf8_buffer
 class Segments:
     """Distinct segments of a batch and where each document uses them."""
 
-    distinct: list[str] | pa.Array
+    distinct: pa.Array
     use: np.ndarray     # index into distinct, in text order
     bounds: np.ndarray  # rows + 1 positions in use
 
@@ -48,18 +48,17 @@ def byte_level(col: pa.Array) -> Segments:
 
 
 def metaspace(col: pa.Array) -> Segments:
-    """Segments for a piece model that turns each space into U+2581 and puts one
-    before the text: each segment is given without its first space.  Cuts before
-    any space that follows neither a space nor U+2581 and is not a text's last
-    character, so that only an empty text has an empty segment."""
+    """Segments, as a string column, for a piece model that turns each space
+    into U+2581 and puts one before the text; that one is put there as a space,
+    so that every segment begins with one.  Cuts before any other space
+    that follows neither a space nor U+2581 and is not a text's last character,
+    so that only an empty text has a segment that is one space."""
     data, off = utf8_buffer(pc.binary_join_element_wise("", pc.fill_null(col, ""), " "))
     safe = data != 0x20
     if len(data) > 2:
         safe[2:] &= ~((data[2:] == 0x81) & (data[1:-1] == 0x96) & (data[:-2] == 0xE2))
     safe[off[1:][np.diff(off) > 1] - 2] = False
-    found = _cut(data, off, safe)
-    found.distinct = [s[1:] for s in found.distinct.to_pylist()]
-    return found
+    return _cut(data, off, safe)
 
 
 @dataclass
@@ -70,12 +69,59 @@ class Tokens:
     bounds: np.ndarray
 
 
-def gather(found: Segments, ids: list) -> Tokens:
-    """Token ids of each document from the ids of each distinct segment."""
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.concatenate([np.asarray(x, np.uint32) for x in ids]) if len(ids) else np.zeros(0, np.uint32)
-    first = np.cumsum(size) - size
-    n = size[found.use]
-    end = np.append(0, np.cumsum(n))
-    at = np.repeat(first[found.use] - end[:-1], n) + np.arange(end[-1])
-    return Tokens(flat[at], end[found.bounds])
+@dataclass
+class Coded:
+    """Ids of segments: those of segment i are flat[first[i]:first[i] + size[i]];
+    ``flags`` is a row of marks per segment."""
+
+    flat: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    flags: np.ndarray
+
+    @classmethod
+    def none(cls, marks: int = 0) -> Coded:
+        return cls(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, marks), bool))
+
+
+class Memo:
+    """Ids of the segments that a worker has met, up to ``most`` of them; beyond
+    that it starts anew."""
+
+    def __init__(self, encode, marks: int = 0, most: int = 1 << 20):
+        self.encode, self.marks, self.most = encode, marks, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.coded = pa.array([], pa.large_string()), Coded.none(self.marks)
+
+    def __call__(self, found: Segments) -> tuple[Tokens, np.ndarray]:
+        """Ids of each row, and the marks of each use of a segment."""
+        at = pc.index_in(found.distinct, value_set=self.known)
+        new = at.is_null()
+        fresh = found.distinct.filter(new)
+        old, more = self.coded, self.encode(fresh)
+        place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(fresh))
+        every = Coded(np.concatenate([old.flat, more.flat]), np.concatenate([old.first, more.first + len(old.flat)]),
+                      np.concatenate([old.size, more.size]), np.concatenate([old.flags, more.flags]))
+        if len(self.known) + len(fresh) <= self.most:
+            self.known, self.coded = pa.concat_arrays([self.known, fresh]), every
+        else:
+            self._forget()
+        use = place[found.use]
+        n = every.size[use]
+        stop = np.append(0, np.cumsum(n))
+        take = np.repeat((every.first[use] - stop[:-1]).astype(np.int32), n) + np.arange(stop[-1], dtype=np.int32)
+        return Tokens(every.flat[take], stop[found.bounds]), every.flags[use]
+
+
+def strung(segments: pa.Array, apart: np.ndarray, together: int) -> tuple[np.ndarray, list[str], list[str], list[int]]:
+    """Order of the segments with those ``apart`` first, these as strings, the
+    others strung together by so many, and the number in each string."""
+    order = np.argsort(~apart, kind="stable")
+    data, at = utf8_buffer(segments.filter(pa.array(~apart)))
+    cuts, whole = at[::together].tolist() if len(at) > 1 else [], data.tobytes()
+    groups = [whole[a:b].decode() for a, b in zip(cuts, [*cuts[1:], len(whole)]) if b > a]
+    left = len(at) - 1
+    return order, segments.filter(pa.array(apart)).to_pylist(), groups, [min(together, left - i) for i in range(0, left, together)]

@@ -3,7 +3,7 @@
 ``Backend`` parses the model protobuf and rebuilds its parts there: normaliser
 (character map, white-space rules, dummy prefix, U+2581 marker), the piece model
 (unigram scores, or for a BPE model the merges that its piece scores stand for)
-with byte fallback, and the decoder.  Every distinct segment of a batch is
+with byte fallback, and the decoder.  Every distinct segment that a worker meets is
 encoded by both libraries; where they differ the ids of the sentencepiece
 library are kept and the row says so (``parity`` false).
 
@@ -23,12 +23,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tally.llm.common import pick, text_slices
-from tally.llm.segments import Segments, Tokens, gather, metaspace
+from tally.llm.common import pick, text_slices, utf8_buffer
+from tally.llm.segments import Coded, Memo, Tokens, metaspace, strung
 
 SPACE = "▁"
 #: Texts that the library encodes at a time, and bytes of text that a task works on at a time.
-TOGETHER, SLICE = 8192, 4 << 20
+TOGETHER, SLICE = 256, 4 << 20
 UNIGRAM, BPE = 1, 2  # model types of the protobuf
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # piece types of the protobuf
 
@@ -49,6 +49,8 @@ class Backend:
         self.extra: dict[int, list[int]] = {}  # ids of helper characters -> the ids that stand for them
         self.tokenizer = self._build()
         spec = self.proto.normalizer_spec
+        self.sizes = np.array([1 if t == BYTE else len(p.replace(SPACE, " ").encode()) for p, _, t in self.pieces], np.int64)
+        self.memo = Memo(self.code, marks=2)
         #: Texts may be cut at spaces: no rule looks across one, no piece joins one.
         self.cuts = (spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces
                      and not spec.precompiled_charsmap
@@ -131,10 +133,60 @@ class Backend:
         """Ids by the sentencepiece library."""
         return self.reference.encode(texts, num_threads=1)
 
-    def segments(self, text: pa.Array) -> Segments:
+    def _marks(self, texts: list[str], ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Marks of each text: whether both libraries agree, and whether the ids decode to it."""
+        same = np.fromiter((a == b for a, b in zip(self.encode(texts), ids)), bool, len(texts))
+        back = np.fromiter((a == b for a, b in zip(self.decode(ids), texts)), bool, len(texts))
+        return same, back
+
+    def code(self, segments: pa.Array) -> Coded:
+        """Ids and marks of segments, each with its first space.  Segments that
+        end in no space and hold no U+2581 are strung together and come apart by
+        the bytes that ids stand for; if a string fails a check, its segments are
+        checked one by one."""
+        data, off = utf8_buffer(segments)
+        marker = np.zeros(len(data) + 1, np.int64)
+        if len(data) > 2:
+            marker[3:] = np.cumsum((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
+        apart = (data[off[1:] - 1] == 0x20) | (marker[off[1:]] != marker[off[:-1]])
+        order, alone, groups, counts = strung(segments, apart, 128)
+        texts = [t[1:] for t in alone + groups]  # the tokenizers put the first marker there themselves
+        ids = self.expected(texts)
+        same, back = self._marks(texts, ids)
+        each = np.repeat(np.arange(len(texts)), [1] * len(alone) + counts)
+        flags = np.column_stack([same[each], back[each]])
+        for g in np.flatnonzero(~(same & back)):
+            if g >= len(alone):
+                parts = np.flatnonzero(each == g)
+                single = [t[1:] for t in segments.take(pa.array(order[parts])).to_pylist()]
+                flags[parts] = np.column_stack(self._marks(single, self.expected(single)))
+        flat = np.concatenate([np.zeros(0, np.uint32), *[np.asarray(x, np.uint32) for x in ids]])
+        heads = np.cumsum([len(x) for x in ids[:len(alone)]], dtype=np.int64)
+        done = int(heads[-1]) if len(heads) else 0
+        end = np.cumsum(np.diff(off)[order[len(alone):]])
+        reach = np.append(0, np.cumsum(self.sizes[flat[done:]]))
+        last = np.searchsorted(reach, end)
+        if not np.array_equal(reach[np.minimum(last, len(reach) - 1)], end):
+            raise ValueError("ids of the model do not end where segments end")
+        stop = np.concatenate([heads, done + last])
+        out = Coded(flat, np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), np.zeros((len(order), 2), bool))
+        out.first[order], out.size[order] = np.append(0, stop)[:-1], np.diff(stop, prepend=0)
+        out.flags[order] = flags
+        return out
+
+    def rows(self, text: pa.Array) -> tuple[Tokens, np.ndarray, np.ndarray]:
+        """Ids of each text, and whether the libraries agree and the ids decode to it."""
         if self.cuts:
-            return metaspace(text)
-        return Segments(text.to_pylist(), np.arange(len(text)), np.arange(len(text) + 1))
+            found = metaspace(text)
+            tokens, flags = self.memo(found)
+            bad = np.vstack([np.zeros((1, 2), np.int64), np.cumsum(~flags, axis=0)])
+            good = bad[found.bounds[1:]] == bad[found.bounds[:-1]]
+            return tokens, good[:, 0], good[:, 1]
+        texts = text.to_pylist()
+        ids = self.expected(texts)
+        same, back = self._marks(texts, ids)
+        bounds = np.append(0, np.cumsum([len(x) for x in ids], dtype=np.int64))
+        return Tokens(np.concatenate([np.zeros(0, np.uint32), *[np.asarray(x, np.uint32) for x in ids]]), bounds), same, back
 
 
 @lru_cache(maxsize=2)
@@ -145,11 +197,6 @@ def backend(model_path: str, threads: int) -> Backend:
     return Backend(model_path)
 
 
-def _all_true(flags: np.ndarray, found: Segments) -> np.ndarray:
-    bad = np.append(0, np.cumsum(~flags[found.use]))
-    return bad[found.bounds[1:]] == bad[found.bounds[:-1]]
-
-
 def encode_decode(docs: DataFrame, model_path: str, threads: int = 2, with_ids: bool = True,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, ids_crc32, parity, round_trip[, ids]``.
@@ -163,13 +210,7 @@ def encode_decode(docs: DataFrame, model_path: str, threads: int = 2, with_ids:
         for batch in batches:
             for part in text_slices(batch, "text", SLICE):
                 text = pc.fill_null(part.column("text"), "")
-                found = model.segments(text)
-                ids, want = model.encode(found.distinct), model.expected(found.distinct)
-                same = np.fromiter((a == b for a, b in zip(ids, want)), bool, len(ids))
-                back = np.fromiter((a == b for a, b in zip(model.decode(want), found.distinct)), bool, len(ids))
-                tokens = gather(found, want)
-                yield pa.RecordBatch.from_arrays(_columns(part.column("doc_id"), text, tokens, _all_true(same, found),
-                                                          _all_true(back, found), with_ids), names)
+                yield pa.RecordBatch.from_arrays(_columns(part.column("doc_id"), text, *model.rows(text), with_ids), names)
 
     src = pick(docs, doc_id=id_col, text=text_col)
     kind = src.schema["doc_id"].dataType.simpleString()

@@ -27,13 +27,11 @@ from pyspark.sql import functions as F
 
 from tally.llm import simple8b
 from tally.llm.common import pick, text_slices, utf8_buffer
-from tally.llm.segments import Segments, Tokens, byte_level
+from tally.llm.segments import Coded, Memo, Tokens, byte_level, strung
 
 ROW_IDS = 1 << 20
 #: Bytes of text that are encoded at a time (one document at least).
 SLICE = 12 << 20
-#: Segments whose ids a worker keeps at a time.
-MEMO = 1 << 20
 SCHEMA = ("shard int, part int, shard_start long, n_ids long, doc_ids array<{kind}>, doc_lens array<long>, "
           "block_offsets binary, words binary")
 
@@ -50,7 +48,7 @@ class ByteEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.sizes = self._sizes()
-        self._forget()
+        self.memo = Memo(self._encode)
 
     def _sizes(self) -> np.ndarray:
         """Bytes that each id stands for: one character of a byte-level piece
@@ -70,53 +68,27 @@ class ByteEncoder:
             out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i:i + 128], add_special_tokens=False)]
         return np.concatenate(out)
 
-    def _encode(self, segments: pa.Array, together: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and where each segment's ids start and how many there are.  Segments that
-        begin with a space and end in visible ASCII go to the library strung
-        together (no token crosses such ends), and come apart by the bytes that
-        ids stand for; the others go one by one."""
+    def _encode(self, segments: pa.Array) -> Coded:
+        """Segments that begin with a space and end in visible ASCII go to the
+        library strung together (no token crosses such ends), and come apart by
+        the bytes that ids stand for; the others go one by one."""
         data, off = utf8_buffer(segments)
         apart = (data[off[:-1]] != 0x20) | (data[off[1:] - 1] <= 0x20) | (data[off[1:] - 1] >= 0x7F)
-        order = np.argsort(~apart, kind="stable")
-        strung, at = utf8_buffer(segments.filter(pa.array(~apart)))
-        cuts = at[::together].tolist()
-        whole = strung.tobytes()
-        flat = self._ids(segments.filter(pa.array(apart)).to_pylist()
-                         + [whole[a:b].decode() for a, b in zip(cuts, [*cuts[1:], len(whole)])])
+        order, alone, groups, _ = strung(segments, apart, 256)
+        flat = self._ids(alone + groups)
         end = np.cumsum(np.diff(off)[order])
         reach = np.append(0, np.cumsum(self.sizes[flat]))
         last = np.searchsorted(reach, end)
         if not np.array_equal(reach[np.minimum(last, len(flat))], end):
             raise ValueError("ids of the vocabulary file do not end where segments end")
-        first, size = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        first[order], size[order] = np.append(0, last)[:-1], np.diff(last, prepend=0)
-        return flat, first, size
+        out = Coded(flat, np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), np.zeros((len(order), 0), bool))
+        out.first[order], out.size[order] = np.append(0, last)[:-1], np.diff(last, prepend=0)
+        return out
 
     def __call__(self, text: pa.Array) -> Tokens:
-        """Each distinct segment is encoded once, and again only after so many
-        others that the worker's memo of ``MEMO`` segments started anew."""
-        found: Segments = byte_level(text)
-        at = pc.index_in(found.distinct, value_set=self.known)
-        new = at.is_null()
-        fresh = found.distinct.filter(new)
-        flat, first, size = self._encode(fresh)
-        place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        place[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(fresh))
-        first = np.concatenate([self.first, first + len(self.flat)])
-        size, flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
-        if len(self.known) + len(fresh) <= MEMO:
-            self.known, self.flat, self.first, self.size = pa.concat_arrays([self.known, fresh]), flat, first, size
-        else:
-            self._forget()
-        use = place[found.use]
-        n = size[use]
-        stop = np.append(0, np.cumsum(n))
-        take = np.repeat((first[use] - stop[:-1]).astype(np.int32), n) + np.arange(stop[-1], dtype=np.int32)
-        return Tokens(flat[take], stop[found.bounds])
-
-    def _forget(self) -> None:
-        self.known = pa.array([], pa.large_string())
-        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Each distinct segment is encoded once, and again only after the
+        worker's memo started anew."""
+        return self.memo(byte_level(text))[0]
 
 
 @lru_cache(maxsize=2)

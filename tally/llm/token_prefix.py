@@ -113,9 +113,10 @@ class PrefixCounter:
     def prefix_counts(self, text: str | None) -> list[int]:
         """Token counts of the first 0, 1, ..., n code points of one text."""
         found, out, base = metaspace(pa.array([text], pa.string())), [0], 0
-        tables = self.tables(found.distinct)
+        distinct = bare(found)
+        tables = self.tables(distinct)
         for k, use in enumerate(found.use.tolist()):
-            counts = tables[found.distinct[use]]
+            counts = tables[distinct[use]]
             out += [base + c for c in counts[2 if k == 0 else 1:]]
             base += counts[-1] if len(counts) > 2 or k else 0
         return out
@@ -123,9 +124,10 @@ class PrefixCounter:
     def totals(self, found: Segments, budgets: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
         """Token count of each row, and for each budget the code points of the
         longest prefix that keeps it."""
-        tables = self.tables(found.distinct)
-        size = np.array([len(s) for s in found.distinct], np.int64)
-        each = np.array([tables[s][-1] for s in found.distinct], np.int64)[found.use]
+        distinct = bare(found)
+        tables = self.tables(distinct)
+        size = np.array([len(s) for s in distinct], np.int64)
+        each = np.array([tables[s][-1] for s in distinct], np.int64)[found.use]
         chars = size[found.use] + 1
         first = np.zeros(len(found.use), bool)
         first[found.bounds[:-1]] = True
@@ -139,13 +141,18 @@ class PrefixCounter:
             for row in np.flatnonzero(n > budget):
                 before = end[lo[row]:hi[row]] - end[lo[row]]
                 k = max(0, int(np.searchsorted(before, budget, "left")) - 1)
-                counts = np.array(tables[found.distinct[found.use[lo[row] + k]]])
+                counts = np.array(tables[distinct[found.use[lo[row] + k]]])
                 inside = np.flatnonzero(before[k] + counts <= budget)[-1]
                 cut[row] = max(0, at[lo[row] + k] - at[lo[row]] + inside - 1)
             cuts.append(cut)
         return n, cuts
 
 
+def bare(found: Segments) -> list[str]:
+    """Distinct segments without their first space."""
+    return [s[1:] for s in found.distinct.to_pylist()]
+
+
 @lru_cache(maxsize=2)
 def counter(model_path: str) -> PrefixCounter:
     return PrefixCounter(model_path)
