@@ -25,7 +25,7 @@ from decimal import Decimal
 from functools import reduce
 from typing import Iterable, Optional, Sequence
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,8 +102,8 @@ def check_java_pattern(spark, pattern: str) -> None:
     dialect only, and tasks would fail on those."""
     try:
         spark._jvm.java.util.regex.Pattern.compile(f"(?iu)(?:{java_regex(pattern)})")
-    except Py4JJavaError as e:
-        raise ValueError(f"invalid pattern {pattern!r}: {e.java_exception.getMessage()}") from e
+    except IllegalArgumentException as e:
+        raise ValueError(f"invalid pattern {pattern!r}: {e}") from e
 
 
 @dataclass(frozen=True)

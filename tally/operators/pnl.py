@@ -49,14 +49,12 @@ def category_sides(sc: DataFrame) -> DataFrame:
                       ratio_pct(total, F.col("tot"), F.col("tot") > 0).alias("percentage")))
 
 
-def side_by_category(f: DataFrame, side: str, share_name: str) -> DataFrame:
-    """One P&L list straight from the filtered rows: aggregate only that
-    side, share over its total (null category included) with a window over
-    ≤ categories + 1 aggregated rows; the final sort then runs inside that
-    single partition (no range exchange)."""
-    amt = F.col("amount")
-    cond = is_income() if side == "income" else is_expense()
-    g = f.where(cond).groupBy("category").agg(dsum(amt).alias("s"), F.count(amt).alias("n"))
+def side_by_category(sc: DataFrame, side: str, share_name: str) -> DataFrame:
+    """One P&L list from the rows of ``sign_category``: share over the side's
+    total (null category included) with a window over ≤ categories + 1
+    aggregated rows; the final sort then runs inside that single partition
+    (no range exchange)."""
+    g = sc.where(F.col(SIGN) == side).select("category", "s", "n")
     tot = F.abs(F.sum("s").over(Window.partitionBy()))
     total = F.abs(F.col("s"))
     return (g.select("category", "s", "n", tot.alias("tot"))
@@ -67,10 +65,16 @@ def side_by_category(f: DataFrame, side: str, share_name: str) -> DataFrame:
              .orderBy(F.col("total").desc(), F.col("category").asc()))
 
 
-def profit_and_loss(df: DataFrame, flt: ReportFilter | None = None) -> Report:
+def profit_and_loss(df: DataFrame, flt: ReportFilter | None = None, materialize: bool = False) -> Report:
+    """All frames come from one aggregate of at most 3 × (categories + 1) rows.
+    ``materialize`` writes it to the checkpoint folder first, so that a job
+    that writes several frames reads the input once."""
     flt = flt or ReportFilter()
-    f = apply_filters(df, flt)
-    sc = sign_category(f)
+    sc = sign_category(apply_filters(df, flt))
+    if materialize:
+        from tally.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        sc = sc.checkpoint()
     inc = dsum(F.when(F.col(SIGN) == "income", F.col("s")))
     exp = F.abs(dsum(F.when(F.col(SIGN) == "expense", F.col("s"))))
     header = lambda: sc.agg(
@@ -85,7 +89,7 @@ def profit_and_loss(df: DataFrame, flt: ReportFilter | None = None) -> Report:
          .alias("expense_transaction_count"),
     )
     return Report("profit_and_loss", header, None, {
-        "income_by_category": lambda: side_by_category(f, "income", "percentage_of_income"),
-        "expenses_by_category": lambda: side_by_category(f, "expense", "percentage_of_expenses"),
+        "income_by_category": lambda: side_by_category(sc, "income", "percentage_of_income"),
+        "expenses_by_category": lambda: side_by_category(sc, "expense", "percentage_of_expenses"),
         "by_category": lambda: category_sides(sc),
     })

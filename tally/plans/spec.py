@@ -114,15 +114,16 @@ class ReportSpec:
             description_contains=self.description_contains, notes_contains=self.notes_contains,
             exclude_categories=self.exclude_categories, exclude_merchants=self.exclude_merchants)
 
-    def run(self, df: DataFrame) -> Report:
+    def run(self, df: DataFrame, materialize: bool = False) -> Report:
         """The report on ``df``. ``last_days`` picks the rows to report on (whole
-        days, as an acquisition does); dates given beside it filter those."""
+        days, as an acquisition does); dates given beside it filter those.
+        ``materialize`` is for jobs that write several frames of one report."""
         if self.last_days is not None:
             df = acquire(df, days=self.last_days, as_of=self.as_of)
         f = self.to_filter()
         t = self.report_type
         if t == "profit_loss":
-            return profit_and_loss(df, f)
+            return profit_and_loss(df, f, materialize)
         if t == "cash_flow":
             return cash_flow(df, f, self.grouping)
         if t == "category_analysis":
