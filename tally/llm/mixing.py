@@ -18,8 +18,7 @@ gathered in one task.  Only tables with a row per source are sorted as a whole.
 
 Defined results: null text has size 0; documents of size 0 are taken 0 words;
 null sources form one source, last; repeated rows are separate rows with the
-same place rules; null ids come first among equal shuffle keys; other columns
-are ignored; an empty table gives no rows.
+same shuffle key; null ids count as empty text in it; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -129,14 +128,15 @@ def schedule(goal: DataFrame) -> DataFrame:
 def streams(docs: DataFrame, goal: DataFrame, rows: int) -> DataFrame:
     """Documents with their places in the shuffled streams: ``start`` is the
     number of words before a document, ``range, nth`` name its row.  The order
-    is that of a hash of id and text; its high bits split a source into ranges."""
-    bits = max(4, (rows // ROWS_PER_RANGE).bit_length())
+    is that of the MD5 of id and text; its high bits split a source into ranges."""
+    bits = min(32, max(4, (rows // ROWS_PER_RANGE).bit_length()))
+    head = F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("long")
     keyed = docs.join(_per_source(goal.select("place", F.col("source").alias("_source"))), F.col("source").eqNullSafe(F.col("_source"))) \
-        .drop("_source").withColumn("range", F.shiftrightunsigned("shuffle", 64 - bits))
+        .drop("_source").withColumn("range", F.shiftright(head, 32 - bits))
     sums = keyed.groupBy("place", "range").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select("place", "range", F.coalesce(before, F.lit(0)).alias("offset"))
-    order = Window.partitionBy("place", "range").orderBy("shuffle", "doc_id", "size", "text_hash")
+    order = Window.partitionBy("place", "range").orderBy("shuffle", "doc_id", "size")
     inside = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return keyed.withColumns({"inside": inside, "nth": F.row_number().over(order)}).join(offsets, ["place", "range"]) \
         .withColumn("start", F.col("inside") + F.col("offset")).drop("inside", "offset")
@@ -146,7 +146,9 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """``doc_id, source, size, text_hash, shuffle``."""
     src = pick(docs, doc_id=id_col, text=text_col, source=source_col)
     return src.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"),
-                      F.xxhash64(F.lit("mix"), "doc_id", F.xxhash64("text")).alias("shuffle"))
+                      F.md5(F.concat(
+                          F.lit("mix|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"),
+                          F.md5(F.coalesce("text", F.lit(""))))).alias("shuffle"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

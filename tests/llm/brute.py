@@ -3,7 +3,6 @@
 import hashlib
 import math
 import re
-import struct
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -154,13 +153,8 @@ def redact(text, found):
 
 # mixing
 
-def spark_hash(*values):
-    """Spark's xxhash64 of strings, longs and nulls, as a signed value."""
-    h = 42
-    for v in values:
-        if v is not None:
-            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), h)
-    return h - (1 << 64) if h >= 1 << 63 else h
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
 
 
 def targets(sizes):
@@ -189,8 +183,7 @@ def mix(rows):
     taken = [0] * len(rows)
     for s in per:
         mine = [i for i, r in enumerate(rows) if r[2] == s]
-        mine.sort(key=lambda i: (spark_hash("mix", rows[i][0], spark_hash(rows[i][1])) % (1 << 64), rows[i][0] is not None, rows[i][0],
-                                 size[i], spark_hash(rows[i][1])))
+        mine.sort(key=lambda i: md5(f"mix|{'' if rows[i][0] is None else rows[i][0]}|{md5(rows[i][1] or '')}"))
         left = min(math.floor(goal[s] + 0.5), 3 * per[s])
         for i in mine * 3:
             n = min(left, size[i])

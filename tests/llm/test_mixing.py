@@ -53,6 +53,13 @@ def test_query(spark, sf_dir, documents):
     assert sorted(map(tuple, q.op7_golden_mix(spark, sf_dir).collect())) == sorted(map(tuple, first))
 
 
+def test_query_matches_its_sql(spark, sf_dir, duck):
+    from tally.llm.registry import ORACLE_SQL
+    want = sorted(duck.execute(ORACLE_SQL["op7_golden_mix"]).fetchall())
+    got = sorted(map(tuple, q.op7_golden_mix(spark, sf_dir).select("doc_id", "size", "source_size", "target", "taken").collect()))
+    assert got == want
+
+
 def test_mix_documents(spark, documents):
     taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(documents).collect()}
     out = mixing.mix_documents(documents)
