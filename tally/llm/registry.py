@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tally.llm import quality_sql
 from tally.llm import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -50,4 +51,4 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(
   + greatest(0, least(start + size, words - 2 * source_size) - start) AS BIGINT) AS taken
 FROM x"""
 
-ORACLE_SQL: dict[str, str] = {"op7_golden_mix": OP7}
+ORACLE_SQL: dict[str, str] = {"op5_quality_outliers": quality_sql.statement(), "op7_golden_mix": OP7}

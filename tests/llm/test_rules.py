@@ -78,6 +78,13 @@ def test_quality_query(spark, sf_dir):
     assert all(good == keep for good, keep in passed if good is not None)
 
 
+def test_quality_matches_its_sql(spark, sf_dir, duck):
+    from tally.llm.registry import ORACLE_SQL
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    want = sorted(duck.execute(ORACLE_SQL["op5_quality_outliers"]).fetchall())
+    assert sorted(map(tuple, q.op5_quality_outliers(spark, sf_dir).select(*columns).collect())) == want
+
+
 def test_quality_repeats(spark):
     rnd = random.Random(5)
     texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 40))) for _ in range(200)]
