@@ -40,8 +40,9 @@ PRIOR_WORDS, PRIOR_LENGTH = 100, 5
 CORE = 0.75
 MIN_GROUP = 100
 STEPS = 4
-#: Rows up to which the table of group estimates is broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows up to which a table with a row per group is broadcast; beyond that each of its rows meets a
+#: group's documents in so many tasks.
+BROADCAST_ROWS, SALTS = 100_000, 32
 
 
 def _chi2_cdf(x: float, df: int) -> float:
@@ -176,6 +177,16 @@ def _moments(rows: DataFrame, scale: float) -> DataFrame:
                              for i in range(d) for j in range(i + 1)})
 
 
+def with_groups(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows to a table with a row per group, so that a group with very many
+    rows is not gathered in one task."""
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), keys, how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*STATS), F.lit(SALTS)).cast("int")) \
+        .join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 def group_keys(stats: DataFrame) -> DataFrame:
     """``g_lang, g_source, g_key``: the estimate that each language and source uses."""
     sizes = stats.groupBy("g_lang", "g_source").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n"))
@@ -189,7 +200,7 @@ def group_keys(stats: DataFrame) -> DataFrame:
 def estimates(stats: DataFrame, keys: DataFrame) -> DataFrame:
     """One row per ``g_key``: location ``m_i``, factor ``l_ij`` and ``det`` of
     its minimum-covariance-determinant estimate."""
-    clean = stats.where(~F.col("base_failed")).join(keys, ["g_lang", "g_source"]).select("g_key", *STATS)
+    clean = with_groups(stats.where(~F.col("base_failed")), keys, ["g_lang", "g_source"]).select("g_key", *STATS)
     wide = _factor(_moments(clean.groupBy("g_key").agg(*_sums()), 1.0))
     # the second start ignores how the statistics depend on each other and starts from the axes' floors
     near = wide.withColumns({f"l_{i}{j}": F.lit(10.0 * f if i == j else 0.0)
@@ -200,7 +211,7 @@ def estimates(stats: DataFrame, keys: DataFrame) -> DataFrame:
     model = model.select(*keep).checkpoint()
     for _ in range(STEPS):
         bin_ = F.floor(16 * F.log2(_distance() + 1e-4)).cast("int")
-        bins = clean.join(model, "g_key").groupBy("g_key", "start", bin_.alias("bin")).agg(*_sums())
+        bins = with_groups(clean, model, ["g_key"]).groupBy("g_key", "start", bin_.alias("bin")).agg(*_sums())
         by = Window.partitionBy("g_key", "start")
         before = F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
         core = bins.withColumns({"before": F.coalesce(before, F.lit(0)), "all": F.sum("n").over(by)}) \
@@ -214,10 +225,8 @@ def estimates(stats: DataFrame, keys: DataFrame) -> DataFrame:
 def judge(rows: DataFrame, keys: DataFrame, model: DataFrame) -> DataFrame:
     """Adds ``distance`` and ``kept`` to rows with statistics."""
     table = keys.join(model, "g_key", "left").checkpoint()
-    if table.count() <= BROADCAST_ROWS:
-        table = F.broadcast(table)
     far = F.coalesce(_distance(), F.lit(0.0))
-    joined = rows.join(table, ["g_lang", "g_source"], "left").withColumn("distance", far)
+    joined = with_groups(rows, table, ["g_lang", "g_source"], "left").withColumn("distance", far)
     # one expression over both sides, so that no part of it is pushed below the join and counts the words again
     return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.col("distance") <= CUTOFF))
 

@@ -95,6 +95,15 @@ def test_quality_repeats(spark):
         assert tuple(r)[1:] == brute.quality_counts(r["text"]), r["text"]
 
 
+def test_quality_of_many_groups(spark, documents, monkeypatch):
+    """Beyond the broadcast bound the joins are salted; the verdicts stay."""
+    want = sorted(map(tuple, quality_outliers.quality(documents).drop("distance").collect()))
+    monkeypatch.setattr(quality_outliers, "BROADCAST_ROWS", 0)
+    salted = quality_outliers.quality(documents).drop("distance")
+    assert "_salt" in salted._jdf.queryExecution().logical().toString()
+    assert sorted(map(tuple, salted.collect())) == want
+
+
 def test_quality_awkward(awkward):
     rows = quality_outliers.quality(awkward).collect()
     assert len(rows) == awkward.count()
