@@ -16,7 +16,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from tally.plans import queries  # noqa: E402
 from tally.session import get_session  # noqa: E402
 
 KINDS = [("hash", r"Exchange hashpartitioning"), ("range", r"Exchange rangepartitioning"),
@@ -39,7 +39,7 @@ def main():
     args = [a for a in args if not a.startswith("--")]
     sf_dir = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     spark = get_session("local[8]", shuffle_partitions=8)
-    qs = E.queries()
+    qs = queries.build()
     rows = []
     for name in args or sorted(qs):
         df = qs[name](spark, sf_dir)
