@@ -190,16 +190,26 @@ def _difficult_json(spark: SparkSession, sf: str) -> DataFrame:
     return _typed_keys(read_json(spark, path))
 
 
-def _json_array(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of one account as a pretty-printed array document, read back."""
-    rows = by_account(ledger(spark, sf), P.ACCOUNT_ID).select(*ROW_COLS)
-    docs = rows.withColumn("date", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss")) \
-        .agg(F.to_json(F.collect_list(F.struct(*ROW_COLS)), {"pretty": "true"}).alias("value"))
+def _array_documents(d: DataFrame) -> DataFrame:
+    """Rows as pretty-printed array documents of at most 2,048 rows, all of a
+    document from one task, so no key makes a document or a task larger."""
+    rows = d.select(*ROW_COLS).withColumn("date", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss"))
+    return rows.withColumn("_doc", F.shiftright(F.monotonically_increasing_id(), 11)).groupBy("_doc") \
+        .agg(F.to_json(F.collect_list(F.struct(*ROW_COLS)), {"pretty": "true"}).alias("value")).select("value")
+
+
+def _array_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger written as array documents, a file each, and read back."""
     path = scratch_dir(spark, "json-array")
-    docs.write.text(path)
+    _array_documents(ledger(spark, sf)).write.option("maxRecordsPerFile", 1).text(path)
     return _typed_keys(read_json(spark, path))
 
 
+def _json_array(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of one account, as its SQL has it, of the whole ledger read from array documents."""
+    return by_account(_array_ledger(spark, sf), P.ACCOUNT_ID)
+
+
 def _from_document(doc: DataFrame) -> DataFrame:
     """Header fields and periods of a cash flow document, as typed columns."""
     kind = ("struct<report_type:string,grouping:string,period:string,total_inflow:double,total_outflow:double,net_cash_flow:double,"

@@ -7,7 +7,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import rows_of
+from helpers import rows_of, rows_of_sql
 from tally.__main__ import main
 from tally.operators.compare import period_comparison
 from tally.operators.custom import custom_report
@@ -16,6 +16,8 @@ from tally.operators.filters import ReportFilter, TxnFilter
 from tally.operators.merchant import merchant_analysis
 from tally.operators.stats import moment_aggs, stddev_samp
 from tally.operators.summary import describe_amounts
+from tally.plans import oracle
+from tally.plans.queries import _array_documents, _array_ledger
 from tally.plans.spec import Reports, ReportSpec
 from tally.schema import TXN_SCHEMA
 from tally.session import scratch_dir
@@ -55,6 +57,13 @@ def test_csv_files_must_agree_on_their_header(spark):
         read_exported_csv(spark, folder).collect()
 
 
+def test_whole_ledger_in_array_documents(spark, duck, sf_dir):
+    """Against the SQL of ingest_normalize, which has the same rows; documents are bounded, a file each."""
+    assert rows_of(_array_ledger(spark, sf_dir)) == rows_of_sql(duck, oracle.build()["ingest_normalize"])[0]
+    sizes = [len(json.loads(r["value"])) for r in _array_documents(ledger(spark, sf_dir)).collect()]
+    assert sum(sizes) == ledger(spark, sf_dir).count() and len(sizes) > 2 and max(sizes) <= 2048
+
+
 def test_json_array_and_absent_fields(spark):
     docs = [{"date": "2025-01-01T10:00:00Z", "amount": 1.5, "category": "x"}, {"date": "2025-01-02", "amount": -2, "extra": "kept"}]
     folder = put(scratch_dir(spark, "edge"), "a.json", json.dumps(docs, indent=2))
