@@ -13,7 +13,11 @@ Rules (see README "Semantics"):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,19 +109,46 @@ def source_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not (f.metadata or {}).get(SYNTHESIZED)]
 
 
+def _json_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files of JSON lines and files that are an array document, by the first
+    visible character of each; files without one are in neither list."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.substring(F.ltrim(F.col("value"), F.lit(" \t\r\ufeff")), 1, 1).alias("v")).where("v != ''")
+    place = F.struct("block", "line")
+    found = lines.withColumn("line", F.monotonically_increasing_id()) \
+        .groupBy("file").agg(F.min_by("v", place).alias("v")).orderBy("file").collect()
+    return [r["file"] for r in found if r["v"] != "["], [r["file"] for r in found if r["v"] == "["]
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, or files that are one array document each.
-
-    The first visible character tells which. One pass over the files finds the
-    fields that are really there, so extra ones are kept and filters on absent
-    ones can be skipped; values are read as text. Malformed input fails the
-    read instead of becoming null rows."""
-    first = spark.read.text(path).select(F.ltrim(F.col("value")).alias("v")).where("v != ''").first()
-    document = first is not None and first["v"].startswith("[")
-    found = spark.read.option("primitivesAsString", True).option("multiLine", document).json(path).schema
-    if "_corrupt_record" in found.names:
-        raise ValueError(f"{path} has malformed JSON records")
-    return spark.read.schema(found).option("multiLine", document).option("mode", "FAILFAST").json(path)
+    """JSON lines, or files that are one array document each, also side by side.
+
+    The first visible character of a file tells which it is. One pass over the
+    files finds the fields that are really there, so extra ones are kept and
+    filters on absent ones can be skipped; values are read as text. Malformed
+    input fails the read instead of becoming null rows."""
+    lines, documents = _json_files(spark, path)
+    if not (lines and documents):
+        kinds = [(path, bool(documents))]
+    else:  # file names are URIs, and reader paths are patterns
+        kinds = [([re.sub(r"([\\*?{}\[\]])", r"\\\1", unquote(f)) for f in files], document)
+                 for files, document in ((lines, False), (documents, True))]
+
+    def reader(document: bool) -> DataFrameReader:
+        r = spark.read.option("multiLine", document)
+        folder = len(kinds) > 1 and not re.search(r"[*?{}\[\]]", path)
+        return r.option("basePath", path) if folder else r
+
+    types: dict[str, T.DataType] = {}
+    for files, document in kinds:
+        found = reader(document).option("primitivesAsString", True).json(files).schema
+        if "_corrupt_record" in found.names:
+            raise ValueError(f"{path} has malformed JSON records")
+        for f in found.fields:  # a field of two shapes is text, as within one file
+            types[f.name] = f.dataType if types.get(f.name, f.dataType) == f.dataType else T.StringType()
+    schema = T.StructType([T.StructField(name, kind) for name, kind in types.items()])
+    return reduce(DataFrame.unionByName, [reader(document).schema(schema).option("mode", "FAILFAST").json(files) for files, document in kinds])
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet",

@@ -57,6 +57,31 @@ def test_csv_files_must_agree_on_their_header(spark):
         read_exported_csv(spark, folder).collect()
 
 
+def test_json_lines_beside_array_documents(spark, tmp_path):
+    """Each file is read as what it is, also where the kinds have other fields."""
+    folder = tmp_path / "mixed files"
+    folder.mkdir()
+    array = [{"date": "2025-01-02", "amount": str(i), "account": "a", "extra": {"x": str(i)}} for i in range(7)]
+    lines = [{"date": "2025-01-03", "amount": str(10 + i), "notes": "n", "extra": "text"} for i in range(3)]
+    (folder / "b 1.json").write_text("\n\t " + json.dumps(array, indent=1))
+    (folder / "c.json").write_text(json.dumps(array[:2]))
+    (folder / "d.json").write_text(" \n")
+    for name in ("a%20.json", "z.json"):
+        (folder / name).write_text("".join(json.dumps(r) + "\n" for r in lines))
+    found = read_transactions(spark, str(folder), "json").collect()
+    assert sorted(int(r["amount"]) for r in found) == sorted([*range(7), 0, 1, *[10, 11, 12] * 2])
+    assert {(r["account"], r["notes"]) for r in found} == {("a", None), (None, "n")}
+    assert sorted(json.loads(r["extra"])["x"] for r in found if r["extra"] != "text") == sorted([*"0123456", "0", "1"])
+
+
+def test_json_mixed_partition_folders(spark, tmp_path):
+    for name, text in (("year=2024", '[{"amount": "1"}, {"amount": "2"}]'), ("year=2025", '{"amount": "3"}\n{"amount": "4"}\n')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.json").write_text(text)
+    found = read_transactions(spark, str(tmp_path), "json").collect()
+    assert sorted((int(r["amount"]), r["year"]) for r in found) == [(1, 2024), (2, 2024), (3, 2025), (4, 2025)]
+
+
 def test_whole_ledger_in_array_documents(spark, duck, sf_dir):
     """Against the SQL of ingest_normalize, which has the same rows; documents are bounded, a file each."""
     assert rows_of(_array_ledger(spark, sf_dir)) == rows_of_sql(duck, oracle.build()["ingest_normalize"])[0]
