@@ -53,6 +53,19 @@ def _nearest(x: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, k), int)
 
 
+def _within(x: np.ndarray, q: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """For each row of q, places of all rows of x that may be among the k nearest
+    or tie with them: distances from products are rounded, so every row counts
+    whose distance can, within the error bound, be as small as the k-th."""
+    norm, own = (x * x).sum(axis=1), (q * q).sum(axis=1)
+    d = norm - 2 * q @ x.T
+    error = 4 * (x.shape[1] + 8) * np.finfo(float).eps * (np.sqrt(norm) + np.sqrt(own)[:, None]) ** 2
+    k = min(k, len(x))
+    most = np.partition(d + error, k - 1, axis=1)[:, k - 1:k]
+    for near in ~(d - error > most):
+        yield np.flatnonzero(near)
+
+
 def balanced_parts(near: np.ndarray, parts: int, slack: float = 0.1, rounds: int = 8) -> np.ndarray:
     """Part of each vertex of a neighbour graph; ``near`` lists neighbours."""
     n, k = near.shape
@@ -178,12 +191,13 @@ def _search(k: int):
         if entries.num_rows and queries.num_rows:
             x, ids = _matrix(entries["v"]), entries["ids"].to_pylist()
             q, names = _matrix(queries["v"]), queries["query_id"].to_pylist()
-            keep = min(len(x), k + 9)  # distances from products are rounded; a few more are measured exactly
-            for lo in range(0, len(q), 256):
-                near = _nearest(x, q[lo:lo + 256], keep)
-                for row, places in enumerate(near, lo):
+            head = np.array([i[0] for i in ids])
+            for lo in range(0, len(q), 128):
+                for row, places in enumerate(_within(x, q[lo:lo + 128], k + 1), lo):
                     exact = np.sqrt(((x[places] - q[row]) ** 2).sum(axis=1))
-                    found = sorted((float(d), i) for d, p in zip(exact, places) for i in ids[p] if i != names[row])[:k]
+                    # the k + 1 first entries by distance and smallest id hold the k first ids besides the query's own
+                    first = np.lexsort((head[places], exact))[:k + 1]
+                    found = sorted((float(exact[f]), i) for f in first for i in ids[places[f]] if i != names[row])[:k]
                     out_q += [names[row]] * len(found)
                     out_v += [i for _, i in found]
                     out_d += [d for d, _ in found]

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -60,6 +62,17 @@ def test_many_copies(spark):
     assert recall(got, want) >= 0.9
 
 
+def test_ties_between_different_vectors(spark):
+    """Many different vectors tie around the k-th distance; the smallest ids count."""
+    rng = np.random.default_rng(0)
+    grid = [v for v in itertools.product(range(4), repeat=5) if any(v)]
+    for vectors in (np.eye(300), np.array(grid)):
+        ids = rng.permutation(len(vectors))
+        rows = [(int(i), v.tolist()) for i, v in zip(ids, vectors.astype(float))]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert answers(m.nearest_neighbours(df, F.col("vec_id") % 100 == 0)) == brute(rows)
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((8, 16)).repeat(100, axis=0) * 4 + rng.standard_normal((800, 16))
