@@ -4,8 +4,9 @@
 (character map, white-space rules, dummy prefix, U+2581 marker), the piece model
 (unigram scores, or for a BPE model the merges that its piece scores stand for)
 with byte fallback, and the decoder.  Every distinct segment that a worker meets is
-encoded by both libraries; where they differ the ids of the sentencepiece
-library are kept and the row says so (``parity`` false).
+encoded by both libraries, and the ids are those of the tokenizers library;
+where they differ the ids of the sentencepiece library are kept and the row says
+so (``parity`` false).
 
 Defined results: null text counts as empty and gives no ids; repeated rows give
 repeated rows; null ids stay null; other columns are ignored.
@@ -133,11 +134,14 @@ class Backend:
         """Ids by the sentencepiece library."""
         return self.reference.encode(texts, num_threads=1)
 
-    def _marks(self, texts: list[str], ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Marks of each text: whether both libraries agree, and whether the ids decode to it."""
-        same = np.fromiter((a == b for a, b in zip(self.encode(texts), ids)), bool, len(texts))
+    def both(self, texts: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        """Ids of each text, whether both libraries agree on them (else they are
+        the sentencepiece library's), and whether they decode to the text."""
+        ids, expected = self.encode(texts), self.expected(texts)
+        same = np.fromiter((a == b for a, b in zip(ids, expected)), bool, len(texts))
+        ids = [a if s else b for a, b, s in zip(ids, expected, same)]
         back = np.fromiter((a == b for a, b in zip(self.decode(ids), texts)), bool, len(texts))
-        return same, back
+        return ids, same, back
 
     def code(self, segments: pa.Array) -> Coded:
         """Ids and marks of segments, each with its first space.  Segments that
@@ -151,15 +155,14 @@ class Backend:
         apart = (data[off[1:] - 1] == 0x20) | (marker[off[1:]] != marker[off[:-1]])
         order, alone, groups, counts = strung(segments, apart, 128)
         texts = [t[1:] for t in alone + groups]  # the tokenizers put the first marker there themselves
-        ids = self.expected(texts)
-        same, back = self._marks(texts, ids)
+        ids, same, back = self.both(texts)
         each = np.repeat(np.arange(len(texts)), [1] * len(alone) + counts)
         flags = np.column_stack([same[each], back[each]])
         for g in np.flatnonzero(~(same & back)):
             if g >= len(alone):
                 parts = np.flatnonzero(each == g)
                 single = [t[1:] for t in segments.take(pa.array(order[parts])).to_pylist()]
-                flags[parts] = np.column_stack(self._marks(single, self.expected(single)))
+                flags[parts] = np.column_stack(self.both(single)[1:])
         flat = np.concatenate([np.zeros(0, np.uint32), *[np.asarray(x, np.uint32) for x in ids]])
         heads = np.cumsum([len(x) for x in ids[:len(alone)]], dtype=np.int64)
         done = int(heads[-1]) if len(heads) else 0
@@ -183,8 +186,7 @@ class Backend:
             good = bad[found.bounds[1:]] == bad[found.bounds[:-1]]
             return tokens, good[:, 0], good[:, 1]
         texts = text.to_pylist()
-        ids = self.expected(texts)
-        same, back = self._marks(texts, ids)
+        ids, same, back = self.both(texts)
         bounds = np.append(0, np.cumsum([len(x) for x in ids], dtype=np.int64))
         return Tokens(np.concatenate([np.zeros(0, np.uint32), *[np.asarray(x, np.uint32) for x in ids]]), bounds), same, back
 

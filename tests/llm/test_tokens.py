@@ -95,6 +95,24 @@ def test_backend_unigram(tmp_path, strip):
         assert model.encode([text]) == model.expected([text]), text
 
 
+def test_ids_are_the_backends(tmp_path, monkeypatch):
+    """Ids come from the rebuilt backend, and from sentencepiece where the two differ."""
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(f"<0x{b:02X}>", 0, 6) for b in range(256)]
+    pieces += [("▁", -3.0, 1), ("a", -4.0, 1), ("b", -4.5, 1), ("ab", -5.5, 1)]
+    model = Backend(handmade(tmp_path / "m.model", pieces, add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=False))
+    texts, encode, made = ["ab a", "b", "a"], model.encode, []
+
+    def spied(x):
+        made.extend(encode(x))
+        made[1] = made[1] + [0]
+        return made
+
+    monkeypatch.setattr(model, "encode", spied)
+    ids, same, back = model.both(texts)
+    assert same.tolist() == [True, False, True] and back.all()
+    assert ids[0] is made[0] and ids[2] is made[2] and ids == model.expected(texts)
+
+
 def test_sentencepiece_query(spark, sf_dir, documents, pieces):
     got = {r["doc_id"]: r for r in q.op9_sentencepiece_backend(spark, sf_dir).collect()}
     for r in documents.collect():
