@@ -83,3 +83,15 @@ def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tally.llm.learned_partitions import nearest_neighbours
 
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op11_fm_index_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tally.llm.spelling import variant_groups
+
+    return variant_groups(_table(spark, sf_dir, "documents"), least=6, times=5, factor=5, every=199)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tally.llm.periodic_runs import find_runs, planted, run_digests
+
+    return run_digests(find_runs(_table(spark, sf_dir, "documents"), shortest=12, repeat=planted))

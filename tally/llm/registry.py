@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q.op8_token_files,
         q.op9_sentencepiece_backend,
         q.op10_kneser_ney_language,
+        q.op11_fm_index_spelling,
+        q.op12_periodic_runs,
     )
 }
 
