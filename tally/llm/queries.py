@@ -95,3 +95,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tally.llm.periodic_runs import find_runs, planted, run_digests
 
     return run_digests(find_runs(_table(spark, sf_dir, "documents"), shortest=12, repeat=planted))
+
+
+def op13_clause_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tally.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)

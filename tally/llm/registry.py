@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q.op10_kneser_ney_language,
         q.op11_fm_index_spelling,
         q.op12_periodic_runs,
+        q.op13_clause_grammar_toxicity,
     )
 }
 
