@@ -19,7 +19,6 @@ merchant/description are case-insensitive *literal* substrings.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
@@ -29,6 +28,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tally.functions.patterns import java_pattern
 
 # Columns that only the stored table has (tally.sources.store): its partition
 # column and lower-cased text, so that these filters reach the scan.
@@ -67,41 +67,22 @@ def _lower_list(values: Iterable[str]) -> list[str]:
     return sorted({v.lower() for v in values})
 
 
-# Python-only regex syntax and its Java spelling.
-PY_TO_JAVA_REGEX = [
-    (r"\(\?P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>"),   # named group
-    (r"\(\?P=([A-Za-z][A-Za-z0-9]*)\)", r"\\k<\1>"),  # named back-reference
-    (r"(?<!\\)\\Z", r"\\z"),                       # end of input
-]
-
-
-def java_regex(pattern: str) -> str:
-    """Patterns are written (and checked) in Python's dialect; Spark runs
-    Java's. Rewrite the Python-only constructs; the rest is common syntax."""
-    for pat, rep in PY_TO_JAVA_REGEX:
-        pattern = re.sub(pat, rep, pattern)
-    return pattern
-
-
 def regex_search(c: Column, pattern: str) -> Column:
-    """Case-insensitive regex search; null text → false."""
-    return F.coalesce(c.rlike(f"(?iu)(?:{java_regex(pattern)})"), F.lit(False))
+    """Case-insensitive search as Python's ``re`` does it; null text → false."""
+    return F.coalesce(c.rlike(java_pattern(pattern)), F.lit(False))
 
 
 def check_pattern(pattern: str) -> str:
     """Compile on the driver so a bad pattern fails before any job starts."""
-    try:
-        re.compile(pattern)
-    except re.error as e:
-        raise ValueError(f"invalid pattern {pattern!r}: {e}") from e
+    java_pattern(pattern)
     return pattern
 
 
 def check_java_pattern(spark, pattern: str) -> None:
-    """Compile with the JVM's own classes too: some patterns are valid in one
-    dialect only, and tasks would fail on those."""
+    """Compile with the JVM's own classes too, so that what Java cannot run (such
+    as a lookbehind without a bound) fails before any job as well."""
     try:
-        spark._jvm.java.util.regex.Pattern.compile(f"(?iu)(?:{java_regex(pattern)})")
+        spark._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
     except IllegalArgumentException as e:
         raise ValueError(f"invalid pattern {pattern!r}: {e}") from e
 
@@ -126,7 +107,9 @@ class ReportFilter:
             check_pattern(p)
 
     def patterns(self) -> list[str]:
-        return [*(self.merchants or []), *(self.exclude_merchants or []),
+        """Every pattern, and those of a list also joined, as they are searched for."""
+        lists = [m for m in (self.merchants, self.exclude_merchants) if m]
+        return [*(p for m in lists for p in (*m, "|".join(m))),
                 *(p for p in (self.description_contains, self.notes_contains) if p)]
 
     def predicates(self, columns: Iterable[str]) -> list[Column]:

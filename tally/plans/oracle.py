@@ -375,7 +375,12 @@ FROM {over(pnl_totals_sql(P.PNL_FILTER))}"""
         "SUM(amount * amount) AS sq", f"SUM({unit} * {unit}) AS usq, SUM({unit}) AS us")
     sql["csv_difficult_text"] = sql["json_difficult_text"] = with_ledger(
         f"SELECT {ROW_COLS.replace('description', DIFFICULT + ' AS description')} FROM ledger")
-    sql["json_array_ingest"] = with_ledger(f"SELECT {ROW_COLS} FROM ledger WHERE account = {q(P.ACCOUNT_ID)}")
+    sql["json_array_ingest"] = rows
+    for name, pattern in P.ACCENT_SQL.items():
+        accented = f"translate(description, {q(P.ACCENTS[0])}, {q(P.ACCENTS[1])})"
+        sql[name] = with_ledger(f"""
+SELECT {ROW_COLS} FROM (SELECT * REPLACE ({accented} AS description) FROM ledger)
+WHERE COALESCE(regexp_matches(description, {q(pattern)}), false)""")
     sql["report_json_document"] = f"""
 SELECT 'Cash Flow' AS report_type, 'quarterly' AS grouping, t.period AS whole_period,
        t.total_inflow, t.total_outflow, t.net_cash_flow, p.*

@@ -36,6 +36,18 @@ FILTERS = {
                                     notes_contains="^[1-4]-"),
 }
 
+#: Letters of descriptions and what they become, and filters in Python's pattern
+#: dialect on the result, each with the same search in the oracle's dialect.
+ACCENTS = ("aeou", "áéöü")
+ACCENT_FILTERS = {
+    "filter_description_accents": ReportFilter(description_contains=r"\b\wÉ\w\b|(?P<my_x>l){2,} \w+t$"),
+    "filter_description_not_word": ReportFilter(description_contains=r"^\w{,4}\W(?:[[&&é-ü]|g)"),
+}
+ACCENT_SQL = {
+    "filter_description_accents": r"(?i)(?:^|[^\p{L}\p{N}_])[\p{L}\p{N}_]é[\p{L}\p{N}_](?:$|[^\p{L}\p{N}_])|ll+ [\p{L}\p{N}_]+t$",
+    "filter_description_not_word": r"(?i)^[\p{L}\p{N}_]{0,4}[^\p{L}\p{N}_](?:[\[&é-ü]|g)",
+}
+
 TXN_FILTERS = {
     "txn_filter_amount": TxnFilter(min_amount=-1000, max_amount=50000),
     "txn_filter_category": TxnFilter(category="promo"),

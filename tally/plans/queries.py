@@ -191,11 +191,13 @@ def _difficult_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _array_documents(d: DataFrame) -> DataFrame:
-    """Rows as pretty-printed array documents of at most 2,048 rows, all of a
-    document from one task, so no key makes a document or a task larger."""
+    """Rows as pretty-printed array documents, one for 256 order keys and a block of
+    512 line numbers; what a document holds depends on its rows only, so a task
+    that runs again writes the same one. The fixture has a row for each line number
+    of an order, so that bounds a document."""
     rows = d.select(*ROW_COLS).withColumn("date", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss"))
-    return rows.withColumn("_doc", F.shiftright(F.monotonically_increasing_id(), 11)).groupBy("_doc") \
-        .agg(F.to_json(F.collect_list(F.struct(*ROW_COLS)), {"pretty": "true"}).alias("value")).select("value")
+    doc = [F.shiftright("l_orderkey", 8).alias("_doc"), F.shiftright("l_linenumber", 9).alias("_lines")]
+    return rows.groupBy(*doc).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*ROW_COLS))), {"pretty": "true"}).alias("value")).select("value")
 
 
 def _array_ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,9 +207,9 @@ def _array_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return _typed_keys(read_json(spark, path))
 
 
-def _json_array(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of one account, as its SQL has it, of the whole ledger read from array documents."""
-    return by_account(_array_ledger(spark, sf), P.ACCOUNT_ID)
+def _accented(d: DataFrame) -> DataFrame:
+    """Ledger rows whose descriptions have accents on some letters."""
+    return d.withColumn("description", F.translate("description", *P.ACCENTS))
 
 
 def _from_document(doc: DataFrame) -> DataFrame:
@@ -274,7 +276,9 @@ def _more(q: dict) -> None:
     q["report_json_document"] = _on_ledger(lambda d: _from_document(cash_flow_document(d, grouping="quarterly")))
     q["csv_difficult_text"] = _difficult_csv
     q["json_difficult_text"] = _difficult_json
-    q["json_array_ingest"] = _json_array
+    q["json_array_ingest"] = _array_ledger
+    for name, f in P.ACCENT_FILTERS.items():
+        q[name] = _on_ledger(lambda d, f=f: rows_out(f.apply(_accented(d))))
     q["spec_last_days_pnl"] = _on_ledger(lambda d: ReportSpec(
         "profit_loss", last_days=P.LAST_DAYS, as_of=P.AS_OF).run(_with_times(d)).header)
     q["txn_request_summary"] = _on_ledger(lambda d: Reports(d).summary(P.EXPENSES_ONLY, rows=P.REQUEST_ROWS).header)

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tally.schema import DATE_FIELDS, TEXT_FIELDS, TXN_SCHEMA
+from tally.session import scratch_dir
+from tally.sources.json_ranges import array_lines
 
 # Column metadata key marking a field that normalize() added because the
 # source lacked it; filters on such a field are skipped, as for a missing column.
@@ -124,31 +126,36 @@ def _json_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines, or files that are one array document each, also side by side.
 
-    The first visible character of a file tells which it is. One pass over the
+    The first visible character of a file tells which it is. Array documents are
+    cut into lines first, in byte ranges (``json_ranges``). One pass over the
     files finds the fields that are really there, so extra ones are kept and
     filters on absent ones can be skipped; values are read as text. Malformed
     input fails the read instead of becoming null rows."""
     lines, documents = _json_files(spark, path)
-    if not (lines and documents):
-        kinds = [(path, bool(documents))]
-    else:  # file names are URIs, and reader paths are patterns
-        kinds = [([re.sub(r"([\\*?{}\[\]])", r"\\\1", unquote(f)) for f in files], document)
-                 for files, document in ((lines, False), (documents, True))]
+    several = bool(lines and documents)
 
-    def reader(document: bool) -> DataFrameReader:
-        r = spark.read.option("multiLine", document)
-        folder = len(kinds) > 1 and not re.search(r"[*?{}\[\]]", path)
-        return r.option("basePath", path) if folder else r
+    def quoted(files: list[str]) -> list[str]:  # file names are URIs, and reader paths are patterns
+        return [re.sub(r"([\\*?{}\[\]])", r"\\\1", unquote(f)) for f in files]
+
+    def reader() -> DataFrameReader:
+        folder = several and not re.search(r"[*?{}\[\]]", path)
+        return spark.read.option("basePath", path) if folder else spark.read
+
+    sources = [(reader, quoted(lines) if several else path)] if lines or not documents else []
+    if documents:
+        found = array_lines(spark, reader, quoted(documents) if several else path, scratch_dir(spark, "json-lines"))
+        sources += [(lambda: spark.read, found)] if found else []
 
     types: dict[str, T.DataType] = {}
-    for files, document in kinds:
-        found = reader(document).option("primitivesAsString", True).json(files).schema
+    for read, files in sources:
+        found = read().option("primitivesAsString", True).json(files).schema
         if "_corrupt_record" in found.names:
             raise ValueError(f"{path} has malformed JSON records")
         for f in found.fields:  # a field of two shapes is text, as within one file
             types[f.name] = f.dataType if types.get(f.name, f.dataType) == f.dataType else T.StringType()
     schema = T.StructType([T.StructField(name, kind) for name, kind in types.items()])
-    return reduce(DataFrame.unionByName, [reader(document).schema(schema).option("mode", "FAILFAST").json(files) for files, document in kinds])
+    frames = [read().schema(schema).option("mode", "FAILFAST").json(files) for read, files in sources]
+    return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], schema)
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet",

@@ -176,9 +176,8 @@ def test_document_refuses_unbounded_lists(spark, sf_dir, monkeypatch):
         report_json(merchant_analysis(ledger(spark, sf_dir), top_n=None))
 
 
-def test_java_only_pattern_errors_come_early(spark):
-    with pytest.raises(ValueError, match="invalid pattern"):
-        ReportFilter(merchants=["[[]"]).apply(table(spark, ["x"]))
+def test_python_only_classes_work(spark):
+    assert ReportFilter(merchants=["[[]"]).apply(table(spark, ["x"])).count() == 0
 
 
 def test_cli_actions(spark, sf_dir):
