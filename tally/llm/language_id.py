@@ -69,9 +69,9 @@ class Runs:
 
 
 def runs(text: pa.Array) -> Runs:
-    flat = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(text.cast(pa.string()), "")), r"[^\p{L}\p{M}]+", " ")
-    flat = pc.utf8_trim(flat, " ")
-    some = pc.not_equal(flat, "")
+    low = pc.utf8_lower(pc.fill_null(text.cast(pa.string()), ""))
+    flat = pc.utf8_trim(pc.replace_substring_regex(low, r"[^\p{L}\p{M}]+", " "), " ")
+    some = pc.match_substring_regex(low, r"\p{L}")  # marks alone are no letters
     padded = pc.if_else(some, pc.binary_join_element_wise(" " * (ORDER - 1), flat, " ", ""), "")
     data, _ = utf8_buffer(padded)
     codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)

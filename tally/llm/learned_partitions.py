@@ -23,6 +23,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from tally.llm.common import pick
 from tally.session import ensure_checkpoint_dir
 
 SAMPLE = 8192
-ROWS_PER_PART, MAX_PARTS = 2048, 256
+MAX_PARTS = 256
 NEIGHBOURS = 10
 HIDDEN, EPOCHS = 96, 40
 #: Share of true neighbours in the sample that the probed parts must hold.
@@ -207,10 +208,11 @@ def _search(k: int):
 
 
 def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
-                       vector_col: str = "embedding") -> DataFrame:
+                       vector_col: str = "embedding", parts: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows where ``queries``, a
     condition on ``vec_id``, holds: the ``k`` nearest rows found, by Euclidean
-    distance, then by id."""
+    distance, then by id.  ``parts`` is a power of two, by default from the root of
+    the number of different vectors; one part is an exact search."""
     spark = vectors.sparkSession
     ensure_checkpoint_dir(spark)
     src = pick(vectors, vec_id=id_col, v=vector_col)
@@ -232,8 +234,9 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col:
         lengths = np.array([len(entries.first()["v"])])
     size = int(np.bincount(lengths).argmax())
     x = _matrix(taken.filter(pa.array(lengths == size))) if len(taken) else np.zeros((0, size))
-    parts = 1 << max(0, min(n // ROWS_PER_PART, MAX_PARTS, len(x) // 32).bit_length())
-    parts = min(parts, MAX_PARTS) if len(x) >= 64 else 1
+    if parts is None:  # a quarter to a half of the root of the entries
+        parts = 1 << max(0, isqrt(n).bit_length() - 2)
+    parts = min(parts, MAX_PARTS, 1 << max(0, (len(x) // 16).bit_length() - 1)) if len(x) >= 64 else 1
     router, level = fit(x, parts, k) if parts > 1 else (None, 2.0)
     model = spark.sparkContext.broadcast((router, level))
 

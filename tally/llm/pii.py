@@ -154,7 +154,7 @@ def _shape(kind: str, value: Column) -> Column:
 def _listed(kind: str, value: Column) -> Column:
     """Gazetteer labeler (null: it has no say)."""
     if kind == "email":
-        return F.lower(F.regexp_extract(value, "([A-Za-z0-9-]+)$", 1)).isin(*TOP_LEVEL)
+        return F.when(F.lower(F.regexp_extract(value, "([A-Za-z0-9-]+)$", 1)).isin(*TOP_LEVEL), F.lit(True))
     if kind == "ip":
         return F.when(value.rlike(":"), F.lit(None).cast("boolean")).otherwise(~value.rlike(r"^(?:0|255)\."))
     if kind == "card":
@@ -287,6 +287,18 @@ def _score(c: Column, weights: dict[str, float]) -> Column:
         F.try_element_at(table, F.concat_ws("|", c["kind"], f)), F.lit(0.0)))
 
 
+SPANS = "array<struct<start:int,order:int,end:int,kind:string,base:boolean>>"
+#: More than any text's code points.
+_FAR = 1 << 32
+_BOM = bytearray(b"\x00\x00\xfe\xff")
+
+
+def _running(values: Column, better) -> Column:
+    """Best of each value and those before it, by doubling: O(n log n)."""
+    return let(values, lambda v: F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(v) + 1)).cast("int")), v, lambda a, j: F.transform(
+        a, lambda x, i: better(x, F.coalesce(F.get(a, i - F.pow(F.lit(2), j).cast("int")), x)))))
+
+
 def spans(cands: Column, weights: dict[str, float]) -> Column:
     """Base spans and the accepted others that no base span of their kind
     touches, by start, then kind: ``start, order, end, kind, base``."""
@@ -294,17 +306,40 @@ def spans(cands: Column, weights: dict[str, float]) -> Column:
     def plain(c: Column) -> Column:
         return F.struct(c["start"].alias("start"), c["order"].alias("order"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base"))
 
-    def of(all_: Column) -> Column:
-        base = F.filter(all_, lambda c: c["base"])
-        more = F.filter(all_, lambda c: ~c["base"] & (_vote(c["votes"], CHECK) == "1") & (_score(c, weights) > 0) & ~F.exists(
-            base, lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"])))
-        def free(m: Column) -> Column:  # of touching accepted spans of a kind the longest stays, then the first
-            return F.filter(m, lambda c: ~F.exists(m, lambda o: (o["kind"] == c["kind"]) & (o["start"] < c["end"]) & (c["start"] < o["end"]) & (
-                (o["end"] - o["start"] > c["end"] - c["start"]) | ((o["end"] - o["start"] == c["end"] - c["start"]) & (o["start"] < c["start"])))))
+    def struct(c: Column) -> Column:
+        return F.struct(*[c[f].alias(f) for f in ("order", "start", "end", "kind", "base")])
+
+    def alone(a: Column, others) -> Column:
+        """Per span, whether no span of its kind that ``others`` holds for overlaps it."""
+        ends = _running(F.transform(a, lambda x: x["order"] * _FAR + F.when(others(x), x["end"]).otherwise(0)), F.greatest)
+        starts = F.reverse(_running(F.reverse(F.transform(a, lambda x: x["order"] * _FAR + F.when(others(x), x["start"]).otherwise(_FAR - 1))), F.least))
+        return F.arrays_zip(ends.alias("ends"), starts.alias("starts"))
+
+    def clear(a: Column) -> Column:  # no base span of its kind touches it
+        return let(alone(a, lambda x: x["base"]), lambda at: F.filter(a, lambda x, i: x["base"] | ~(
+            (F.get(at, i)["ends"] > x["order"] * _FAR + x["start"]) | (F.get(at, i)["starts"] < x["order"] * _FAR + x["end"]))))
 
-        return F.sort_array(F.array_distinct(F.transform(F.concat(base, let(more, free)), plain)))
+    def free(m: Column) -> Column:  # of touching accepted spans of a kind the longest stays, then the first
+        def touching(at: Column, x: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(at, i - 1)["ends"], F.lit(0)) > x["order"] * _FAR + x["start"]
+            return before | (F.coalesce(F.get(at, i + 1)["starts"], F.lit(_FAR << 20)) < x["order"] * _FAR + x["end"])
 
-    return let(cands, of)
+        def beaten(c: Column, o: Column) -> Column:
+            size, other = c["end"] - c["start"], o["end"] - o["start"]
+            return (o["kind"] == c["kind"]) & (o["start"] < c["end"]) & (c["start"] < o["end"]) & (
+                (other > size) | ((other == size) & (o["start"] < c["start"])))
+
+        return let(alone(m, lambda x: F.lit(True)), lambda at: let(F.filter(m, lambda x, i: touching(at, x, i)), lambda few: F.filter(
+            m, lambda x, i: ~touching(at, x, i) | ~F.exists(few, lambda o: beaten(x, o)))))
+
+    def of(all_: Column) -> Column:
+        picked = F.filter(all_, lambda c: c["base"] | ((_vote(c["votes"], CHECK) == "1") & (_score(c, weights) > 0)))
+        ordered = let(F.sort_array(F.transform(picked, struct)), lambda a: F.filter(
+            a, lambda x, i: ~F.coalesce(x == F.get(a, i - 1), F.lit(False))))
+        kept = let(let(ordered, clear), lambda a: F.concat(F.filter(a, lambda x: x["base"]), let(F.filter(a, lambda x: ~x["base"]), free)))
+        return F.sort_array(F.transform(kept, plain))
+
+    return F.when(F.size(cands) > 0, let(cands, of)).otherwise(F.array().cast(SPANS))
 
 
 def _listing(found: Column) -> Column:
@@ -334,21 +369,19 @@ def redacted(text: Column, found: Column) -> Column:
     """The text with each run of touching spans replaced by ``[KIND]`` of its
     first span."""
 
-    def merge(a: Column, s: Column) -> Column:
-        last = F.element_at(a, -1)
-        return F.when((F.size(a) > 0) & (F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(-1)) > s["start"]), F.concat(
-            F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))),
-            F.transform(F.slice(a, F.greatest(F.size(a), F.lit(1)), F.lit(1)), lambda x: F.struct(
-                x["start"].alias("start"), F.greatest(x["end"], s["end"]).alias("end"), x["kind"].alias("kind"))))) \
-            .otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-
-    runs = F.aggregate(found, F.array().cast("array<struct<start:int,end:int,kind:string>>"), merge)
-    out = let(runs, lambda r: F.concat(
-        F.array_join(F.transform(r, lambda s, i: F.concat(
-            F.substring(text, F.coalesce(F.get(r, i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get(r, i - 1)["end"], F.lit(0))),
-            F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))), ""),
-        F.substring(text, F.coalesce(F.get(r, F.size(r) - 1)["end"], F.lit(0)) + 1, F.length(text))))
-    return F.when(F.size(found) > 0, out).otherwise(text)
+    def of(ends: Column) -> Column:
+        heads = F.filter(F.transform(found, lambda s, i: F.struct(
+            s["start"].alias("start"), F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("before"), s["kind"].alias("kind"))), lambda h: h["start"] >= h["before"])
+        # four bytes a character, so that a piece costs its own length only
+        return let(F.encode(text, "UTF-32"), lambda b: F.concat(
+            F.array_join(F.transform(heads, lambda h: F.concat(_piece(b, h["before"], h["start"]), F.lit("["), F.upper(h["kind"]), F.lit("]"))), ""),
+            _piece(b, F.get(ends, F.size(ends) - 1), F.length(b) / 4)))
+
+    def _piece(b: Column, start: Column, end: Column) -> Column:  # behind a mark, so that one in the text is kept
+        size = (4 * (end - start)).cast("int")
+        return F.when(size > 0, F.decode(F.concat(F.lit(_BOM), F.substring(b, 4 * start + 1, size)), "UTF-32")).otherwise("")
+
+    return F.when(F.size(found) > 0, let(_running(F.transform(found, lambda s: s["end"]), F.greatest), of)).otherwise(text)
 
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:

@@ -52,7 +52,7 @@ def op3_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tally.llm.license_rules import license_scan
 
-    return license_scan(_table(spark, sf_dir, "documents")).drop("detections")
+    return license_scan(_table(spark, sf_dir, "documents"), with_detections=False).drop("detections")
 
 
 def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,8 +52,9 @@ class Backend:
         spec = self.proto.normalizer_spec
         self.sizes = np.array([1 if t == BYTE else len(p.replace(SPACE, " ").encode()) for p, _, t in self.pieces], np.int64)
         self.memo = Memo(self.code, marks=2)
-        #: Texts may be cut at spaces: no rule looks across one, no piece joins one.
-        self.cuts = (spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces
+        #: Texts may be cut at spaces: no rule looks across one, no piece joins one, and
+        #: every id stands for a known number of bytes (an unknown piece would not).
+        self.cuts = (self.proto.trainer_spec.byte_fallback and spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces
                      and not spec.precompiled_charsmap
                      and not any(SPACE in p.lstrip(SPACE) or " " in p for p, _, t in self.pieces if t in (NORMAL, USER)))
 

@@ -82,6 +82,11 @@ def test_language_awkward(spark, awkward):
     assert {r["lang_pred"] for r in m.identify(unlabelled).collect()} == {"und"}
 
 
+def test_marks_alone_are_no_letters():
+    texts = pa.array(["\u0301", "1 \u0301\u0300 !", "e\u0301", "", None, "x"])
+    assert (m.runs(texts).counts > 0).tolist() == [False, False, True, False, False, True]
+
+
 def test_labels_are_no_inputs_of_a_prediction(spark, documents):
     """Held-out rows get the same predictions whatever their labels, source and id say."""
     a = {r["text"]: r["lang_pred"] for r in _held(m.identify(documents), documents)}

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tally.llm import learned_partitions as m
@@ -31,13 +32,7 @@ def recall(got, want):
     return np.mean([len({i for i, _ in got[k]} & {i for i, _ in v}) / len(v) for k, v in want.items()])
 
 
-def test_query_over_learned_parts(spark):
-    """check_s is large enough for several parts."""
-    folder = "/root/testdata/check_s"
-    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()]
-    got, want = answers(q.op2_learned_partitions(spark, folder)), brute(rows)
-    assert got.keys() == want.keys() and all(len(got[k]) == 10 for k in want)
-    assert recall(got, want) >= 0.9
+def check_distances(got, rows):
     x = dict(rows)
     for k, found in got.items():
         assert found == sorted(found, key=lambda f: (f[1], f[0])) and k not in {i for i, _ in found}
@@ -45,9 +40,48 @@ def test_query_over_learned_parts(spark):
             assert abs(d - np.sqrt(((np.array(x[k], float) - np.array(x[i], float)) ** 2).sum())) < 1e-12
 
 
+def counted(monkeypatch):
+    """Parts of each fit."""
+    parts, fit = [], m.fit
+    monkeypatch.setattr(m, "fit", lambda x, p, k: parts.append(p) or fit(x, p, k))
+    return parts
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_query_over_learned_parts(spark, monkeypatch, sf):
+    parts, folder = counted(monkeypatch), f"/root/testdata/{sf}"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    got, want = answers(q.op2_learned_partitions(spark, folder)), brute(rows)
+    assert parts and parts[0] >= 8
+    assert got.keys() == want.keys() and all(len(got[k]) == 10 for k in want)
+    assert recall(got, want) >= 0.9
+    check_distances(got, rows)
+
+
+def test_parts_of_vectors_in_clusters(spark, monkeypatch):
+    """Where vectors lie in clusters, few parts are searched."""
+    parts, probed, probes = counted(monkeypatch), [], m.probes
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 16)).repeat(100, axis=0) * 3 + rng.standard_normal((6000, 16)) * 0.5
+    rows = list(enumerate(x[rng.permutation(len(x))].tolist()))
+
+    def seen(p, level, sizes, least):
+        out = probes(p, level, sizes, least)
+        probed.append(sizes[out[1]].sum() / len(p) / max(1, sizes.sum()))
+        return out
+
+    monkeypatch.setattr(m, "probes", seen)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = answers(m.nearest_neighbours(df, F.col("vec_id") % 100 == 0)), brute(rows)
+    assert parts == [32] and probed[-1] < 0.5
+    assert got.keys() == want.keys() and recall(got, want) >= 0.9
+    check_distances(got, rows)
+
+
 def test_one_part_is_exact(spark, sf_dir):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
-    got, want = answers(q.op2_learned_partitions(spark, sf_dir)), brute(rows)
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    got, want = answers(m.nearest_neighbours(table, F.col("vec_id") % 100 == 0, parts=1)), brute(rows)
     assert {k: [i for i, _ in v] for k, v in got.items()} == {k: [i for i, _ in v] for k, v in want.items()}
 
 
@@ -70,7 +104,7 @@ def test_ties_between_different_vectors(spark):
         ids = rng.permutation(len(vectors))
         rows = [(int(i), v.tolist()) for i, v in zip(ids, vectors.astype(float))]
         df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-        assert answers(m.nearest_neighbours(df, F.col("vec_id") % 100 == 0)) == brute(rows)
+        assert answers(m.nearest_neighbours(df, F.col("vec_id") % 100 == 0, parts=1)) == brute(rows)
 
 
 def test_parts_are_balanced():

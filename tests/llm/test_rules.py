@@ -46,6 +46,97 @@ def test_license_suppression():
     assert (best[2].label, best[2].priority) == ("gpl", 40)
 
 
+def plain_detections(joined, use):
+    """Matches of all rules without the gate, and of them those in no stronger one."""
+    order = {rule: i for i, rule in enumerate(use.rules)}
+    found = [(m.start(), m.end(), r) for r in use.rules if r.keyword in joined for m in r.regex.finditer(joined)]
+
+    def stronger(d, e):
+        key = lambda x: (-x[2].priority, x[0] - x[1], order[x[2]])
+        return e[0] <= d[0] and d[1] <= e[1] and key(e) < key(d)
+
+    return sorted(d[:2] + (d[2].label,) for d in found if not any(stronger(d, e) for e in found))
+
+
+def test_detections_equal_all_pairs():
+    rng = random.Random(6)
+    bits = ["licensed under the", "gnu general public license", "version 3", "or later", "v2", "apache license", "apache", "mit license", "the", "spdx license identifier",
+            "mit", "bsd", "license", "released under", "mozilla public license", "2 0", "lesser", "gnu", "public domain", "cc by", "sa 4 0", "and", "word"]
+    for _ in range(150):
+        joined = " ".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))
+        kept = scanner().detect(joined)
+        assert sorted((a, b, r.label) for a, b, r in kept) == plain_detections(joined, scanner()), joined
+        row = scan(joined.encode(), scanner())
+        assert row[5].split(",") == sorted({x for x in [*row[4].split(","), *(r.label for _, _, r in kept)] if x}) or not row[5]
+        assert [(d["first"], d["last"], d["label"]) for d in row[7]] == [(joined[:a].count(" "), joined[:b].count(" "), r.label) for a, b, r in kept]
+        assert scan(joined.encode(), scanner(), False)[:7] == row[:7]
+
+
+def seconds(run, *args):
+    import time
+    best = 9e9
+    for _ in range(3):
+        t = time.perf_counter()
+        run(*args)
+        best = min(best, time.perf_counter() - t)
+    return best
+
+
+def test_scan_time_grows_with_the_text():
+    texts = [("licensed under the apache license version 2 0 é " * n).encode() for n in (4000, 16000)]
+    small, large = (seconds(scan, t, scanner()) for t in texts)
+    assert large < 6.5 * small
+
+
+def plain_spans(cands):
+    """Spans of (start, order, end, kind, base) candidates, pair by pair."""
+    base = {c for c in cands if c[4]}
+    touch = lambda a, b: a[3] == b[3] and a[0] < b[2] and b[0] < a[2]
+    more = {c for c in cands if not c[4] and not any(touch(c, b) for b in base)}
+    size = lambda c: c[2] - c[0]
+    free = {c for c in more if not any(touch(c, o) and (size(o) > size(c) or size(o) == size(c) and o[0] < c[0]) for o in more)}
+    return sorted(base | free)
+
+
+def test_spans_equal_all_pairs(spark):
+    rng, rows = random.Random(8), []
+    for i in range(300):
+        cands, at = [], 0
+        for _ in range(rng.randint(0, 12)):  # base spans of a kind do not overlap
+            at += rng.randint(0, 9)
+            order = rng.randrange(3)
+            cands.append((at, order, at + 4, pii.KINDS[order], True))
+            at += 4
+        for _ in range(rng.randint(0, 25)):
+            start, order = rng.randrange(100), rng.randrange(3)
+            cands.append((start, order, start + rng.randint(1, 12), pii.KINDS[order], False))
+        cands += [c for c in cands if rng.random() < 0.1]
+        rng.shuffle(cands)
+        text = "".join(rng.choice("ab é\U0001F600\ufeff") for _ in range(rng.randint(115, 150)))
+        rows.append((i, text, [(*c[:5], "1" * pii.LABELERS, []) for c in cands]))
+    kind = "array<struct<start:int,order:int,end:int,kind:string,base:boolean,votes:string,features:array<string>>>"
+    df = spark.createDataFrame(rows, f"i int, text string, cands {kind}")
+    weights = {k: 5.0 for k in pii.KINDS}
+    out = df.select("i", "text", "cands", pii.spans(F.col("cands"), weights).alias("s")).withColumn("r", pii.redacted(F.col("text"), F.col("s"))).collect()
+    for r in out:
+        want = plain_spans([tuple(c)[:5] for c in r["cands"]])
+        assert [tuple(x) for x in r["s"]] == want
+        assert r["r"] == brute.redact(r["text"], [(s, o, e, k) for s, o, e, k, _ in want])
+
+
+def test_many_spans_in_one_text(spark):
+    def took(n):
+        text = " ".join(f"write joe{i}@example.com now" for i in range(n))
+        found = spark.createDataFrame([(text,)], "text string").select("text", pii.candidates(F.col("text")).alias("c")).checkpoint()
+        out = found.select(pii.redacted(F.col("text"), pii.spans(F.col("c"), {})).alias("r"))
+        assert out.first()["r"] == " ".join(["write [EMAIL] now"] * n)
+        return seconds(out.collect)
+
+    took(1000)
+    small, large = took(8000), took(16000)
+    assert large < 3 and large < 2.3 * small + 0.5
+
+
 def test_license_query(spark, sf_dir, documents):
     text = {r["doc_id"]: r["text"] for r in documents.collect()}
     rows = q.op4_license_rules(spark, sf_dir).collect()

@@ -67,15 +67,15 @@ def test_backend_agrees_with_the_library(pieces):
         assert model.decode([pieces.encode(text)]) == [text.replace("▁", " ")]
 
 
-def handmade(path, pieces, **spec):
-    """A unigram model with given scores, written as a protobuf."""
+def handmade(path, pieces, kind=1, fallback=True, **spec):
+    """A model with given scores, unigram unless ``kind`` is 2, written as a protobuf."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
     for piece, score, kind in pieces:
         m.pieces.add(piece=piece, score=score, type=kind)
-    m.trainer_spec.model_type = 1
-    m.trainer_spec.byte_fallback = True
+    m.trainer_spec.model_type = kind
+    m.trainer_spec.byte_fallback = fallback
     m.normalizer_spec.name = "identity"
     for k, v in spec.items():
         setattr(m.normalizer_spec, k, v)
@@ -95,6 +95,19 @@ def test_backend_unigram(tmp_path, strip):
         assert model.encode([text]) == model.expected([text]), text
 
 
+@pytest.mark.parametrize("kind", [1, 2])
+def test_models_without_byte_fallback(spark, tmp_path, kind):
+    """Characters that no piece has become the unknown id, with parity."""
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("▁", -3.0, 1), ("a", -4.0, 1), ("b", -4.5, 1), ("ab", -2.5, 1), ("▁ab", -2.0, 1), ("▁a", -6.5, 1)]
+    path = handmade(tmp_path / "m.model", pieces, kind, False, add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=False)
+    reference = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["ab z a", "", "z", "abab a b  ab", "é\U0001F600 ab", None]
+    got = encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    for r in got:
+        assert r["ids"] == reference.encode(texts[r["doc_id"]] or ""), (r, texts[r["doc_id"]])
+        assert r["round_trip"] == (reference.unk_id() not in r["ids"])
+
+
 def test_ids_are_the_backends(tmp_path, monkeypatch):
     """Ids come from the rebuilt backend, and from sentencepiece where the two differ."""
     pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(f"<0x{b:02X}>", 0, 6) for b in range(256)]
