@@ -394,7 +394,7 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
     names = docs.columns
     flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     text = f"_c{names.index(text_col)}"
-    out = flat.withColumn("_spans", spans(candidates(F.col(text)), weights))
+    out = flat.withColumn("_cands", candidates(F.col(text))).withColumn("_spans", spans(F.col("_cands"), weights)).drop("_cands")
     if chars_col in names:
         chars = f"_c{names.index(chars_col)}"
         kind = out.schema[chars].dataType
