@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (BinaryType, BooleanType, DateType, NumericType, StringType, TimestampNTZType,
                                TimestampType)
 
+from tally.session import scratch_dir
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -37,6 +39,21 @@ def plain_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, plain)]
 
 
+def same(value: Column) -> Column:
+    """Text that is equal for two values of a column if they are, or if both are
+    null.  A join on it leaves rows dealt as a window over it needs them."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared scratch folder and read back,
+    so that later reads take only the columns they need.  Columns must be of
+    types that Parquet holds."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and use it in ``body``.
 

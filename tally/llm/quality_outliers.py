@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import WHITE, let, pick, words
+from tally.llm.common import WHITE, let, pick, words, written
 from tally.session import ensure_checkpoint_dir
 
 SYMBOLS = "#*$%&|<>"
@@ -243,15 +243,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The kept rows of ``docs`` with all their columns.  The counts are taken
-    again on the rows themselves, which costs less than to move the texts."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    src = pick(docs, text=text_col, lang=lang_col, source=source_col)
-    stats = with_statistics(src).select("g_lang", "g_source", "base_failed", *STATS).checkpoint()
-    keys = group_keys(stats).checkpoint()
-    model = estimates(stats, keys)
+    """The kept rows of ``docs`` with all their columns.  Rows are written beside
+    their statistics once; estimates read the statistics only."""
     names = docs.columns
     flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    rows = with_statistics(flat.select(F.struct("*").alias("_row"), *[
+    rows = written(with_statistics(flat.select(F.struct("*").alias("_row"), *[
         F.col(f"_c{names.index(c)}").alias(n) for n, c in (("text", text_col), ("lang", lang_col), ("source", source_col))]))
-    return judge(rows, keys, model).where("kept").select("_row.*").toDF(*names)
+        .select("_row", "g_lang", "g_source", "base_failed", *STATS), "quality-statistics")
+    stats = rows.drop("_row")
+    keys = group_keys(stats).checkpoint()
+    return judge(rows, keys, estimates(stats, keys)).where("kept").select("_row.*").toDF(*names)
