@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import let, pick
+from tally.llm.common import let, pick, written
 from tally.session import ensure_checkpoint_dir
 
 #: Kinds in the order of their spans at one start.
@@ -387,14 +387,14 @@ def redacted(text: Column, found: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the spans of ``text_col`` replaced; ``chars_col``, if there
     is such a column, becomes the new number of code points of changed texts.
-    The candidates of a row are found again beside its text, which costs less
-    than to move the texts."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    weights = train(pick(docs, text=text_col).select(candidates(F.col("text")).alias("cands")))
+    Rows are written beside their candidates once; training reads the candidates
+    only."""
     names = docs.columns
     flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     text = f"_c{names.index(text_col)}"
-    out = flat.withColumn("_cands", candidates(F.col(text))).withColumn("_spans", spans(F.col("_cands"), weights)).drop("_cands")
+    found = written(flat.withColumn("_cands", candidates(F.col(text))), "personal-data")
+    weights = train(found.select(F.col("_cands").alias("cands")))
+    out = found.withColumn("_spans", spans(F.col("_cands"), weights)).drop("_cands")
     if chars_col in names:
         chars = f"_c{names.index(chars_col)}"
         kind = out.schema[chars].dataType
