@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import pick, plain_columns, text_slices
+from tally.llm.common import pick, plain_columns, same, text_slices
 from tally.llm.components import connected
 from tally.session import ensure_checkpoint_dir
 
@@ -149,14 +149,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col
 
 def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, one for each component, with all their columns."""
+    """The rows of ``docs``, one for each component, with all their columns.
+    Copies of a row go before they are sent anywhere; a text moves once at most."""
     marks = near_duplicates(docs, shingle, max_bits, id_col, text_col).where("is_first") \
-        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+        .select(same(F.col("doc_id")).alias("_id"), F.col("text_hash").alias("_h")).distinct()
     names = docs.columns
-    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    one = flat.withColumn("_h", F.xxhash64(f"_c{names.index(text_col)}"))
-    key = f"_c{names.index(id_col)}"
-    kept = one.join(marks, one[key].eqNullSafe(marks["_id"]) & (one["_h"] == marks["_hash"]), "left_semi")
-    order = [c for c in plain_columns(flat) if c != f"_c{names.index(text_col)}"] or [key]
-    copy = F.row_number().over(Window.partitionBy(key, "_h").orderBy(*order))
-    return kept.withColumn("_copy", copy).where("_copy = 1").drop("_copy", "_h").toDF(*names)
+    cols = [f"_c{i}" for i in range(len(names))]
+    flat = docs.toDF(*cols)
+    key, text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
+    order = [c for c in plain_columns(flat) if c != text] or [key]
+    copy = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(*order))
+    first = flat.withColumns({"_id": same(F.col(key)), "_h": F.xxhash64(text)}).withColumn("_copy", copy).where("_copy = 1")
+    return first.join(marks, ["_id", "_h"]).select(*cols).toDF(*names)
