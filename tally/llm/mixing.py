@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import pick, plain_columns, word_count
+from tally.llm.common import pick, plain_columns, same, word_count
 from tally.session import ensure_checkpoint_dir
 
 BLOCK = 256
@@ -180,13 +180,16 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     it."""
     times = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
     takes = mix(docs, id_col, text_col, source_col).groupBy(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash")) \
+        same(F.col("doc_id")).alias("_id"), same(F.col("source")).alias("_source"), F.col("text_hash").alias("_h")) \
         .agg(F.sum(times).alias("_times")).where("_times > 0")
     names = docs.columns
-    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))]).withColumn("_h", F.xxhash64(f"_c{names.index(text_col)}"))
-    key = [f"_c{names.index(id_col)}", f"_c{names.index(source_col)}", "_h"]
-    order = [c for c in plain_columns(flat) if c not in key and c != f"_c{names.index(text_col)}"] or [key[0]]
-    first = flat.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
-    same = first[key[0]].eqNullSafe(takes["_id"]) & first[key[1]].eqNullSafe(takes["_source"]) & (first["_h"] == takes["_hash"])
-    out = first.join(takes, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return out.select(*[f"_c{i}" for i in range(len(names))]).toDF(*names)
+    cols = [f"_c{i}" for i in range(len(names))]
+    flat = docs.toDF(*cols)
+    id_, text, source = (f"_c{names.index(c)}" for c in (id_col, text_col, source_col))
+    order = [c for c in plain_columns(flat) if c not in (id_, text, source)] or [id_]
+    # joined by the keys of the window, so that a text moves once
+    keys = {"_id": same(F.col(id_)), "_source": same(F.col(source)), "_h": F.xxhash64(text)}
+    copy = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    first = flat.withColumns(keys).withColumn("_n", copy).where("_n = 1")
+    out = first.join(takes, list(keys)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return out.select(*cols).toDF(*names)
