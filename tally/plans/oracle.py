@@ -360,6 +360,7 @@ SELECT 'Period: ' || period AS period_line,
          || {cur('abs(net_income)')} AS net_line
 FROM {over(pnl_totals_sql(P.PNL_FILTER))}"""
     sql["store_period_comparison"] = period_comparison_sql(P.PERIODS)
+    sql["store_search_text"] = rows_sql(P.STORE_SEARCH)
     sql["store_filter_categories"] = rows_sql(P.FILTERS["filter_categories_in"])
     sql["custom_group_absent_column"] = rows_sql(P.CUSTOM_FILTER)
     sql["period_comparison_many"] = period_comparison_sql(P.MANY_PERIODS).replace(

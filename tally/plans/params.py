@@ -55,6 +55,8 @@ TXN_FILTERS = {
     "txn_filter_description": TxnFilter(description="red "),
 }
 
+#: The test tables hold each of these trigrams in every month, so all files are left there.
+STORE_SEARCH = ReportFilter(merchants=["supplier#0+[13]$", "#000000007"], description_contains="^(red|blue) +bolt|widget", notes_contains="urgent|high")
 MERCHANT_SUBTOTAL = TxnFilter(merchant="Supplier#00000004")
 
 CUSTOM_FILTER = ReportFilter(min_amount=10000, notes_contains="urgent|high")

@@ -160,6 +160,15 @@ def _on_store(fn) -> Query:
     return lambda spark, sf: fn(read_store(spark, write_store(ledger(spark, sf), scratch_dir(spark, "store"))))
 
 
+def _store_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Text searches on the stored table, with the files that its text index leaves."""
+    from tally.sources.store import read_store, write_store
+    from tally.sources.text_index import write_text_index
+    path = write_store(ledger(spark, sf), scratch_dir(spark, "store"))
+    write_text_index(spark, path)
+    return rows_out(P.STORE_SEARCH.apply(read_store(spark, path, P.STORE_SEARCH)))
+
+
 def _with_times(d: DataFrame) -> DataFrame:
     """Ledger rows at an hour of their day (0 to 23, by order key)."""
     return d.withColumn("date", F.col("date") + F.make_dt_interval(hours=(F.col("l_orderkey") % 24).cast("int")))
@@ -287,6 +296,7 @@ def _more(q: dict) -> None:
         d.withColumn("amount", (F.col("amount") * F.lit(Decimal("0.001"))).cast("decimal(18,4)"))))
     q["store_period_comparison"] = _on_store(lambda d: period_comparison(d, P.PERIODS))
     q["store_acquire"] = _on_store(lambda d: rows_out(acquire(d, days=P.LAST_DAYS, as_of=P.AS_OF)))
+    q["store_search_text"] = _store_search
     q["store_filter_categories"] = _on_store(lambda d: rows_out(P.FILTERS["filter_categories_in"].apply(d)))
     q["custom_group_absent_column"] = _on_ledger(lambda d: rows_out(
         custom_report(d, P.CUSTOM_FILTER, sort=P.CUSTOM_SORT, group_by="no_such_column").details))

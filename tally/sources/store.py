@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.operators.filters import ACCOUNT_LC, CATEGORY_LC, MONTH as PARTITION_COLUMN, STORE_COLUMNS
+from tally.operators.filters import ACCOUNT_LC, CATEGORY_LC, MONTH as PARTITION_COLUMN, STORE_COLUMNS, ReportFilter
+from tally.sources.text_index import files_left
 
 
 def write_store(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
@@ -42,5 +43,14 @@ def row_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in STORE_COLUMNS]
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_store(spark: SparkSession, path: str, flt: ReportFilter | None = None) -> DataFrame:
+    """The stored table. With a filter, files that its text searches cannot match
+    are not read where the store has a text index (``sources.text_index``); the
+    filter itself is still to be applied."""
+    store = spark.read.parquet(path)
+    files = files_left(spark, path, flt) if flt else None
+    if files is None:
+        return store
+    if not files:
+        return store.where(F.lit(False))
+    return spark.read.schema(store.schema).option("basePath", path).parquet(*files)
