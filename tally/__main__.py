@@ -138,8 +138,9 @@ def main(argv=None) -> int:
     rep = spec.run(txns, materialize=True) if report else None
     out = a.out.rstrip("/") if a.out else None
     if report and a.document and out:
-        from tally.operators.export import report_json, report_path
-        report_json(rep).write.text(report_path(out, rep.kind))
+        from tally.operators.document_parts import write_document
+        from tally.operators.export import report_path
+        write_document(rep, report_path(out, rep.kind))
     for name, frame in (rep.frames() if report else action_frames(txns, a)).items():
         if out and not (report and a.document):
             write_frame(frame, f"{out}/{name}", a.csv)

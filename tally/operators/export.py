@@ -122,12 +122,17 @@ REPORT_TITLES = {"profit_and_loss": "Profit & Loss", "cash_flow": "Cash Flow",
 MAX_DOCUMENT_ROWS = 100_000
 
 
+class LongList(ValueError):
+    """A list that is too long for a document in one row."""
+
+
 def report_json(report) -> DataFrame:
     """Any report with short lists as one JSON document row.
 
     Periods and top-N lists are short by construction; the lists of all
     merchants and of all categories are counted first, and a longer one than
-    ``MAX_DOCUMENT_ROWS`` is refused: ``export_json`` writes it in parts.
+    ``MAX_DOCUMENT_ROWS`` is refused: ``document_parts.write_report_json`` writes
+    it in parts.
 
     The header row and one row per list (``collect_list`` of its rows, in
     report order) are stacked by a union padded with nulls and folded by a
@@ -136,12 +141,12 @@ def report_json(report) -> DataFrame:
     """
     from pyspark.sql import Window
     if report.kind not in BOUNDED_SECTIONS:
-        raise ValueError(f"{report.kind}: unbounded lists, export them with export_json")
+        raise LongList(f"{report.kind}: unbounded lists, write them with write_report_json or export_json")
     frames = report.frames()
     for sec in BOUNDED_SECTIONS[report.kind]:
         if report.kind not in ("cash_flow", "trend_analysis") and not report.top_n and \
                 frames[sec].limit(MAX_DOCUMENT_ROWS + 1).count() > MAX_DOCUMENT_ROWS:
-            raise ValueError(f"{sec} has more than {MAX_DOCUMENT_ROWS} rows, export it with export_json")
+            raise LongList(f"{sec} has more than {MAX_DOCUMENT_ROWS} rows, write it with write_report_json or export_json")
     parts = {"header": report.header.withColumn("report_type", F.lit(REPORT_TITLES[report.kind]))}
     for sec in BOUNDED_SECTIONS[report.kind]:
         d = frames[sec]

@@ -490,7 +490,7 @@ def build() -> dict[str, str]:
     sql["category_analysis_top_n"] = category_sql(P.EXPENSES_ONLY, P.TOP_N)
     sql["category_analysis_totals"] = category_totals_sql(P.EXPENSES_ONLY, P.TOP_N)
     sql["merchant_analysis"] = merchant_sql(None, P.MERCHANT_TOP_N)
-    sql["merchant_analysis_all"] = merchant_sql(None, None)
+    sql["merchant_analysis_all"] = sql["report_json_parts"] = merchant_sql(None, None)
     sql["merchant_primary_category"] = merchant_mode_sql()
     sql["account_summary"] = account_sql(None)
     sql["account_summary_total"] = account_total_sql(None)

@@ -229,6 +229,14 @@ def _from_document(doc: DataFrame) -> DataFrame:
     return d.select("report_type", "grouping", F.col("period").alias("whole_period"), "total_inflow", "total_outflow", "net_cash_flow", "p.*")
 
 
+def _document_in_parts(d: DataFrame) -> DataFrame:
+    """All merchants, read back from the parts of their document."""
+    from tally.operators.document_parts import list_rows, write_report_json
+    report = merchant_analysis(d, top_n=None)
+    path = write_report_json(report, scratch_dir(d.sparkSession, "document"))
+    return list_rows(d.sparkSession.read.text(path), report.details.schema)
+
+
 def _pnl_totals_text(d: DataFrame) -> DataFrame:
     h = profit_and_loss(d, P.PNL_FILTER).header
     return h.select(F.concat(F.lit("Period: "), F.col("period")).alias("period_line"),
@@ -283,6 +291,7 @@ def _more(q: dict) -> None:
     q["store_pnl_totals"] = _store_pnl
     q["render_pnl_totals"] = _on_ledger(_pnl_totals_text)
     q["report_json_document"] = _on_ledger(lambda d: _from_document(cash_flow_document(d, grouping="quarterly")))
+    q["report_json_parts"] = _on_ledger(_document_in_parts)
     q["csv_difficult_text"] = _difficult_csv
     q["json_difficult_text"] = _difficult_json
     q["json_array_ingest"] = _array_ledger
