@@ -101,6 +101,17 @@ def decode(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def decode_range(words: np.ndarray, offsets: np.ndarray, n: int, lo: int, hi: int, block: int = BLOCK) -> np.ndarray:
+    """Values ``lo`` to ``hi`` (exclusive) of ``n``; only the words of blocks that
+    hold some of them are decoded."""
+    lo, hi = max(lo, 0), min(hi, n)
+    if lo >= hi:
+        return np.zeros(0, np.uint64)
+    first, last = lo // block, -(-hi // block)
+    skip = first * block
+    return decode(words[offsets[first]:offsets[last]], min(last * block, n) - skip)[lo - skip:hi - skip]
+
+
 def _raw_words(selector: np.ndarray) -> np.ndarray:
     """Which words are values behind an escape; such a value's own top bits may
     look like an escape too, so runs of them alternate."""

@@ -130,14 +130,38 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     sorted_docs.select("doc_id", "text").mapInArrow(run, SCHEMA.format(kind=kind)).write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32[, ids]`` of a written folder."""
-    rows = spark.read.parquet(path)
+def _located(rows: DataFrame) -> DataFrame:
+    """Rows of a written folder with ``start``, the number of ids before each."""
     # one row per shard
     shards = rows.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     offsets = shards.select(F.col("shard").alias("_shard"), F.coalesce(before, F.lit(0)).alias("_before"))
-    located = rows.join(F.broadcast(offsets), rows.shard == offsets["_shard"])
+    return rows.join(F.broadcast(offsets), rows.shard == offsets["_shard"]) \
+        .withColumn("start", F.col("_before") + F.col("shard_start"))
+
+
+def read_range(spark: SparkSession, path: str, lo: int, hi: int) -> DataFrame:
+    """``start, ids``: the ids with places ``lo`` to ``hi`` (exclusive) in the whole
+    stream, a row per stored row that holds some; put together by ``start`` they
+    are the range.  Rows outside it are left out by their places, and of the others
+    only the blocks that the range meets are decoded, found by the block offsets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, n, offsets, words in zip(*(batch.column(c).to_pylist() for c in ("start", "n_ids", "block_offsets", "words"))):
+                ids = simple8b.decode_range(np.frombuffer(words, "<u8"), np.frombuffer(offsets, "<u4"), n, lo - start, hi - start)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([max(start, lo)], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids.astype(np.int64)))], ["start", "ids"])
+
+    held = _located(spark.read.parquet(path)).where((F.col("start") < hi) & (F.col("start") + F.col("n_ids") > lo))
+    return held.select("start", "n_ids", "block_offsets", "words").mapInArrow(run, "start long, ids array<long>")
+
+
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32[, ids]`` of a written folder."""
+    rows = spark.read.parquet(path)
+    located = _located(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +170,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
     kind = rows.schema["doc_ids"].dataType.elementType.simpleString()
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
-    return located.select("doc_ids", "doc_lens", "n_ids", (F.col("_before") + F.col("shard_start")).alias("start"), "words") \
+    return located.select("doc_ids", "doc_lens", "n_ids", "start", "words") \
         .mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 

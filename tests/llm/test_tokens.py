@@ -11,7 +11,7 @@ from tally.llm import queries as q
 from tally.llm import simple8b
 from tally.llm.segments import byte_level, metaspace
 from tally.llm.sentencepiece_backend import Backend, backend, encode_decode
-from tally.llm.token_files import encoder, read_tokens, write_tokens
+from tally.llm.token_files import encoder, read_range, read_tokens, write_tokens
 from tally.llm.token_prefix import counter, prefix_tables, token_counts
 from tally.session import scratch_dir
 
@@ -172,6 +172,31 @@ def test_token_files_query(spark, sf_dir, documents):
     assert got == want
 
 
+def test_decode_range():
+    rng = np.random.default_rng(8)
+    v = rng.integers(0, 50_000, 5000).astype(np.uint64)
+    v[rng.integers(0, 5000, 40)] = 2**63 + 5
+    words, offsets = simple8b.encode(v)
+    for lo, hi in [(0, 5000), (0, 0), (1023, 1025), (1024, 2048), (4999, 5000), (-5, 3), (4990, 9000), (6000, 7000), (7, 4)]:
+        assert np.array_equal(simple8b.decode_range(words, offsets, 5000, lo, hi), v[max(lo, 0):max(hi, 0)])
+    # words of other blocks are not looked at
+    broken = words.copy()
+    broken[:offsets[2]], broken[offsets[3]:] = 0, 0
+    assert np.array_equal(simple8b.decode_range(broken, offsets, 5000, 2100, 3000), v[2100:3000])
+
+
+def test_read_range(spark, documents, tmp_path):
+    path = str(tmp_path / "tokens")
+    write_tokens(documents, path, q.vocabulary("byte_bpe_50k.json"), 2)
+    rows = read_tokens(spark, path, with_ids=True).collect()
+    stream = [i for r in sorted(rows, key=lambda r: r["start"]) for i in r["ids"]]
+    n = len(stream)
+    for lo, hi in [(0, n), (n // 3, n // 3 + 5000), (n - 7, n + 100), (17, 18), (n, n + 5), (9, 9)]:
+        got = sorted((r["start"], r["ids"]) for r in read_range(spark, path, lo, hi).collect())
+        assert [i for _, ids in got for i in ids] == stream[lo:hi]
+        assert all(s == lo + sum(len(x) for _, x in got[:k]) for k, (s, _) in enumerate(got))
+
+
 def test_token_files_awkward(spark, awkward):
     tokenizer = Tokenizer.from_file(BYTES)
     path = scratch_dir(spark, "test")
