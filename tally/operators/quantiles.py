@@ -8,12 +8,15 @@ combined aggregate to (value, rows); everything else works on that table:
    scale, goes to a bucket of its bit length, split into at most
    ``2 ** BUCKET_BITS`` equal ranges. A bucket's members form one integer
    interval, so buckets sorted by their smallest member are in value order.
-2. Selection: a cumulative window over the bucket rows (bounded count)
-   finds, for each target rank, the bucket holding it. Only those buckets
-   (at most two per quantile, a proven bound for the broadcast) are joined
-   back to the distinct values, and the values at the target ranks picked.
-
-Both steps read the same aggregate, whose exchange Spark runs once. Nothing
+2. Descent: a cumulative window over the bucket rows (bounded count) finds,
+   for each target rank, the bucket holding it. Each round splits the buckets
+   that are left (at most two per quantile, a proven bound for the broadcast)
+   by their next ``ROUND_BITS`` bits, in one combined aggregate, until a
+   bucket is a single value. So a task orders at most ``2 ** ROUND_BITS``
+   rows of a bucket in any round, however many values the bucket has. The
+   number of rounds follows from the column's type: 3 for DECIMAL(18).
+
+All rounds read the same aggregate, whose exchange Spark runs once. Nothing
 runs before an action.
 
 Interpolation follows linear interpolation between the values at ranks
@@ -22,6 +25,7 @@ floor and ceil of (n−1)·p: (hi_rank − pos)·lo + (pos − lo_rank)·hi.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +36,7 @@ from tally.functions.money import to_double
 from tally.operators.stats import stddev_samp
 
 BUCKET_BITS = 12
+ROUND_BITS = 16
 
 
 def units(c: Column, scale: int) -> Column:
@@ -40,24 +45,58 @@ def units(c: Column, scale: int) -> Column:
     return (c * factor).cast("long")
 
 
-def bucket(u: Column) -> tuple[Column, Column]:
-    """Shift ``k`` by the bit length of |u|, and ``q`` = u shifted right by it
-    (rounding down), all in integers."""
-    bits = F.length(F.bin(F.abs(u)))
-    k = F.greatest(bits - F.lit(BUCKET_BITS + 1), F.lit(0))
-    return k, F.call_function("shiftright", u, k)
+def value(u: Column, scale: int) -> Column:
+    """The way back from ``units``."""
+    return (u.cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-scale)).cast(T.DecimalType(scale + 1, scale))).cast(T.DecimalType(19 + scale, scale))
+
+
+def shift(u: Column) -> Column:
+    """Low bits of ``u`` that its bucket leaves open, by the bit length of |u|."""
+    return F.greatest(F.length(F.bin(F.abs(u))) - F.lit(BUCKET_BITS + 1), F.lit(0))
+
+
+def prefix(u: Column, k: Column, done: int) -> Column:
+    """``u`` shifted right (rounding down) by what ``done`` rounds leave of the
+    shift ``k``; the whole of ``u`` once nothing is left."""
+    return F.call_function("shiftright", u, F.greatest(k - F.lit(ROUND_BITS * done), F.lit(0)))
+
+
+def rounds(precision: int) -> int:
+    """Rounds after the histogram until the longest shift of a column is used up."""
+    longest = min((10 ** precision - 1).bit_length(), 63)
+    return max(-(-(longest - BUCKET_BITS - 1) // ROUND_BITS), 0)
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """One row per distinct value: ``v``, ``rows`` and its bucket (``k``, ``q``,
-    null for the null value)."""
+    """One row per distinct value: ``v``, ``rows``, its integer ``u`` and the shift
+    ``k`` of its bucket (both null for the null value)."""
     v = F.col(col)
     if not isinstance(df.schema[col].dataType, T.DecimalType):
         v = v.cast(T.DecimalType(18, 2))
     counts = df.select(v.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("rows"))
     u = units(F.col("v"), counts.schema["v"].dataType.scale)
-    k, q = bucket(u)
-    return counts.select("v", "rows", k.alias("k"), q.alias("q"))
+    return counts.select("v", "rows", u.alias("u"), shift(u).alias("k"))
+
+
+def _holds(ranks: Sequence[Column]) -> list[Column]:
+    """Whether a bucket holds each rank."""
+    return [(F.col("before") <= r) & (r < F.col("before") + F.col("n")) for r in ranks]
+
+
+def descend(vals: DataFrame, need: DataFrame, done: int, ranks: Sequence[Column]) -> DataFrame:
+    """The buckets of ``need`` (k, q, before, total) split by their next bits; the
+    parts that hold a rank."""
+    a = vals.withColumn("q", prefix(F.col("u"), F.col("k"), done - 1)).alias("a")
+    b = F.broadcast(need.drop("n").alias("b"))  # at most two buckets per quantile
+    # null-safe, as plain equality would filter nulls below the shared exchange and so split it
+    inside = a.join(b, F.col("a.k").eqNullSafe(F.col("b.k")) & F.col("a.q").eqNullSafe(F.col("b.q"))) \
+        .select("b.*", "a.u", "a.rows")
+    bucket = ["k", "q", "before", "total"]
+    parts = inside.groupBy(*bucket, prefix(F.col("u"), F.col("k"), done).alias("part")).agg(F.sum("rows").alias("n"))
+    running = Window.partitionBy("k", "q").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return parts.select("k", F.col("part").alias("q"), "total", "n",
+                        (F.col("before") + F.sum("n").over(running) - F.col("n")).alias("before")) \
+        .where(F.greatest(*_holds(ranks), F.lit(False)))
 
 
 def quantile_summary(df: DataFrame, col: str, probs: Sequence[float],
@@ -66,9 +105,6 @@ def quantile_summary(df: DataFrame, col: str, probs: Sequence[float],
 
     Columns: the quantile ``names`` and ``rows`` (all rows), ``n`` (values),
     ``s`` (exact sum, 0 when none), ``mn``, ``mx``, ``sd`` (sample std).
-
-    The first bucket in order stays as an anchor beside the picked ones, so
-    that the moments arrive even if no bucket holds a target rank.
     """
     vals = value_counts(df, col)
     scale = vals.schema["v"].dataType.scale
@@ -78,47 +114,32 @@ def quantile_summary(df: DataFrame, col: str, probs: Sequence[float],
     fine = scale > 3
     x = units(v, scale).cast("decimal(19,0)") if fine else v
     square = x * x if fine else (x * x).cast(T.DecimalType(38, 2 * scale))
-    hist = vals.groupBy("k", "q").agg(
-        F.coalesce(F.sum(F.when(v.isNotNull(), m)), F.lit(0)).alias("n"), F.min("v").alias("lo"),
+    hist = vals.groupBy("k", prefix(F.col("u"), F.col("k"), 0).alias("q")).agg(
+        F.coalesce(F.sum(F.when(v.isNotNull(), m)), F.lit(0)).alias("n"), F.min("u").alias("lo"),
         F.sum(m).alias("rows"), F.coalesce(F.sum(v * m.cast("decimal(18,0)")), zero).alias("s"),
         F.min(v).alias("mn"), F.max(v).alias("mx"),
         F.sum(square * m.cast("decimal(18,0)")).alias("sq"))
-    # bounded: at most 2^BUCKET_BITS buckets per bit length and sign, plus the null bucket
-    every = Window.partitionBy()
-    order = Window.orderBy(F.col("lo").asc_nulls_first(), "k", "q")
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = hist.select(
-        "k", "q", "n",
-        (F.sum("n").over(running) - F.col("n")).alias("before"),
-        F.sum("n").over(every).alias("total"),
-        F.sum("rows").over(every).alias("all_rows"), F.sum("s").over(every).alias("all_s"),
-        F.min("mn").over(every).alias("all_mn"), F.max("mx").over(every).alias("all_mx"),
-        F.sum("sq").over(every).alias("all_sq"),
-        F.row_number().over(order).alias("rn"))
+    # bounded: at most 2^BUCKET_BITS buckets per bit length and sign, plus the null bucket (n = 0)
+    running = Window.orderBy(F.col("lo").asc_nulls_first(), "k", "q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = hist.select("k", "q", "n", (F.sum("n").over(running) - F.col("n")).alias("before"),
+                      F.sum("n").over(Window.partitionBy()).alias("total"))
     pos = [(F.col("total") - 1).cast("double") * F.lit(float(p)) for p in probs]
     ranks = [r for p in pos for r in (F.floor(p), F.ceil(p))]
-    holds = [(F.col("before") <= r) & (r < F.col("before") + F.col("n")) for r in ranks]
-    need = cum.where(F.greatest(F.col("rn") == 1, *holds)).drop("n", "rn")
-
-    # at most two buckets per quantile plus the anchor: a proven broadcast bound
-    a, b = vals.alias("a"), F.broadcast(need.alias("b"))
-    picked = a.join(b, F.col("a.k").eqNullSafe(F.col("b.k")) & F.col("a.q").eqNullSafe(F.col("b.q")))
-    carry = [c for c in need.columns if c not in ("k", "q")]
-    within = Window.partitionBy("k", "q").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dist = picked.select("a.v", "a.rows", "b.k", "b.q", *[f"b.{c}" for c in carry]) \
-        .withColumn("end", F.col("before") + F.sum("rows").over(within))
-    start = F.col("end") - F.col("rows")
-    value_at = [F.max(F.when(F.col("v").isNotNull() & (start <= r) & (r < F.col("end")), F.col("v")))
-                for r in ranks]
-    agg = dist.agg(F.max("total").alias("total"), F.max("all_rows").alias("rows"),
-                   F.max("all_s").alias("s"), F.max("all_mn").alias("mn"),
-                   F.max("all_mx").alias("mx"), F.max("all_sq").alias("sq"),
-                   *[x.alias(f"v{i}") for i, x in enumerate(value_at)])
+    need = cum.where(F.greatest(*_holds(ranks), F.lit(False)))
+    for done in range(1, rounds(vals.schema["v"].dataType.precision) + 1):
+        need = descend(vals, need, done, ranks)
+
+    # the picked values beside the moments, which come from the histogram's rows
+    picked = need.agg(*[F.max(F.when(held, F.col("q"))).alias(f"u{i}") for i, held in enumerate(_holds(ranks))])
+    moments = hist.agg(F.sum("n").alias("total"), F.sum("rows").alias("rows"), F.sum("s").alias("s"),
+                       F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.sum("sq").alias("sq"))
+    both = moments.unionByName(picked, allowMissingColumns=True)
+    agg = both.agg(*[F.max(c).alias(c) for c in both.columns])
     out = []
     for i, (p, name) in enumerate(zip(probs, names)):
         position = (F.col("total") - 1).cast("double") * F.lit(float(p))
         lo_r, hi_r = F.floor(position), F.ceil(position)
-        lo, hi = to_double(F.col(f"v{2 * i}")), to_double(F.col(f"v{2 * i + 1}"))
+        lo, hi = to_double(value(F.col(f"u{2 * i}"), scale)), to_double(value(F.col(f"u{2 * i + 1}"), scale))
         val = F.when((lo_r == hi_r) | (lo == hi), lo) \
                .otherwise((hi_r - position) * lo + (position - lo_r) * hi)
         out.append(val.alias(name))
