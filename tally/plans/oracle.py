@@ -361,6 +361,9 @@ SELECT 'Period: ' || period AS period_line,
 FROM {over(pnl_totals_sql(P.PNL_FILTER))}"""
     sql["store_period_comparison"] = period_comparison_sql(P.PERIODS)
     sql["store_search_text"] = rows_sql(P.STORE_SEARCH)
+    sql["store_merge_downloads"] = with_ledger("""
+SELECT date, CAST(amount AS DOUBLE) AS amount, description, merchant, category, account, notes
+FROM ledger, (VALUES (0), (1), (2)) c(copy) WHERE copy <= l_linenumber % 3""")
     sql["store_filter_categories"] = rows_sql(P.FILTERS["filter_categories_in"])
     sql["custom_group_absent_column"] = rows_sql(P.CUSTOM_FILTER)
     sql["period_comparison_many"] = period_comparison_sql(P.MANY_PERIODS).replace(

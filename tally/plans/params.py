@@ -81,6 +81,8 @@ ACCOUNT_ID = "Customer#000000042"
 AS_OF = "1998-12-31"
 LAST_DAYS = 90
 LIMIT_ROWS = 100
+# Overlapping downloads into a store, the second one twice; the last also brings the rows without a date.
+DOWNLOADS = [("1900-01-01", "1995-06-30"), ("1995-01-01", "1997-12-31"), ("1995-01-01", "1997-12-31"), ("1997-06-01", "2100-01-01")]
 # Streaming: files arrive in no particular date order in the fixture export,
 # so the watermark delay spans the fixture's date range.
 STREAM_WATERMARK = "3650 days"

@@ -169,6 +169,25 @@ def _store_search(spark: SparkSession, sf: str) -> DataFrame:
     return rows_out(P.STORE_SEARCH.apply(read_store(spark, path, P.STORE_SEARCH)))
 
 
+def _merged_downloads(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger without its keys, each row one to three times, brought into a
+    store by overlapping downloads and read back."""
+    from tally.schema import TXN_FIELDS
+    from tally.sources.merge import merge_store
+    from tally.sources.store import read_store, write_store
+    copies = F.explode(F.sequence(F.lit(0), F.col("l_linenumber") % 3))
+    rows = ledger(spark, sf).withColumn("copy", copies).select(*TXN_FIELDS)
+    source = scratch_dir(spark, "downloads")
+    rows.write.parquet(source)
+    rows = spark.read.parquet(source)
+    path = scratch_dir(spark, "store")
+    for i, (start, end) in enumerate(P.DOWNLOADS):
+        window = F.col("date").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
+        download = rows.where(window | F.col("date").isNull() if i == len(P.DOWNLOADS) - 1 else window)
+        path = merge_store(spark, path, download) if i else write_store(download, path)
+    return read_store(spark, path).select(*[F.col(c).cast("double").alias(c) if c == "amount" else F.col(c) for c in TXN_FIELDS])
+
+
 def _with_times(d: DataFrame) -> DataFrame:
     """Ledger rows at an hour of their day (0 to 23, by order key)."""
     return d.withColumn("date", F.col("date") + F.make_dt_interval(hours=(F.col("l_orderkey") % 24).cast("int")))
@@ -306,6 +325,7 @@ def _more(q: dict) -> None:
     q["store_period_comparison"] = _on_store(lambda d: period_comparison(d, P.PERIODS))
     q["store_acquire"] = _on_store(lambda d: rows_out(acquire(d, days=P.LAST_DAYS, as_of=P.AS_OF)))
     q["store_search_text"] = _store_search
+    q["store_merge_downloads"] = _merged_downloads
     q["store_filter_categories"] = _on_store(lambda d: rows_out(P.FILTERS["filter_categories_in"].apply(d)))
     q["custom_group_absent_column"] = _on_ledger(lambda d: rows_out(
         custom_report(d, P.CUSTOM_FILTER, sort=P.CUSTOM_SORT, group_by="no_such_column").details))
