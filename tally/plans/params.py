@@ -88,6 +88,8 @@ DOWNLOADS = [("1900-01-01", "1995-06-30"), ("1995-01-01", "1997-12-31"), ("1995-
 STREAM_WATERMARK = "3650 days"
 STREAM_FILE_ROWS = 10000
 STREAM_TIMEOUT_S = 1800
+#: Micro-batches of a backlog at most; it is taken in larger ones beyond that.
+STREAM_BATCHES = 16
 # Usage scenarios: P&L for chosen categories, and P&L without some categories.
 PNL_CATEGORIES = ReportFilter(categories=["promo", "Standard"])
 PNL_EXCLUDING = ReportFilter(exclude_categories=["economy", "SMALL"])

@@ -24,6 +24,8 @@ rows (one per day, bounded) with a window.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,16 +72,25 @@ def start_cash_flow_stream(spark: SparkSession, source_dir: str, sink_dir: str,
                            checkpoint_dir: str, schema: T.StructType, watermark: str,
                            fmt: str = "parquet",
                            max_files_per_trigger: int | None = None,
+                           max_batches: int | None = None,
                            available_now: bool = True,
                            state_partitions: int = DEFAULT_STATE_PARTITIONS) -> StreamingQuery:
     """Start the query. ``watermark`` says how late rows may come and still be
-    counted; ``dropped_rows`` of the query tells how many came later."""
+    counted; ``dropped_rows`` of the query tells how many came later.
+
+    ``max_batches`` bounds the micro-batches that a backlog takes: where there are
+    more files, each micro-batch takes more of them, never fewer than
+    ``max_files_per_trigger``. What a micro-batch costs beside its rows (plan, state
+    and checkpoint files) then does not grow with the backlog."""
     # a session of its own, so that its state partition count touches no other query
     own = spark.newSession()
     for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
         own.conf.set(key, spark.conf.get(key))
     own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     reader = own.readStream.schema(schema).format(fmt)
+    if max_batches:
+        n_files = len(own.read.schema(schema).format(fmt).load(source_dir).inputFiles())
+        max_files_per_trigger = max(max_files_per_trigger or 1, ceil(n_files / max_batches))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     flows = daily_flows(reader.load(source_dir), watermark)

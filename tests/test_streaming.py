@@ -27,6 +27,17 @@ def test_stream_equals_batch(spark, sf_dir):
         rows_of(cash_flow(led, grouping="daily").details)
 
 
+def test_a_backlog_takes_a_bounded_number_of_batches(spark, sf_dir):
+    led = ledger(spark, sf_dir).select(*TXN_SCHEMA.fieldNames())
+    base = scratch_dir(spark, "t-backlog")
+    led.repartition(30).write.parquet(f"{base}/src")
+    q = start_cash_flow_stream(spark, f"{base}/src", f"{base}/sink", f"{base}/ck", TXN_SCHEMA,
+                               watermark="3650 days", max_files_per_trigger=2, max_batches=3)
+    assert q.awaitTermination(600)
+    assert 1 < spark.read.parquet(f"{base}/sink").select("batch_id").distinct().count() <= 3
+    assert rows_of(read_cash_flow(spark, f"{base}/sink", "daily")) == rows_of(cash_flow(led, grouping="daily").details)
+
+
 def test_late_rows_beyond_watermark_are_dropped(spark):
     from datetime import datetime
     from decimal import Decimal as D
