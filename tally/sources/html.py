@@ -1,9 +1,10 @@
 """HTML pages → transaction and account records (scraper extraction).
 
-Extraction runs in ``mapInPandas`` over a pages frame (page_id, html): each
-task parses its pages with the standard-library DOM helper, so the work is
-spread over the page partitions with no shuffle. Only cell texts leave
-Python; amounts and dates are parsed JVM-side afterwards.
+Extraction runs in ``mapInArrow`` (accounts: ``mapInPandas``) over a pages frame
+(page_id, html), so the work is spread over the page partitions with no shuffle.
+Each task scans plainly written pages in one pass (``htmlrows``) and parses any
+other with the standard-library DOM helper; both give the same cells. Only cell
+texts leave Python; amounts and dates are parsed JVM-side afterwards.
 
 Fixed selector alternatives (CSS, "first match in document order"):
   transaction rows  [data-transaction], .transaction-row, .transaction-item, tr.transaction
@@ -21,12 +22,14 @@ from __future__ import annotations
 from typing import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tally.functions.money import format_currency
 from tally.sources import htmldom as D
+from tally.sources.htmlrows import RowScanner
 from tally.sources.ingest import parse_currency_text
 
 ROW_MATCH = D.any_of(D.has_attr("data-transaction"), D.has_class("transaction-row", "transaction-item"),
@@ -43,10 +46,7 @@ ACCOUNT_MATCH = D.any_of(D.has_attr("data-account"), D.has_class("account-item",
 CELL_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
     T.StructField("row_no", T.IntegerType()),
-    T.StructField("date_text", T.StringType()),
-    T.StructField("description_text", T.StringType()),
-    T.StructField("amount_text", T.StringType()),
-    T.StructField("category_text", T.StringType()),
+    *[T.StructField(f"{k}_text", T.StringType()) for k in CELLS],
 ])
 ACCOUNT_CELL_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
@@ -56,19 +56,26 @@ ACCOUNT_CELL_SCHEMA = T.StructType([
 ])
 
 
-def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = {k: [] for k in CELL_SCHEMA.fieldNames()}
-        for pid, html in zip(pdf["page_id"], pdf["html"]):
-            root = D.parse(html)
-            for i, row in enumerate(e for e in root.elements() if ROW_MATCH(e)):
-                out["page_id"].append(pid)
-                out["row_no"].append(i)
-                found = row.first_of_each(CELLS)
-                for k in CELLS:
-                    el = found.get(k)
-                    out[f"{k}_text"].append(el.get_text() if el is not None else None)
-        yield pd.DataFrame(out)
+def row_cells(html: str | None) -> list[list[str | None]]:
+    """Texts of the ``CELLS`` of each row element of a page, by its tree."""
+    rows = []
+    for row in (e for e in D.parse(html).elements() if ROW_MATCH(e)):
+        found = row.first_of_each(CELLS)
+        rows.append([found[k].get_text() if k in found else None for k in CELLS])
+    return rows
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    scanner = RowScanner(ROW_MATCH, CELLS)
+    types = [pa.int64(), pa.int32(), *[pa.string()] * len(CELLS)]
+    names = ["page_id", "row_no", *[f"{k}_text" for k in CELLS]]
+    for batch in batches:
+        pages: list = []
+        for pid, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
+            rows = scanner.rows(html)
+            pages += [(pid, i, *row) for i, row in enumerate(row_cells(html) if rows is None else rows)]
+        columns = zip(*pages) if pages else [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
 def _account_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,7 +96,7 @@ def extract_transactions(pages: DataFrame) -> DataFrame:
 
     ``date`` stays text here (as scraped); ``normalize`` types it.
     """
-    cells = pages.select(F.col("page_id").cast("long"), "html").mapInPandas(_cells, CELL_SCHEMA)
+    cells = pages.select(F.col("page_id").cast("long"), "html").mapInArrow(_cells, CELL_SCHEMA)
     desc = F.coalesce(F.col("description_text"), F.lit(""))
     return cells.select(
         "page_id", "row_no",
@@ -174,10 +181,11 @@ def transaction_pages(txn: DataFrame) -> DataFrame:
     # block of line numbers: an order with many lines spreads over several
     # partitions; ordinary orders (lines < ROWS_PER_PAGE) stay in block 0
     block = F.floor(F.col("l_linenumber") / ROWS_PER_PAGE).cast("long")
-    keyed = _by_key(txn.select(F.col("l_orderkey").alias("page_id"), block.alias("block"),
-                               "l_linenumber", row.alias("row")),
+    # the markup is added behind the shuffle, which then carries the plain values
+    keyed = _by_key(txn.select("l_orderkey", F.col("l_orderkey").alias("page_id"), block.alias("block"),
+                               "l_linenumber", "date", "description", "amount", "category"),
                     ["page_id", "block"], "l_linenumber")
-    rows = (keyed.withColumn("page_part", _chunk())
+    rows = (keyed.select("page_id", "block", "l_linenumber", _chunk().alias("page_part"), row.alias("row"))
                .groupBy("page_id", "block", "page_part")
                .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "row"))).alias("rows")))
     body = F.array_join(F.transform("rows", lambda r: r.getField("row")), "")

@@ -1,10 +1,12 @@
 """DOM helper and page extraction."""
 
+import random
 from decimal import Decimal
 
 from tally.sources import htmldom as D
 from tally.sources.html import (CELLS, ROW_MATCH, account_pages, extract_accounts,
-                                extract_transactions, transaction_pages)
+                                extract_transactions, row_cells, transaction_pages)
+from tally.sources.htmlrows import RowScanner
 from tally.sources.fixtures import transactions
 from tally.sources.tables import read_table
 
@@ -58,3 +60,32 @@ def test_account_pages(spark, sf_dir):
     assert sorted((r.name, r.id) for r in acc.collect()) == \
         sorted((r.c_name, str(r.c_custkey)) for r in cust.collect())
     assert {r.balance for r in acc.collect()} == {0.0}
+
+
+def test_plain_pages_give_the_cells_of_their_tree():
+    rng = random.Random(11)
+    tags = ["div", "span", "td", "tr", "li", "p", "br", "img", "b", "title", "script", "DIV", "textarea"]
+    attrs = ["", "", ' class="transaction-row"', ' class="transaction"', ' class="date amount"', ' class="merchant"', ' data-date=""', ' data-amount="x>y"',
+             ' data-transaction="1"', ' class="category" class="date"', " data-date", ' class="a&amp;b"', ' data-category="a"', " class='date'"]
+    texts = ["", "", " ", "x", " a b ", "&amp;", "&lt;b", "&", "\n", "é", "a > b", "\xa0", "&#65;", "<!-- c -->", "<", "</"]
+    weight = lambda items, rare: [1 if i in rare else 12 for i in items]
+    plain = 0
+    scanner = RowScanner(ROW_MATCH, CELLS)
+    for _ in range(6000):
+        parts = [rng.choice(["", "<!DOCTYPE html>", "<html><head><title>T &gt;</title></head>", "<head><title>T</title></head>"])]
+        for _ in range(rng.randint(0, 14)):
+            tag = rng.choices(tags, weight(tags, tags[-4:]))[0]
+            parts.append(f"</{tag}>" if rng.random() < 0.4 else f"<{tag}{rng.choices(attrs, weight(attrs, attrs[7:8] + attrs[10:12] + attrs[13:]))[0]}>")
+            parts.append(rng.choices(texts, weight(texts, texts[-3:]))[0])
+        html = "".join(parts)
+        rows = scanner.rows(html)
+        if rows is not None:
+            plain += len(rows)
+            assert rows == row_cells(html), html
+    assert plain > 200
+
+
+def test_written_pages_are_plain(spark, sf_dir):
+    scanner = RowScanner(ROW_MATCH, CELLS)
+    for r in transaction_pages(transactions(spark, sf_dir)).limit(500).collect():
+        assert scanner.rows(r["html"]) == row_cells(r["html"]) != []
