@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 _FROM = string.ascii_uppercase + "İıſK"
 _TO = string.ascii_lowercase + "iisk"
 _FOLD = str.maketrans(_FROM, _TO)
+#: Those of them beyond ASCII, and what they are mapped to.
+WIDE_FOLDS = [(a, b) for a, b in zip(_FROM, _TO) if not a.isascii()]
 #: Repeats of a fixed number up to this one are written out.
 WRITTEN_OUT = 8
 

@@ -4,14 +4,15 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import rows_of
 from tally.functions.patterns import _equal
-from tally.functions.trigrams import fold, leaves, required
+from tally.functions.trigrams import fold, leaves, required, trigrams
 from tally.operators.filters import ReportFilter
 from tally.session import scratch_dir
 from tally.sources.store import read_store, row_columns, write_store
-from tally.sources.text_index import files_left, write_text_index
+from tally.sources.text_index import TEXT_COLUMNS, _file, _trigrams, files_left, write_text_index
 
 
 def test_fold_covers_every_equal_character():
@@ -107,6 +108,19 @@ def test_files_and_rows(spark, store, flt, n_files):
         assert len(got.inputFiles()) <= len(files)
 
 
+def test_marked_trigrams_are_those_of_the_texts(spark):
+    rng = random.Random(3)
+    text = lambda: rng.choice([None, "", "ab", "".join(rng.choice("aAbKKſSİıié日 \\x00z#0") for _ in range(rng.randint(0, 12)))])
+    path = scratch_dir(spark, "t-trigrams")
+    spark.createDataFrame([(i, text(), text(), None) for i in range(700)], "i int, merchant string, description string, notes string") \
+        .repartition(5, "i").write.parquet(path)
+    files = spark.read.parquet(path).coalesce(1).select(_file().alias("file"), *TEXT_COLUMNS)
+    got = files.mapInArrow(_trigrams, "file string, name string, trigram string")
+    want = files.unpivot("file", list(TEXT_COLUMNS), "name", "text").selectExpr("*").select("file", "name", F.explode(trigrams(F.col("text"))).alias("trigram"))
+    assert got.count() < want.count()  # a row for each place before
+    assert rows_of(got.distinct()) == rows_of(want.distinct()) and got.count() == got.distinct().count()
+
+
 def test_unknown_files_are_read(spark, store):
     path = scratch_dir(spark, "t-text-index-more")
     df = read_store(spark, store)
