@@ -51,8 +51,9 @@ def _aligned(df: DataFrame, store: DataFrame) -> DataFrame:
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in columns])
 
 
-def missing_rows(store: DataFrame, download: DataFrame) -> DataFrame:
-    """Rows of ``download`` beyond those of ``store``, a row for each copy that is missing."""
+def _missing_blocks(store: DataFrame, download: DataFrame) -> DataFrame:
+    """Rows of ``download`` beyond those of ``store``: a row for each block of up to
+    ``COPIES`` missing copies, with the number of copies from ``_from`` on."""
     columns = row_columns(store)
     found = _aligned(download, store)
     span = _months(found)
@@ -60,17 +61,24 @@ def missing_rows(store: DataFrame, download: DataFrame) -> DataFrame:
     there = store.where(dated | F.col(MONTH).isNull() if span["undated"] else dated).select(*columns)
     counts = found.withColumn("_copies", F.lit(1)).unionByName(there.withColumn("_copies", F.lit(-1))) \
         .groupBy(*columns).agg(F.sum("_copies").alias("_copies")).where("_copies > 0")
-    # blocks of copies, spread over tasks where a row has more than one of them
-    blocks = counts.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1, F.lit(COPIES))))
-    return blocks.hint("rebalance") \
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col("_copies") - F.col("_from"))))) \
-        .select(*columns)
+    return counts.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1, F.lit(COPIES))))
+
+
+def _copies(blocks: DataFrame) -> DataFrame:
+    """A row for each copy of a block."""
+    number = F.least(F.lit(COPIES), F.col("_copies") - F.col("_from"))
+    return blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1), number))).drop("_copy", "_copies", "_from")
+
+
+def missing_rows(store: DataFrame, download: DataFrame) -> DataFrame:
+    """Rows of ``download`` beyond those of ``store``, a row for each copy that is missing."""
+    return _copies(_missing_blocks(store, download).hint("rebalance"))
 
 
 def merge_store(spark: SparkSession, path: str, download: DataFrame) -> str:
     """Append to the store what ``download`` holds beyond it. The download is read
     twice; write it down first where that is expensive."""
     store = read_store(spark, path)
-    new = missing_rows(store, download)
-    write_store(new, path, mode="append")
+    # one shuffle: it carries blocks, dealt by month and block, and they become copies behind it
+    write_store(_missing_blocks(store, download), path, mode="append", spread=("_from",), behind=_copies)
     return path

@@ -12,6 +12,8 @@ the scan and skip row groups. ``row_columns`` hides these helper columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,21 +21,25 @@ from tally.operators.filters import ACCOUNT_LC, CATEGORY_LC, MONTH as PARTITION_
 from tally.sources.text_index import files_left
 
 
-def write_store(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
+def write_store(df: DataFrame, path: str, mode: str = "errorifexists", spread: tuple[str, ...] = (),
+                behind: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> str:
     """Write partitioned by month; rows without a date go to the null partition.
 
     The REBALANCE shuffle on ``txn_month`` makes each task write few
     partition folders (no small-file explosion), and AQE splits a month that
     holds a large share of the rows into several tasks and files
-    (``spark.sql.adaptive.optimizeSkewsInRebalancePartitions``).
+    (``spark.sql.adaptive.optimizeSkewsInRebalancePartitions``). What can be made
+    from a row is made behind the shuffle, so that it does not travel: the helper
+    columns, and what ``behind`` does. ``spread`` names columns of ``df`` that deal
+    the rows of a month over several tasks.
     """
     m = F.date_format("date", "yyyy-MM")
-    extra = {PARTITION_COLUMN: m}
+    rows = behind(df.withColumn(PARTITION_COLUMN, m).hint("rebalance", PARTITION_COLUMN, *spread))
+    extra = {}
     for name, source in ((CATEGORY_LC, "category"), (ACCOUNT_LC, "account")):
         if source in df.columns:
             extra[name] = F.lower(source)
-    by = [c for c in (PARTITION_COLUMN, CATEGORY_LC, ACCOUNT_LC) if c in extra]
-    (df.withColumns(extra).hint("rebalance", PARTITION_COLUMN).sortWithinPartitions(*by)
+    (rows.withColumns(extra).sortWithinPartitions(PARTITION_COLUMN, *extra)
        .write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path))
     return path
 

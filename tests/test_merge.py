@@ -7,6 +7,7 @@ from decimal import Decimal
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tally.operators.filters import ReportFilter
 from tally.schema import TXN_SCHEMA
@@ -112,3 +113,20 @@ def test_only_months_of_the_span_are_read(spark):
     path = started(spark, [row(d) for d in range(0, 300, 5)])
     plan = missing_rows(read_store(spark, path), frame(spark, [row(40), row(45)]))._jdf.queryExecution().executedPlan().toString()
     assert "(txn_month#" in plan and ">= 2024-02" in plan and "<= 2024-02" in plan
+
+
+def test_a_merge_shuffles_new_rows_once_behind_the_count(spark, monkeypatch):
+    from tally.sources import merge
+    path = started(spark, [row(1)])
+    plans = []
+
+    def write(blocks, to, mode, spread, behind):
+        plans.append(behind(blocks.withColumn("txn_month", F.date_format("date", "yyyy-MM")).hint("rebalance", "txn_month", *spread))
+                     ._jdf.queryExecution().optimizedPlan().toString())
+        return write_store(blocks, to, mode, spread, behind)
+
+    monkeypatch.setattr(merge, "write_store", write)
+    merge_store(spark, path, frame(spark, [row(1), row(1), row(1), row(2)]))
+    assert plans[0].count("RebalancePartitions") == 1
+    assert plans[0].index("Generate") < plans[0].index("RebalancePartitions")  # copies are made behind it
+    assert counted(read_store(spark, path)) == Counter({row(1): 3, row(2): 1})
