@@ -84,3 +84,15 @@ def test_empty_documents(spark):
     assert read_json(spark, folder).count() == 0
     put(folder, "b.json", '[{"a": "1"}]')
     assert [r["a"] for r in read_json(spark, folder).collect()] == ["1"]
+
+
+def test_documents_hold_many_orders_and_bounded_lines(spark):
+    from pyspark.sql import functions as F
+
+    from tally.plans.queries import ROW_COLS, _array_documents
+    texts = [F.lit("x").alias(c) for c in ROW_COLS[4:]]
+    rows = spark.range(4096 * 2).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"),
+                                        F.lit(None).cast("timestamp_ntz").alias("date"), F.lit(1).cast("decimal(18,2)").alias("amount"), *texts)
+    sizes = [len(json.loads(r["value"])) for r in _array_documents(rows).collect()]
+    assert sizes == [4096, 4096]
+    assert _array_documents(rows.withColumn("l_linenumber", (F.col("l_orderkey") % 64).cast("int"))).count() == 4
