@@ -117,22 +117,24 @@ def _values(grams: DataFrame) -> DataFrame:
     """``part, k, lang, gram, value`` of a Kneser-Ney model: for part 'run' the
     discounted share of a run of k characters in its context, for part 'context'
     the weight that a context of k - 1 characters leaves to the lower order."""
-    table, out = grams, None
-    for k in range(ORDER, 0, -1):
-        if k < ORDER:  # in how many ways a run is continued to the left
-            table = table.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n"))
-        once, twice = F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))
-        discount = table.groupBy("lang").agg(F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.coalesce(
-            F.try_divide(once, once + 2 * twice), F.lit(0.5)))).alias("d"))
-        context = table.groupBy("lang", F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("types"))
-        context = context.join(discount, "lang")
-        run = table.withColumn("context", F.substring("gram", 1, k - 1)).join(context, ["lang", "context"])
-        rows = run.select(F.lit("run").alias("part"), F.lit(k).alias("k"), "lang", "gram",
-                          (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("value")) \
-            .unionByName(context.select(F.lit("context").alias("part"), F.lit(k).alias("k"), "lang", F.col("context").alias("gram"),
-                                        (F.col("d") * F.col("types") / F.col("total")).alias("value")))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    size = F.col("k")
+    ends = grams.select("lang", "gram", "n", F.explode(F.sequence(F.lit(1), F.lit(ORDER))).alias("k")) \
+        .groupBy("lang", "k", F.expr("right(gram, k)").alias("gram")).agg(F.sum("n").alias("n"))
+    # below ORDER, n is in how many ways a run is continued to the left
+    table = ends.select("lang", F.explode(F.filter(F.array(
+        F.when(size == ORDER, F.struct("k", "gram", "n")),
+        F.when(size > 1, F.struct((size - 1).alias("k"), F.expr("right(gram, k - 1)").alias("gram"), F.lit(1).cast("long").alias("n")))),
+        lambda x: x.isNotNull())).alias("x")).select("lang", "x.*").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")) \
+        .withColumn("context", F.expr("left(gram, k - 1)")).checkpoint()
+    once, twice = F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))
+    discount = table.groupBy("lang", "k").agg(F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.coalesce(
+        F.try_divide(once, once + 2 * twice), F.lit(0.5)))).alias("d"))
+    context = table.groupBy("lang", "k", "context").agg(F.sum("n").alias("total"), F.count("*").alias("types")) \
+        .join(F.broadcast(discount), ["lang", "k"])  # a row per order and language
+    run = table.join(context, ["lang", "k", "context"])
+    return run.select(F.lit("run").alias("part"), "k", "lang", "gram", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("value")) \
+        .unionByName(context.select(F.lit("context").alias("part"), "k", "lang", F.col("context").alias("gram"),
+                                    (F.col("d") * F.col("types") / F.col("total")).alias("value")))
 
 
 def _hash(grams: pa.Array) -> np.ndarray:

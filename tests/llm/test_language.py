@@ -59,6 +59,32 @@ def test_entropies_follow_the_definition(spark):
             assert got == pytest.approx(want, rel=1e-4)
 
 
+def test_values_follow_the_definition_in_one_pass_of_all_orders(spark):
+    """All orders share two aggregates: a plan that names each order anew fills the driver."""
+    texts = {"aa": ["abc é", "cab"], "bb": ["日本 a", "\U0001F600 xyz a", "xy"]}
+    rows = [(t, x) for x, every in texts.items() for t in every]
+    grams = m._grams(spark.createDataFrame(rows, "text string, lang string")).checkpoint()
+    values = m._values(grams)
+    assert values._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 10
+    got = {(r["part"], r["k"], r["lang"], r["gram"]): r["value"] for r in values.collect()}
+    n, known = Counter(), {m.ORDER: {(r["lang"], r["gram"]): r["n"] for r in grams.collect()}}
+    for k in range(m.ORDER - 1, 0, -1):
+        known[k] = Counter((x, g[1:]) for x, g in known[k + 1])
+    for k, table in known.items():
+        for x in texts:
+            mine = {g: v for (y, g), v in table.items() if y == x}
+            once, twice = (sum(v == i for v in mine.values()) for i in (1, 2))
+            d = max(0.05, min(0.95, once / (once + 2 * twice) if once + 2 * twice else 0.5))
+            for c in {g[:-1] for g in mine}:
+                own = {g: v for g, v in mine.items() if g[:-1] == c}
+                total = sum(own.values())
+                assert got["context", k, x, c] == pytest.approx(d * len(own) / total)
+                for g, v in own.items():
+                    assert got["run", k, x, g] == pytest.approx(max(v - d, 0) / total)
+                n.update(["run"] * len(own) + ["context"])
+    assert sum(n.values()) == len(got)
+
+
 def test_held_out_accuracy(spark, sf_dir):
     wide = sf_dir.replace("sf0.001", "sf0.01")
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{wide}/documents.parquet").select("doc_id", "lang").collect()}
