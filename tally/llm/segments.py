@@ -83,18 +83,38 @@ class Coded:
     def none(cls, marks: int = 0) -> Coded:
         return cls(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, marks), bool))
 
+    @property
+    def nbytes(self) -> int:
+        return self.flat.nbytes + self.first.nbytes + self.size.nbytes + self.flags.nbytes
+
+    def places(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in flat of the ids of these segments in turn, and where those of each begin and end."""
+        n = self.size[which]
+        stop = np.append(0, np.cumsum(n))
+        return np.repeat((self.first[which] - stop[:-1]).astype(np.int32), n) + np.arange(stop[-1], dtype=np.int32), stop
+
+    def of(self, which: np.ndarray) -> Coded:
+        """Ids and marks of these segments alone."""
+        take, stop = self.places(which)
+        return Coded(self.flat[take], stop[:-1], self.size[which], self.flags[which])
+
 
 class Memo:
-    """Ids of the segments that a worker has met, up to ``most`` of them; beyond
-    that it starts anew."""
+    """Ids of the segments that a worker has met, up to ``most`` of them and
+    ``room`` bytes; beyond that it goes on with those met again by then."""
 
-    def __init__(self, encode, marks: int = 0, most: int = 1 << 20):
-        self.encode, self.marks, self.most = encode, marks, most
+    def __init__(self, encode, marks: int = 0, most: int = 1 << 20, room: int = 64 << 20):
+        self.encode, self.marks, self.most, self.room = encode, marks, most, room
         self._forget()
 
     def _forget(self) -> None:
         self.known, self.coded = pa.array([], pa.large_string()), Coded.none(self.marks)
 
+    def _keep(self, known: pa.Array, coded: Coded) -> None:
+        self.known, self.coded = known, coded
+        if len(known) > self.most or known.nbytes + coded.nbytes > self.room:
+            self._forget()
+
     def __call__(self, found: Segments) -> tuple[Tokens, np.ndarray]:
         """Ids of each row, and the marks of each use of a segment."""
         at = pc.index_in(found.distinct, value_set=self.known)
@@ -105,14 +125,13 @@ class Memo:
         place[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(fresh))
         every = Coded(np.concatenate([old.flat, more.flat]), np.concatenate([old.first, more.first + len(old.flat)]),
                       np.concatenate([old.size, more.size]), np.concatenate([old.flags, more.flags]))
-        if len(self.known) + len(fresh) <= self.most:
+        if len(self.known) + len(fresh) <= self.most and self.known.nbytes + fresh.nbytes + every.nbytes <= self.room:
             self.known, self.coded = pa.concat_arrays([self.known, fresh]), every
         else:
-            self._forget()
+            again = pc.invert(new)
+            self._keep(found.distinct.filter(again), every.of(place[again.to_numpy(zero_copy_only=False)]))
         use = place[found.use]
-        n = every.size[use]
-        stop = np.append(0, np.cumsum(n))
-        take = np.repeat((every.first[use] - stop[:-1]).astype(np.int32), n) + np.arange(stop[-1], dtype=np.int32)
+        take, stop = every.places(use)
         return Tokens(every.flat[take], stop[found.bounds]), every.flags[use]
 
 

@@ -29,7 +29,9 @@ from tally.llm.segments import Coded, Memo, Tokens, metaspace, strung
 
 SPACE = "▁"
 #: Texts that the library encodes at a time, and bytes of text that a task works on at a time.
-TOGETHER, SLICE = 256, 4 << 20
+TOGETHER, SLICE = 256, 2 << 20
+#: Segments, and bytes of them and their ids, that a worker keeps: two workers share an executor with a full heap.
+KEPT, ROOM = 1 << 18, 16 << 20
 UNIGRAM, BPE = 1, 2  # model types of the protobuf
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # piece types of the protobuf
 
@@ -51,7 +53,7 @@ class Backend:
         self.tokenizer = self._build()
         spec = self.proto.normalizer_spec
         self.sizes = np.array([1 if t == BYTE else len(p.replace(SPACE, " ").encode()) for p, _, t in self.pieces], np.int64)
-        self.memo = Memo(self.code, marks=2)
+        self.memo = Memo(self.code, marks=2, most=KEPT, room=ROOM)
         #: Texts may be cut at spaces: no rule looks across one, no piece joins one, and
         #: every id stands for a known number of bytes (an unknown piece would not).
         self.cuts = (self.proto.trainer_spec.byte_fallback and spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces
@@ -214,6 +216,7 @@ def encode_decode(docs: DataFrame, model_path: str, threads: int = 2, with_ids:
             for part in text_slices(batch, "text", SLICE):
                 text = pc.fill_null(part.column("text"), "")
                 yield pa.RecordBatch.from_arrays(_columns(part.column("doc_id"), text, *model.rows(text), with_ids), names)
+            pa.default_memory_pool().release_unused()  # else the pool keeps what its largest slice took
 
     src = pick(docs, doc_id=id_col, text=text_col)
     kind = src.schema["doc_id"].dataType.simpleString()

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from tally.llm import queries as q
 from tally.llm import simple8b
-from tally.llm.segments import byte_level, metaspace
+from tally.llm.segments import Coded, Memo, byte_level, metaspace
 from tally.llm.sentencepiece_backend import Backend, backend, encode_decode
 from tally.llm.token_files import encoder, read_range, read_tokens, write_tokens
 from tally.llm.token_prefix import counter, prefix_tables, token_counts
@@ -108,6 +108,42 @@ def test_models_without_byte_fallback(spark, tmp_path, kind):
         assert r["round_trip"] == (reference.unk_id() not in r["ids"])
 
 
+def test_memo_is_bounded_in_bytes(pieces):
+    """Long segments fill no worker, and what is met again is kept."""
+    model, rnd, most = Backend(PIECES), random.Random(5), 0
+    for _ in range(24):
+        texts = ["word " + "".join(rnd.choice("abcdefgh") for _ in range(1 << 20))]
+        tokens, _, _ = model.rows(pa.array(texts))
+        assert tokens.ids.tolist() == pieces.encode(texts[0])
+        coded = model.memo.coded
+        most = max(most, model.memo.known.nbytes + sum(x.nbytes for x in (coded.flat, coded.first, coded.size, coded.flags)))
+    assert 0 < most <= 16 << 20
+    assert " word" in model.memo.known.to_pylist()
+
+
+def test_memo_gives_the_ids_of_its_encoder():
+    made = []
+
+    def encode(segments):
+        made.append(segments.to_pylist())
+        ids = [[len(s), *s.encode()] for s in made[-1]]
+        size = np.array([len(x) for x in ids], np.int64)
+        return Coded(np.array([y for x in ids for y in x], np.uint32), np.cumsum(size) - size, size, np.ones((len(ids), 1), bool))
+
+    rnd = random.Random(6)
+    for most, room in ((1 << 20, 1 << 20), (5, 1 << 20), (100, 700), (0, 0)):
+        memo = Memo(encode, 1, most, room)
+        for _ in range(40):
+            texts = [" ".join(rnd.choice(["a", "b", "c", "dd", "e" * 30, "f" * 99, "", str(rnd.random())]) for _ in range(rnd.randint(0, 6))) for _ in range(3)]
+            found = metaspace(pa.array(texts))
+            tokens, flags = memo(found)
+            want = [[y for u in found.use[a:b] for s in [found.distinct[int(u)].as_py()] for y in (len(s), *s.encode())] for a, b in zip(found.bounds, found.bounds[1:])]
+            assert [tokens.ids[a:b].tolist() for a, b in zip(tokens.bounds, tokens.bounds[1:])] == want
+            assert flags.all() and len(memo.known) <= most
+        if most == 1 << 20:
+            assert sorted(x for y in made for x in y) == sorted({x for y in made for x in y})  # none twice
+
+
 def test_ids_are_the_backends(tmp_path, monkeypatch):
     """Ids come from the rebuilt backend, and from sentencepiece where the two differ."""
     pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(f"<0x{b:02X}>", 0, 6) for b in range(256)]
